@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from parlance.llm.bpe import token_counts
 from parlance.llm.dedup import exact_dedup
+from parlance.llm.jaccard import jaccard_components
 from parlance.llm.packing import pack
+from parlance.llm.toxicity import held_out, score, train
 
 #: Rows in an Arrow batch: whole texts, so few of them.
 ARROW_ROWS = "400"
@@ -26,14 +28,26 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"), n=3, percent=90).select("doc_id", "n_shingles", "component_id", "class_id")
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = train(docs, table(spark, sf_dir, "labels"))
+    return score(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted", "toxic_spans")
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_token_counts": op2_token_counts,
+    "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLES = {
