@@ -9,6 +9,7 @@ from parlance.llm.bpe import token_counts
 from parlance.llm.dedup import exact_dedup
 from parlance.llm.jaccard import jaccard_components
 from parlance.llm.packing import pack
+from parlance.llm.pii import personal_data
 from parlance.llm.toxicity import held_out, score, train
 
 #: Rows in an Arrow batch: whole texts, so few of them.
@@ -36,6 +37,10 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = train(docs, table(spark, sf_dir, "labels"))
@@ -47,6 +52,7 @@ QUERIES = {
     "op2_token_counts": op2_token_counts,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op9_personal_data": op9_personal_data,
     "op10_toxicity": op10_toxicity,
 }
 
