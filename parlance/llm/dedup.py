@@ -9,21 +9,28 @@ Rows that hit a known digest are then checked: their full normalised bytes again
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parlance.session import materialize, new_path
 
-WHITE = " \t\n\x0b\x0c\r"
+WHITE = r"[\x20\x09-\x0D]+"
 #: Groups of copies up to this number are broadcast (about 60 bytes each); more of them are joined by a shuffle.
 BROADCAST_GROUPS = 300_000
 #: Members of one group that are compared in one task with a copy of the content that stays.
 MEMBERS_PER_SALT = 2000
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State on disk, and closed when its task has committed it: an idle store holds some MB of disk for each partition.
+STATE_SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
+}
 
 
 def normalised(text: str = "text") -> Column:
-    return F.translate(F.coalesce(F.col(text), F.lit("")), WHITE, "")
+    return F.regexp_replace(F.coalesce(F.col(text), F.lit("")), WHITE, "")
 
 
 def _digested(rows: DataFrame, text: str) -> DataFrame:
@@ -49,22 +56,28 @@ def run_stream(spark: SparkSession, path: str, checkpoint: str, text: str = "tex
     # most code points first, then the smallest doc_id; a null doc_id comes last
     rank = F.struct("n_chars", (-F.col("doc_id")).alias("minus_id"), "place")
     state = _digested(stream, text).groupBy("digest").agg(F.count("*").alias("n"), F.max(rank).alias("best"))
-    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    try:
+    with settings(spark, STATE_SETTINGS):
         query = state.writeStream.outputMode("update").format("noop").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
         query.awaitTermination()
-        return (
-            spark.read.format("statestore")
-            .load(checkpoint)
-            .select(F.col("key.digest").alias("digest"), F.col("value.count").alias("group_size"), F.col("value.max").alias("best"))
-            .select("digest", "group_size", (-F.col("best.minus_id")).alias("keep_id"), F.col("best.place").alias("place"))
-        )
+    return (
+        spark.read.format("statestore")
+        .load(checkpoint)
+        .select(F.col("key.digest").alias("digest"), F.col("value.count").alias("group_size"), F.col("value.max").alias("best"))
+        .select("digest", "group_size", (-F.col("best.minus_id")).alias("keep_id"), F.col("best.place").alias("place"))
+    )
+
+
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Session settings that hold within the block."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
     finally:
-        if before is None:
-            spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
-        else:
-            spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def source_path(docs: DataFrame) -> str:
