@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from parlance.llm.bpe import token_counts
 from parlance.llm.dedup import exact_dedup
 from parlance.llm.jaccard import jaccard_components
+from parlance.llm.nearest import nearest
 from parlance.llm.packing import pack
 from parlance.llm.pii import personal_data
 from parlance.llm.toxicity import held_out, score, train
@@ -33,6 +34,11 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), n=3, percent=90).select("doc_id", "n_shingles", "component_id", "class_id")
 
 
+def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return nearest(vectors, vectors.where("vec_id % 50 = 0"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -51,6 +57,7 @@ QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_token_counts": op2_token_counts,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
+    "op4_nearest_neighbours": op4_nearest_neighbours,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op9_personal_data": op9_personal_data,
     "op10_toxicity": op10_toxicity,
