@@ -1,5 +1,73 @@
-"""Corpus pipeline (filled in as its operators arrive)."""
-STAGES = []
+"""From raw documents to packed training sequences: five stages, each on all that the one before it kept.
+
+A stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
+stage's documents. All but the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from parlance.llm import dedup, jaccard, mixing, packing, toxicity
+from parlance.llm.queries import ARROW_ROWS
+from parlance.session import materialize
+
+
+def _few_texts_a_batch(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+
+
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the tagger trained on the labels does not reject."""
+    _few_texts_a_batch(spark)
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.score(docs, model).where("predicted = 0").select(docs.columns)
+
+
+def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that are equal but for white space, the one that stays."""
+    return dedup.exact_dedup(spark, dedup.source_path(docs)).where("kept").select(docs.columns)
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that links of 0.8 or more over five-word shingles connect, the one with the smallest doc_id."""
+    _few_texts_a_batch(spark)
+    found = jaccard.jaccard_components(docs, n=5, percent=80)
+    dropped = materialize(found.where("doc_id <> component_id").select("doc_id").distinct(), "dropped")
+    few = dropped.count() <= jaccard.BROADCAST_IDS
+    return docs.join(F.broadcast(dropped) if few else dropped, "doc_id", "left_anti").select(docs.columns)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A sample whose token weights by source, language and topic approach the targets."""
+    return mixing.mix(docs).where("kept").select(docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of at most 1024 tokens."""
+    _few_texts_a_batch(spark)
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("toxicity", without_toxic),
+    ("exact_dedup", without_copies),
+    ("ngram_jaccard", without_near_copies),
+    ("mixing", mixed),
+    ("packing", packed),
+]
+
+#: SQL cannot train a tagger or encode tokens; tests compare the stages with brute force instead.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = materialize(docs, name)
+    return docs

@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from parlance.llm.bpe import token_counts
 from parlance.llm.dedup import exact_dedup
+from parlance.llm import fixity, licences, mixing
 from parlance.llm.jaccard import jaccard_components
 from parlance.llm.nearest import nearest
 from parlance.llm.packing import pack
 from parlance.llm.pii import personal_data
 from parlance.llm.toxicity import held_out, score, train
+from parlance.session import materialize
 
 #: Rows in an Arrow batch: whole texts, so few of them.
 ARROW_ROWS = "400"
@@ -43,6 +46,23 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "source", "lang", "topic", "n_tokens", F.round("probability", 6).alias("probability"), "kept")
+
+
+def op7_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.licence_scan(table(spark, sf_dir, "documents"))
+
+
+def op8_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = fixity.warc_records(table(spark, sf_dir, "pages"))
+    one = materialize(fixity.placed(fixity.hashed(records)), "replica")
+    places = one.select("page_id", "file", "offset")
+    two = fixity.hashed(fixity.spoilt(records)).drop("file").join(places, "page_id")
+    return fixity.audit(one, two)
+
+
 def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data(table(spark, sf_dir, "documents"))
 
@@ -59,6 +79,9 @@ QUERIES = {
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op4_nearest_neighbours": op4_nearest_neighbours,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_mixing": op6_mixing,
+    "op7_licence_scan": op7_licence_scan,
+    "op8_warc_fixity": op8_warc_fixity,
     "op9_personal_data": op9_personal_data,
     "op10_toxicity": op10_toxicity,
 }
@@ -75,4 +98,20 @@ ORACLES = {
                row_number() OVER (PARTITION BY n ORDER BY length(t) DESC, doc_id) = 1 AS kept,
                sha256(n) AS text_sha256
         FROM d""",
+    "op6_mixing": mixing.oracle(),
+    "op7_licence_scan": licences.oracle(),
+    "op8_warc_fixity": r"""
+        WITH r AS (
+            SELECT page_id, page_id // 1000 AS file,
+                   'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:sha1:'
+                   || sha1(concat_ws('|', page_id::VARCHAR, url)) || '>' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '')
+                   || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: '
+                   || strlen(coalesce(html, ''))::VARCHAR || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '')
+                   || chr(13) || chr(10) || chr(13) || chr(10) AS bytes
+            FROM pages)
+        SELECT page_id, file,
+               coalesce(sum(strlen(bytes)) OVER (PARTITION BY file ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset",
+               strlen(bytes) AS length, sha256(bytes) AS sha256,
+               CASE WHEN page_id % 211 = 17 THEN 'missing' WHEN page_id % 197 = 5 THEN 'damaged' ELSE 'ok' END AS status
+        FROM r""",
 }
