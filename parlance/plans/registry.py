@@ -6,6 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-FLAGSHIP = "j03_interval_argmax_join"
+from parlance.plans import interval_queries
+
+FLAGSHIP = "j03_j06_speaker_attribution"
+FAMILIES = (interval_queries,)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+for _family in FAMILIES:
+    QUERIES |= _family.QUERIES
+    ORACLES |= _family.ORACLES
