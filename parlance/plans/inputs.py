@@ -62,7 +62,7 @@ _ENTRY = (
     "CASE WHEN (conv_id + turn) % 5 = 0 THEN NULL WHEN (conv_id * 7 + turn * 3) % 11 < 6 THEN 'A' ELSE role END AS speaker_id, "
     "text, turn * 9000 + (conv_id * 37 + turn * 113) % 4000 AS start_ms, "
     "turn * 9000 + (conv_id * 37 + turn * 113) % 4000 + {length}(text) * 15 AS end_ms, "
-    "round(-(({length}(text) * 7) % 150) / 100.0, 2) AS avg_logprob, (conv_id + turn) % 7 = 0 AS overlap"
+    "-CAST(({length}(text) * 7) % 150 AS DOUBLE) / 100 AS avg_logprob, (conv_id + turn) % 7 = 0 AS overlap"
 )
 
 
