@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parlance.plans import interval_queries, sequence_queries, store_queries, text_queries
+from parlance.plans import interval_queries, sequence_queries, similarity_queries, source_queries, stage_queries, store_queries, streaming_queries, text_queries
 
 FLAGSHIP = "j03_j06_speaker_attribution"
-FAMILIES = (interval_queries, text_queries, sequence_queries, store_queries)
+FAMILIES = (interval_queries, text_queries, sequence_queries, store_queries, similarity_queries, streaming_queries, source_queries, stage_queries)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 for _family in FAMILIES:

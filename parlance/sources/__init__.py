@@ -1 +1 @@
-"""Part of the parlance package."""
+"""Readers and writers of the formats around transcripts."""

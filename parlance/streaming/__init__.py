@@ -1 +1 @@
-"""Part of the parlance package."""
+"""Structured Streaming forms of the operators that have a live one."""
