@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
-from parlance.functions.text import KNOWN_REPETITIONS, LEGIT_REPEATS, is_hallucination, is_noise_only, noise_stem_words, noise_stems, sparse_long, strip_markers
+from parlance.functions.text import KNOWN_REPETITIONS, LEGIT_REPEATS, has_markers, is_hallucination, is_noise_only, noise_stem_words, noise_stems, normalize_after_markers, sparse_long, strip_markers, trim_noise_edges
+from parlance.operators.similarity import mapped
 
 
 def by_idx() -> WindowSpec:
@@ -153,8 +154,10 @@ def collapse_ngrams(text: str, min_words: int = 2) -> str:
 def clean_artifacts(entries: DataFrame, drop_sparse: bool = True) -> DataFrame:
     """Entries without recogniser artefacts: made-up phrases, markers, near-empty long rows and series of bare noise."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    clean = strip_markers(text)
-    removed = F.regexp_replace(clean, r"(?U)\s+", "") != F.regexp_replace(text, r"(?U)\s+", "")
+    entries = entries.withColumn("_trimmed", mapped(trim_noise_edges, strip_markers(text)))
+    trimmed = F.col("_trimmed") != strip_markers(text)
+    clean = F.when(trimmed, normalize_after_markers(F.col("_trimmed"))).otherwise(F.col("_trimmed"))
+    removed = has_markers(text) | trimmed
     empty = ~clean.rlike(r"[\p{L}\p{N}]")
     loose, strict = sparse_long(text, F.col("end_ms") - F.col("start_ms"))
     kind = F.when(is_hallucination(text) | (strict & F.lit(drop_sparse)), "drop").when(removed & (empty | is_noise_only(clean)), "drop").when(is_noise_only(clean), "noise").otherwise("keep")
@@ -163,7 +166,7 @@ def clean_artifacts(entries: DataFrame, drop_sparse: bool = True) -> DataFrame:
     runs = rows.where("_kind = 'noise'").groupBy("rec_id", "_run").agg(F.count("*").alias("n"), F.sum("_stems").alias("stems"), F.flatten(F.collect_list("_names")).alias("names"))
     gone = F.when(F.col("n") == 1, F.col("stems") >= 2).otherwise(F.size("names") > F.size(F.array_distinct("names")))
     rows = rows.join(runs.select("rec_id", "_run", gone.alias("_gone")), ["rec_id", "_run"], "left")
-    return rows.where("_kind = 'keep' or (_kind = 'noise' and not _gone)").drop("_kind", "_stems", "_names", "_run", "_gone")
+    return rows.where("_kind = 'keep' or (_kind = 'noise' and not _gone)").drop("_kind", "_stems", "_names", "_run", "_gone", "_trimmed")
 
 
 def filled(column: str) -> Column:

@@ -174,7 +174,7 @@ QUERIES = {
 }
 ORACLES = {
     "f01_normalize_typography": f"WITH {NOTES} SELECT doc_id, CASE WHEN trim(regexp_replace(note, '\\s+', ' ', 'g')) = '' THEN note ELSE trim({SQL_TYPOGRAPHY}) END AS clean FROM notes",
-    "f02_f03_strip_markers": f"WITH {NOTES} SELECT doc_id, {SQL_STRIP} AS clean FROM notes",
+    "f02_f03_strip_markers": f"WITH {NOTES} SELECT doc_id, CASE WHEN regexp_matches(note, '{T.MARKER}') OR regexp_matches(note, '{T.MUSIC}') THEN {SQL_STRIP} ELSE note END AS clean FROM notes",
     "f05_noise_classification": f"WITH {NOTES}, w AS (SELECT doc_id, {SQL_WORDS} AS ws FROM notes) SELECT doc_id, len(ws) > 0 AND len(list_filter(ws, lambda w: NOT regexp_full_match(lower(w), '{T.NOISE_WORD}'))) = 0 AS noise_only, len(list_filter(ws, lambda w: regexp_matches(lower(w), '^{_LOWER_NOISE}'))) AS n_noise FROM w",
     "f07_match_key": f"WITH {NOTES} SELECT doc_id, {SQL_KEY} AS key FROM notes",
     "f08_word_extraction": f"WITH {NOTES} SELECT doc_id, len({SQL_WORDS}) AS n_words, array_to_string({SQL_WORDS}[1:5], '|') AS first_words FROM notes",

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from parlance.functions import edits
+from parlance.functions.text import trim_noise_edges
 from parlance.operators import graph, intervals, sequences, similarity
 from parlance.sources import exports, scans
 
@@ -84,6 +85,14 @@ def test_noise_series(spark):
     assert found == [(2, "word here"), (3, "Silence"), (6, "so it is")]
 
 
+@pytest.mark.parametrize(
+    "text, expected",
+    [("Text. Laughter laughter", "Text."), ("Noise. So it is", "So it is"), ("Check the signal", "Check the signal"), ("music music", "music music"), ("music noise we go", "we go"), ("", "")],
+)
+def test_noise_edges(text, expected):
+    assert trim_noise_edges(text) == expected
+
+
 def test_edits_round_trip():
     text = "Well  well , yes.. and and (  so)"
     hits = edits.suggest(text)
