@@ -2,7 +2,8 @@
 
 Documents are labelled, tokens are not, so tokens of the training documents are labelled first: a token of a toxic
 document is toxic if its word is far more frequent, over distinct contexts in documents that are no copies of each
-other, in toxic documents than in clean ones. Those tokens train a chain of two states over sentences (L2-regularised
+other, in toxic documents than in clean ones, or if it begins with letters that only toxic documents have (so that inflected forms
+are found that training never showed). Those tokens train a chain of two states over sentences (L2-regularised
 likelihood, forward-backward gradients). Scoring runs forward-backward over every sentence of every document; the
 marginals give the offending offsets, and their maximum and sum, calibrated on the training documents, the score.
 
@@ -21,14 +22,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parlance.llm.words import LETTERS, MULTIPLIER, chunks, mix, words
+from parlance.llm.words import LETTERS, MULTIPLIER, chunks, mix, stems, words
 from parlance.session import materialize
 
 TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_CHAINS = 3000, 6000, 6000
 #: A chain is a sentence, or this many of its tokens where a sentence goes on for longer.
 CHAIN = 64
-#: A word is a feature, or labels tokens as toxic, from these log odds on; both need this many contexts in toxic documents.
+#: A word is a feature, or labels tokens as toxic, from these log odds on; both need contexts in this many toxic documents or more.
 FEATURE_ODDS, TOXIC_ODDS, SUPPORT, MOST_WORDS = 1.5, 2.5, 6, 512
+#: Lengths in bytes of the beginnings of words that are features too, the more specific first.
+STEMS = (5, 4)
 SENTENCE_ENDS = np.zeros(256, dtype=bool)
 SENTENCE_ENDS[[ord(c) for c in ".!?\n"]] = True
 
@@ -42,12 +45,14 @@ class Model:
     move: np.ndarray = field(default_factory=lambda: np.zeros((2, 2)))
     calibration: np.ndarray = field(default_factory=lambda: np.array([-4.0, 0.0, 0.0]))
 
-    def features(self, hashes: np.ndarray) -> np.ndarray:
-        """1 + place in the lexicon of each word, 0 for other words."""
-        if not len(self.lexicon):
-            return np.zeros(len(hashes), dtype=np.int64)
-        at = np.minimum(np.searchsorted(self.lexicon, hashes), len(self.lexicon) - 1)
-        return np.where(self.lexicon[at] == hashes, at + 1, 0)
+    def features(self, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, buffer: np.ndarray) -> np.ndarray:
+        """1 + place in the lexicon of each word, or else of its beginning; 0 for other words."""
+        out = np.zeros(len(hashes), dtype=np.int64)
+        if len(self.lexicon):
+            for keys in (hashes, *(stems(starts, ends, buffer, n) for n in STEMS)):
+                at = np.minimum(np.searchsorted(self.lexicon, keys), len(self.lexicon) - 1)
+                out = np.where((out == 0) & (self.lexicon[at] == keys), at + 1, out)
+        return out
 
 
 def chains(owner: np.ndarray, starts: np.ndarray, buffer: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -152,7 +157,7 @@ class Scorer:
             top, total = np.zeros(len(raw)), np.zeros(len(raw))
             tagged: list[list[tuple[int, int, float]]] = [[] for _ in raw]
             if len(hashes):
-                ids = self.model.features(hashes)
+                ids = self.model.features(hashes, starts, ends, buffer)
                 first, sizes = chains(owner, starts, buffer)
                 loaded = np.add.reduceat(ids, first) > 0
                 plain = ~loaded
@@ -200,7 +205,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text") -> Model:
         for batch in batches:
             texts, toxic = batch.column(1).to_pylist(), np.array(batch.column(2).to_pylist(), dtype=np.int64)
             for at, raw in chunks(texts):
-                hashes, owner, *_ = words(raw, LETTERS)
+                hashes, owner, starts, ends, buffer = words(raw, LETTERS)
                 if not len(hashes):
                     continue
                 left, right = np.r_[np.uint64(0), hashes[:-1]], np.r_[hashes[1:], np.uint64(0)]
@@ -208,21 +213,27 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text") -> Model:
                 shingle = mix(mix(left + hashes * MULTIPLIER) + right * MULTIPLIER)
                 bounds = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
                 sketch = np.repeat(np.minimum.reduceat(shingle, bounds), np.diff(np.r_[bounds, len(owner)]))
-                columns = [pa.array(c.view(np.int64)) for c in (sketch, hashes, around)]
-                yield pa.RecordBatch.from_arrays([pa.array(toxic[at + owner]), *columns], names=["toxic", "sketch", "word", "around"])
+                for n in (0, *STEMS):
+                    keys = stems(starts, ends, buffer, n) if n else hashes
+                    own = np.flatnonzero(keys)
+                    columns = [pa.array(c[own].view(np.int64)) for c in (sketch, keys, around)]
+                    yield pa.RecordBatch.from_arrays([pa.array(toxic[at + owner[own]]), *columns, pa.array(np.full(len(own), n), pa.int32())], names=["toxic", "sketch", "word", "around", "stem"])
 
-    seen = sample.select("doc_id", "text", F.col("toxic").cast("long").alias("toxic")).mapInArrow(contexts, "toxic long, sketch long, word long, around long")
+    seen = sample.select("doc_id", "text", F.col("toxic").cast("long").alias("toxic")).mapInArrow(contexts, "toxic long, sketch long, word long, around long, stem int")
     # a context counts once in all documents, and once in documents that are copies of each other
-    seen = seen.groupBy("toxic", "word", "around").agg(F.min("sketch").alias("sketch")).groupBy("toxic", "word").agg(
+    seen = seen.groupBy("toxic", "word", "stem", "around").agg(F.min("sketch").alias("sketch")).groupBy("toxic", "word", "stem").agg(
         F.count("*").alias("contexts"), F.approx_count_distinct("sketch").alias("documents")
     )
     seen = materialize(seen, "contexts")
-    totals = {r["toxic"]: float(r["n"]) for r in seen.groupBy("toxic").agg(F.sum("contexts").alias("n")).collect()}
+    totals = {r["toxic"]: float(r["n"]) for r in seen.where("stem = 0").groupBy("toxic").agg(F.sum("contexts").alias("n")).collect()}
     if len(totals) < 2:
         return Model()
+    # so many documents that chance alone would hardly put any word into toxic ones only
+    chance = totals[1] / (totals[0] + totals[1])
+    support = max(SUPPORT, int(np.ceil(np.log(0.02 / seen.count()) / np.log(chance))))
     odds = F.log((F.coalesce("t", F.lit(0)) + 0.5) / totals[1]) - F.log((F.coalesce("c", F.lit(0)) + 0.5) / totals[0])
-    pair = seen.where("toxic = 1").select("word", F.least("contexts", "documents").alias("t")).join(seen.where("toxic = 0").select("word", F.col("contexts").alias("c")), "word", "left")
-    pair = pair.where(F.col("t") >= SUPPORT).select("word", odds.alias("odds")).where(F.col("odds") >= FEATURE_ODDS)
+    pair = seen.where("toxic = 1").select("word", "stem", F.least("contexts", "documents").alias("t")).join(seen.where("toxic = 0").select("word", F.col("contexts").alias("c")), "word", "left")
+    pair = pair.where(F.col("t") >= support).where("stem = 0 or c is null").select("word", odds.alias("odds")).where(F.col("odds") >= FEATURE_ODDS)
     found = pair.orderBy(F.desc("odds"), "word").limit(MOST_WORDS).collect()
     if not found:
         return Model()
@@ -235,8 +246,8 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text") -> Model:
         for batch in batches:
             rows = []
             for _, raw in chunks(batch.column(1).to_pylist()):
-                hashes, owner, starts, _, buffer = words(raw, LETTERS)
-                ids = model.features(hashes)
+                hashes, owner, starts, ends, buffer = words(raw, LETTERS)
+                ids = model.features(hashes, starts, ends, buffer)
                 for first, n in zip(*chains(owner, starts, buffer)):
                     part = ids[first : first + n]
                     if part.any() or hashes[first] % np.uint64(16) == 0:

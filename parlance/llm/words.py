@@ -55,6 +55,16 @@ def chunks(texts: list[str | None]) -> Iterator[tuple[int, list[bytes]]]:
         yield first, held
 
 
+def stems(starts: np.ndarray, ends: np.ndarray, buffer: np.ndarray, size: int) -> np.ndarray:
+    """Hash of the first ``size`` bytes of each word that is longer; 0 for other words."""
+    out = np.zeros(len(starts), dtype=np.uint64)
+    long = np.flatnonzero(ends - starts > size)
+    for k in range(size):
+        out[long] += BYTE_VALUES[buffer[starts[long] + k]] * powers(size)[k]
+    out[long] = mix(out[long] + np.uint64(size << 32))
+    return out
+
+
 def words(raw: list[bytes], member: np.ndarray = NON_WHITE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hash, owner (index of its text), start and end byte in the joined buffer of every word, and the buffer.
 
