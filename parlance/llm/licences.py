@@ -5,8 +5,8 @@ lies whole in one window and the Jaccard similarity of the two shingle sets has
 follows from that bound: a window that holds enough of a template misses all bands with a probability under ``MISS``.
 Retrieved pairs are verified by exact shingle containment.
 
-Every template shingle holds one of a few anchor words (a hitting set), so a text or a window without any of them holds
-no template shingle: they are set aside before any hashing, which loses nothing.
+A few anchor words are chosen so that a text or a window without any of them holds too few shingles of any template to
+match: those are set aside before any hashing, which loses nothing.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SHINGLE, CONTAINMENT, MISS = 5, 0.8, 1e-4
+#: Words that any prose is full of and that therefore make poor anchors.
+COMMON = frozenset("a an and any are as at be by for from has have if in is it may not of on or that the this to under use was will with you".split())
 #: Short notices of public licences, as they are found in texts. Fixed values.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -37,14 +39,18 @@ def template_words(text: str) -> list[str]:
 
 
 def anchors(templates: dict[str, list[str]]) -> list[str]:
-    """Words of which every template shingle holds at least one; long words first."""
-    left = {tuple(w[i : i + SHINGLE]) for w in templates.values() for i in range(max(1, len(w) - SHINGLE + 1))}
+    """Words without any of which a text holds less than ``CONTAINMENT`` of every template's shingles.
+
+    Chosen greedily: no common words where others do, then long ones that cover many shingles.
+    """
+    bare = {n: {tuple(w[i : i + SHINGLE]) for i in range(max(1, len(w) - SHINGLE + 1))} for n, w in templates.items()}
+    enough = {n: CONTAINMENT * len(s) for n, s in bare.items()}
     chosen = []
-    while left:
-        words = {w for s in left for w in s}
-        best = max(sorted(words), key=lambda w: (len(w) > 5, sum(w in s for s in left), len(w)))
+    while left := [s for n, s in bare.items() if len(s) >= enough[n]]:
+        words = {w for group in left for s in group for w in s}
+        best = max(sorted(words), key=lambda w: (w not in COMMON, len(w) > 5, sum(w in s for group in left for s in group), len(w)))
         chosen.append(best)
-        left = {s for s in left if best not in s}
+        bare = {n: {s for s in group if best not in s} for n, group in bare.items()}
     return sorted(chosen)
 
 
