@@ -325,7 +325,7 @@ def test_forward_backward_equals_enumeration():
 
 def test_toxicity_learns_words_and_spans(spark):
     r = random.Random(4)
-    words = [f"w{k}" for k in range(200)]
+    words = ["".join(r.choice("bcdfgmnprst") + r.choice("aeiou") for _ in range(3)) for _ in range(200)]
     texts, labels = [], []
     for i in range(600):
         t = [r.choice(words) for _ in range(40)]
