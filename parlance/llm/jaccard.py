@@ -1,8 +1,9 @@
 """N-gram Jaccard self-join with adaptive multi-match prefixes.
 
-Shingles have one global order, rarest first by counts of all shingles in buckets. If two sets are similar enough, their
-first ``size - needed + l`` shingles share at least ``l``, for every l. A document for which the counts foresee many
-candidates takes a longer prefix and asks for more shared shingles; for a pair the greater l of the two counts.
+Shingles have one global order, rarest first by counts of all shingles in buckets. A prefix of ``size - needed + l``
+shingles leaves out ``needed - l``, so two sets that share enough shingles share some of them in their prefixes, and the
+more the longer the prefixes are. A document for which the counts foresee many candidates takes a longer prefix (a
+greater l), and its candidates must share correspondingly more of it before their whole sets are compared.
 
 Documents with one set of shingles are one class, and only classes are joined. Two phases keep the work linear in large
 groups of near copies. First every prefix shingle's list of classes is compared with its most typical member (a star),
@@ -19,18 +20,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.components import components
+from parlance.operators.graph import components
 from parlance.llm.words import mix, shingle_sets
 from parlance.session import materialize
 
 #: Buckets of the shingle counts that order the prefixes; the counts cover all shingles.
 BUCKETS = 1 << 18
 #: The longest adaptive prefix asks for this many shared shingles.
-MOST_SHARED = 4
+MOST_SHARED = 8
+#: 64-bit words of the bit map of a prefix, which bounds what two prefixes share.
+MAP_WORDS = 8
 #: What verifying a candidate costs against reading one entry of a list.
 VERIFY_COST = 16.0
-#: Class ids up to this number are broadcast to fetch their texts (about 16 bytes each); more are joined by a shuffle.
-BROADCAST_IDS = 2_000_000
+#: Class ids up to this number are broadcast to fetch their texts (about 80 bytes each); more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -67,7 +70,7 @@ def choose_shared(counts: np.ndarray, base: int, needed: int, usual: float) -> i
 
 
 def summaries(docs: DataFrame, n: int, percent: int, text: str = "text") -> DataFrame:
-    """Of each document: size and key of its shingle set, its prefix, rarest first, how many shared it asks for."""
+    """Of each document: size and key of its shingle set, how common its shingles are, its prefix, rarest first."""
     counts = bucket_counts(docs, n, text)
     mean = counts.sum() / BUCKETS
     usual = float(mean + 3 * np.sqrt(mean) + 1)
@@ -76,50 +79,61 @@ def summaries(docs: DataFrame, n: int, percent: int, text: str = "text") -> Data
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket = shared_counts.value
         for batch in batches:
-            sizes, k1, k2, asks, typical, prefixes = [], [], [], [], [], []
+            sizes, k1, k2, typical, prefixes, maps = [], [], [], [], [], []
             for s in shingle_sets(batch.column(1).to_pylist(), n):
                 size = len(s)
                 needed = -(-percent * size // 100)
                 base = size - needed + 1
                 c = bucket[(s % np.uint64(BUCKETS)).astype(np.int64)]
-                order = np.lexsort((s, c))[: base + MOST_SHARED - 1] if size else np.zeros(0, dtype=np.int64)
+                order = np.lexsort((s, c)) if size else np.zeros(0, dtype=np.int64)
+                more = choose_shared(c[order].astype(float), base, needed, usual) if size else 1
+                order = order[: base + more - 1]
                 sizes.append(size)
                 k1.append(int(mix(s).sum(dtype=np.uint64)) if size else 0)
                 k2.append(int(np.bitwise_xor.reduce(mix(s + np.uint64(1)))) if size else 0)
-                asks.append(choose_shared(c[order].astype(float), base, needed, usual) if size else 1)
                 typical.append(float(np.log1p(c).mean()) if size else 0.0)
                 prefixes.append(s[order])
+                bit = mix(s[order] + np.uint64(2)) % np.uint64(64 * MAP_WORDS)
+                own = np.zeros(MAP_WORDS, dtype=np.uint64)
+                np.bitwise_or.at(own, (bit // np.uint64(64)).astype(np.int64), np.uint64(1) << (bit % np.uint64(64)))
+                maps.append(own)
+            if not sizes:
+                continue
             lengths = np.array([len(p) for p in prefixes])
-            flat = np.concatenate(prefixes) if len(prefixes) else np.zeros(0, dtype=np.uint64)
+            flat = np.concatenate(prefixes)
             lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(lengths)].astype(np.int32)), _signed(flat))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), _signed(np.array(k1, dtype=np.uint64)), _signed(np.array(k2, dtype=np.uint64)), pa.array(asks, pa.int32()), pa.array(typical, pa.float64()), lists],
-                names=["doc_id", "n_shingles", "k1", "k2", "asks", "typical", "prefix"],
+                [batch.column(0), pa.array(sizes, pa.int64()), _signed(np.array(k1, dtype=np.uint64)), _signed(np.array(k2, dtype=np.uint64)), pa.array(typical, pa.float64()), lists, *(_signed(m) for m in np.stack(maps, axis=1))],
+                names=["doc_id", "n_shingles", "k1", "k2", "typical", "prefix", *(f"m{k}" for k in range(MAP_WORDS))],
             )
 
-    schema = "doc_id long, n_shingles long, k1 long, k2 long, asks int, typical double, prefix array<long>"
+    schema = "doc_id long, n_shingles long, k1 long, k2 long, typical double, prefix array<long>" + "".join(f", m{k} long" for k in range(MAP_WORDS))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(summarise, schema)
 
 
-def _sets(docs: DataFrame, ids: DataFrame, n: int, text: str) -> DataFrame:
-    """id, set of the documents named in ``ids(id, k1)``."""
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` marked for broadcast if its rows, ``rows`` in number, are few."""
+    return F.broadcast(df) if rows <= BROADCAST_IDS else df
+
+
+def _sets(docs: DataFrame, ids: DataFrame, rows: int, n: int, text: str) -> DataFrame:
+    """id, k1, set of the documents whose id is in ``ids(id)``, of which there are ``rows``."""
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
             sets = list(shingle_sets(batch.column(1).to_pylist(), n))
-            for at in range(0, len(sets), 64):
-                part = sets[at : at + 64]
-                offsets = pa.array(np.r_[0, np.cumsum([len(s) for s in part])].astype(np.int32))
-                keys = np.array([int(mix(s).sum(dtype=np.uint64)) if len(s) else 0 for s in part], dtype=np.uint64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 64), _signed(keys), pa.ListArray.from_arrays(offsets, _signed(np.concatenate(part)))], names=["id", "k1", "set"])
+            own = batch.column(0).to_pylist()
+            keys = [int(mix(s).sum(dtype=np.uint64).view(np.int64)) if len(s) else 0 for s in sets]
+            fresh = [i for i, key in enumerate(zip(own, keys)) if key not in seen and not seen.add(key)]  # repeated rows
+            for at in range(0, len(fresh), 64):
+                part = fresh[at : at + 64]
+                offsets = pa.array(np.r_[0, np.cumsum([len(sets[i]) for i in part])].astype(np.int32))
+                lists = pa.ListArray.from_arrays(offsets, _signed(np.concatenate([sets[i] for i in part])))
+                yield pa.RecordBatch.from_arrays([pa.array([own[i] for i in part], pa.int64()), pa.array([keys[i] for i in part], pa.int64()), lists], names=["id", "k1", "set"])
 
-    ids = ids.distinct()
-    few = ids.count() <= BROADCAST_IDS
-    wanted = ids.select("id")
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col(text).alias("text")).join(F.broadcast(wanted) if few else wanted, "id", "left_semi")
-    # a doc_id that repeats with another text is told apart by the key of its set
-    found = rows.mapInArrow(whole, "id long, k1 long, set array<long>").join(F.broadcast(ids) if few else ids, ["id", "k1"], "left_semi")
-    return materialize(found.dropDuplicates(["id"]).select("id", "set"), "sets")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col(text).alias("text")).join(_small(ids, rows), "id", "left_semi")
+    return texts.mapInArrow(whole, "id long, k1 long, set array<long>")
 
 
 def _similar(inter: Column, a: Column, b: Column, percent: int) -> Column:
@@ -127,10 +141,18 @@ def _similar(inter: Column, a: Column, b: Column, percent: int) -> Column:
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, keys: DataFrame, n: int, percent: int, text: str) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar enough."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = _sets(docs, ids.join(keys, "id"), n, text)
-    both = pairs.select("a", "b").join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
+    """The pairs (a, b) whose whole sets are similar enough.
+
+    Sets are made where their texts are read. Those of ``a`` move once, to those of ``b``; a doc_id that repeats with
+    another text is told apart by the key of its set.
+    """
+    rows = pairs.count()
+    a = pairs.select("a", "b").join(keys.select(F.col("id").alias("a"), F.col("k1").alias("ka")), "a")
+    b = pairs.select("b").distinct().join(keys.select(F.col("id").alias("b"), F.col("k1").alias("kb")), "b")
+    a, b = materialize(a, "pairs"), materialize(b, "hubs")
+    own = _sets(docs, a.select(F.col("a").alias("id")).distinct(), rows, n, text).select(F.col("id").alias("a"), F.col("k1").alias("ka"), F.col("set").alias("sa"))
+    hub = _sets(docs, b.select(F.col("b").alias("id")), rows, n, text).select(F.col("id").alias("b"), F.col("k1").alias("kb"), F.col("set").alias("sb"))
+    both = own.join(_small(a, rows), ["a", "ka"]).join(hub.join(_small(b, rows), ["b", "kb"]), "b")
     inter = F.size(F.array_intersect("sa", "sb"))
     return both.where(_similar(inter, F.size("sa"), F.size("sb"), percent)).select("a", "b")
 
@@ -139,6 +161,20 @@ def _near_size(a: str, b: str, percent: int) -> Column:
     return F.lit(100) * F.least(a, b) >= F.lit(percent) * F.greatest(a, b)
 
 
+def _needed(percent: int) -> Column:
+    """How many shingles two sets of the sizes of a and b share if they are similar enough."""
+    return F.ceil(F.lit(percent) * (F.col("n_shingles_a") + F.col("n_shingles_b")) / (100 + percent))
+
+
+def _enough(percent: int) -> Column:
+    """Whether the prefixes of a and b share as many shingles as two sets that are similar enough must share there."""
+    needed = _needed(percent)
+    beyond = F.greatest(F.col("n_shingles_a") - F.size("prefix_a"), F.col("n_shingles_b") - F.size("prefix_b"))
+    # a fold of two shingles of one prefix counts once: shingles that the fold may have lost are added back
+    lost = F.least(F.size("prefix_a") - F.size(F.array_distinct("prefix_a")), F.size("prefix_b") - F.size(F.array_distinct("prefix_b")))
+    return F.size(F.array_intersect("prefix_a", "prefix_b")) + lost >= needed - beyond
+
+
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, text: str = "text") -> DataFrame:
     """doc_id, n_shingles, class_id, component_id of every document.
 
@@ -150,32 +186,46 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, text: str
     """
     all_docs = materialize(summaries(docs, n, percent, text), "summaries")
     own = all_docs.where("n_shingles > 0 and doc_id is not null")
-    classes = own.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("id"), F.first("asks").alias("asks"), F.first("typical").alias("typical"), F.first("prefix").alias("prefix"))
-    classes = materialize(classes, "classes")
+    classes = materialize(own.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("id")), "classes")
     keys = classes.select("id", "k1")
-    level = F.greatest(F.lit(1), F.col("pos") - (F.col("n_shingles") - F.ceil(F.lit(percent) * F.col("n_shingles") / 100)) + 1).cast("int")
-    posted = classes.select("id", "n_shingles", "asks", "typical", F.posexplode("prefix").alias("pos", "token")).withColumn("level", level).drop("pos")
-    shared = posted.groupBy("token").agg(F.count("*").alias("c"), F.max(F.struct("typical", (-F.col("id")).alias("id"), "n_shingles")).alias("hub")).where("c > 1")
-    shared = shared.select("token", (-F.col("hub.id")).alias("hub"), F.col("hub.n_shingles").alias("hub_size"))
-    lists = materialize(posted.drop("typical").join(shared, "token"), "lists")
-
-    star = lists.where("id <> hub").where(_near_size("n_shingles", "hub_size", percent)).groupBy("id", "hub").agg(F.count("*").alias("c"))
-    star = materialize(star.select(F.col("id").alias("a"), F.col("hub").alias("b")), "star")
+    maps = [f"m{k}" for k in range(MAP_WORDS)]
+    named = own.select(F.col("doc_id").alias("id"), "k1", "n_shingles", "typical", "prefix", *maps).join(_small(keys, classes.count()), ["id", "k1"], "left_semi")
+    # similar sets share a shingle of their shortest prefixes; the rest of the longer ones only counts what is shared
+    shortest = F.col("n_shingles") - F.ceil(F.lit(percent) * F.col("n_shingles") / 100) + 1
+    posted = named.select("id", F.explode(F.slice("prefix", 1, shortest.cast("int"))).alias("token"))
+    shared = materialize(posted.groupBy("token").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("token"), "shared")
+    lists = materialize(posted.join(shared, "token", "left_semi"), "postings")
+    # folded to 32 bits, shingles in common can only grow in number, which admits a pair too many but loses none
+    folded = F.transform("prefix", lambda x: F.hash(x))
+    about = named.join(lists.select("id").distinct(), "id", "left_semi").select("id", "n_shingles", "typical", folded.alias("prefix"), *maps)
+    about = materialize(about.dropDuplicates(["id"]), "about")  # a doc_id that repeats with an equal set is one class
+    lists = materialize(lists.join(about.select("id", "n_shingles", "typical"), "id").select("token", "id", "n_shingles", "typical"), "lists")
+    hubs = lists.groupBy("token").agg(F.max(F.struct("typical", (-F.col("id")).alias("id"), "n_shingles")).alias("hub"))
+    hubs = hubs.select("token", (-F.col("hub.id")).alias("hub"), F.col("hub.n_shingles").alias("hub_size"))
+
+    star = lists.join(hubs, "token").where("id <> hub").where(_near_size("n_shingles", "hub_size", percent)).groupBy("id", "hub").agg(F.count("*").alias("c"))
+    side = about.select(*(F.col(c).alias(f"{c}_b") for c in ("id", "n_shingles", "prefix")))
+    star = star.select(F.col("id").alias("id_a"), F.col("hub").alias("id_b")).join(about.select(*(F.col(c).alias(f"{c}_a") for c in ("id", "n_shingles", "prefix"))), "id_a").join(side, "id_b")
+    star = star.where(_enough(percent)).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+    star = materialize(star, "star")
     links = materialize(_verified(star, docs, keys, n, percent, text), "links")
     found = materialize(components(links), "components")
 
-    labelled = lists.drop("hub", "hub_size").join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    labelled = materialize(labelled, "labelled")
+    about = materialize(about.drop("typical").join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id")), "about")
+    labelled = lists.select("token", "id").join(about.select("id", "component"), "id")
     mixed = labelled.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
-    rest = labelled.join(mixed, "token", "left_semi")
-    a = rest.select("token", *(F.col(c).alias(f"{c}_a") for c in ("id", "n_shingles", "asks", "level", "component")))
-    b = rest.select("token", *(F.col(c).alias(f"{c}_b") for c in ("id", "n_shingles", "asks", "level", "component")))
-    asks = F.greatest("asks_a", "asks_b")
+    carried = ["id", "n_shingles", "component", "size", *maps]
+    rest = lists.select("token", "id").join(mixed, "token", "left_semi").join(about.withColumn("size", F.size("prefix")).select(carried), "id")
+    a, b = (rest.select("token", *(F.col(c).alias(f"{c}_{x}") for c in carried)) for x in "ab")
     near = (F.col("id_a") < F.col("id_b")) & (F.col("component_a") != F.col("component_b")) & _near_size("n_shingles_a", "n_shingles_b", percent)
-    pairs = a.join(b, "token").where(near & (F.greatest("level_a", "level_b") <= asks))
-    pairs = pairs.groupBy(F.col("id_a").alias("a"), F.col("id_b").alias("b")).agg(F.count("*").alias("c"), F.max(asks).alias("asks")).where("c >= asks")
+    # every bit in which the maps differ is a shingle that only one prefix has
+    differ = sum((F.bit_count(F.col(f"{m}_a").bitwiseXOR(F.col(f"{m}_b"))) for m in maps), F.lit(0))
+    could = F.floor((F.col("size_a") + F.col("size_b") - differ) / 2) >= _needed(percent) - F.greatest(F.col("n_shingles_a") - F.col("size_a"), F.col("n_shingles_b") - F.col("size_b"))
+    pairs = a.join(b, "token").where(near & could).select("id_a", "id_b").distinct()
+    sides = [about.select(*(F.col(c).alias(f"{c}_{x}") for c in ("id", "n_shingles", "prefix"))) for x in "ab"]
+    pairs = pairs.join(sides[0], "id_a").join(sides[1], "id_b").where(_enough(percent)).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
     tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = materialize(pairs.select("a", "b").join(tried, ["a", "b"], "left_anti"), "pairs")
+    pairs = materialize(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
     links = links.union(_verified(pairs, docs, keys, n, percent, text))
     found = components(links).withColumnRenamed("node", "id")
     named = classes.select("k1", "k2", "n_shingles", "id").join(found, "id", "left")
