@@ -29,7 +29,7 @@ BUCKETS = 1 << 18
 #: The longest adaptive prefix asks for this many shared shingles.
 MOST_SHARED = 8
 #: 64-bit words of the bit map of a prefix, which bounds what two prefixes share.
-MAP_WORDS = 8
+MAP_WORDS = 16
 #: What verifying a candidate costs against reading one entry of a list.
 VERIFY_COST = 16.0
 #: Class ids up to this number are broadcast to fetch their texts (about 80 bytes each); more are joined by a shuffle.
