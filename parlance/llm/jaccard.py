@@ -9,6 +9,10 @@ Documents with one set of shingles are one class, and only classes are joined. T
 groups of near copies. First every prefix shingle's list of classes is compared with its most typical member (a star),
 and linked classes are joined into components. Then only lists that still hold several components give pairs, and only
 of classes in different components. The first phase decides nothing: every link between different components is found.
+
+Those two phases find components, not every link. All links lie within components, so ``jaccard_links`` and
+``jaccard_counts`` compare the classes of each component with each other, whole sets in salted blocks. That work, like
+the number of links, grows with the square of the classes in a component.
 """
 
 from __future__ import annotations
@@ -34,6 +38,8 @@ MAP_WORDS = 16
 VERIFY_COST = 16.0
 #: Class ids up to this number are broadcast to fetch their texts (about 80 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Classes of a component that are compared at a time, about; and columns of shingles in one matrix product.
+BLOCK, COLUMNS = 64, 4096
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -175,15 +181,8 @@ def _enough(percent: int) -> Column:
     return F.size(F.array_intersect("prefix_a", "prefix_b")) + lost >= needed - beyond
 
 
-def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, class_id, component_id of every document.
-
-    A-Z are lower-cased; words are ``[^\\x20\\x09-\\x0D]+``. Two documents link when 100 * intersection >= percent *
-    union of their sets of distinct n-word shingles. ``class_id`` is the smallest doc_id with an equal set,
-    ``component_id`` the smallest reachable by links. Documents without words (null, empty, blank) have an empty set, link
-    with nothing and are their own class. Rows without a doc_id take no part in linking; repeated rows share a class.
-    An empty table gives no rows; other columns are not read.
-    """
+def _joined(docs: DataFrame, n: int, percent: int, text: str) -> tuple[DataFrame, DataFrame]:
+    """Summaries of the documents, and k1, k2, n_shingles, class_id, component of every class."""
     all_docs = materialize(summaries(docs, n, percent, text), "summaries")
     own = all_docs.where("n_shingles > 0 and doc_id is not null")
     classes = materialize(own.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("id")), "classes")
@@ -230,6 +229,98 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, text: str
     found = components(links).withColumnRenamed("node", "id")
     named = classes.select("k1", "k2", "n_shingles", "id").join(found, "id", "left")
     named = named.select("k1", "k2", "n_shingles", F.col("id").alias("class_id"), F.coalesce("component", "id").alias("component"))
+    return all_docs, named
+
+
+def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, text: str = "text") -> DataFrame:
+    """doc_id, n_shingles, class_id, component_id of every document.
+
+    A-Z are lower-cased; words are ``[^\\x20\\x09-\\x0D]+``. Two documents link when 100 * intersection >= percent *
+    union of their sets of distinct n-word shingles. ``class_id`` is the smallest doc_id with an equal set,
+    ``component_id`` the smallest reachable by links. Documents without words (null, empty, blank) have an empty set, link
+    with nothing and are their own class. Rows without a doc_id take no part in linking; repeated rows share a class.
+    An empty table gives no rows; other columns are not read.
+    """
+    return _documents(*_joined(docs, n, percent, text)).drop("k1", "k2")
+
+
+def jaccard_links(docs: DataFrame, n: int = 5, percent: int = 80, text: str = "text") -> DataFrame:
+    """a, b, n_shared, n_union of every two classes that link: a < b are their class_id, the sets share ``n_shared``.
+
+    Every link is there, also within components. Members of one class have equal sets and are no links here. Texts, null
+    ids and empty sets count as in ``jaccard_components``.
+    """
+    _, classes = _joined(docs, n, percent, text)
+    found = _all_links(docs, materialize(classes, "classes"), n, percent, text)
+    return found.where("a < b").groupBy("a", "b").agg(F.max(F.struct("n_shared", "n_union")).alias("best")).select("a", "b", "best.*")
+
+
+def jaccard_counts(docs: DataFrame, n: int = 5, percent: int = 80, text: str = "text") -> DataFrame:
+    """The rows of ``jaccard_components`` with n_links: how many other rows have an equal or a similar enough set."""
+    all_docs, classes = _joined(docs, n, percent, text)
+    classes = materialize(classes, "classes")
+    links = _all_links(docs, classes, n, percent, text)
+    key = ["k1", "k2", "n_shingles"]
+    rows = all_docs.where("n_shingles > 0 and doc_id is not null").groupBy(*key).agg(F.count("*").alias("rows"))
+    rows = materialize(classes.join(rows, key).select(*key, "class_id", "rows"), "rows")
+    ends = links.select("a", "ka", "b", "kb").union(links.select("b", "kb", "a", "ka")).toDF("class_id", "k1", "other", "ko")
+    other = rows.select(F.col("class_id").alias("other"), F.col("k1").alias("ko"), F.col("rows").alias("n"))
+    linked = ends.join(other, ["other", "ko"]).groupBy("class_id", "k1").agg(F.sum("n").alias("n"))
+    counts = rows.join(linked, ["class_id", "k1"], "left").select(*key, (F.coalesce("n", F.lit(0)) + F.col("rows") - 1).alias("n_links"))
+    out = _documents(all_docs, classes).join(counts, key, "left")
+    return out.select("doc_id", "n_shingles", "class_id", "component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("n_links", F.lit(0))).otherwise(0).alias("n_links"))
+
+
+def _all_links(docs: DataFrame, classes: DataFrame, n: int, percent: int, text: str) -> DataFrame:
+    """a, ka, b, kb, n_shared, n_union of every two ``classes`` that link, each pair once (by id, then by key).
+
+    Classes of a component are dealt into blocks by a hash, and every two blocks are one group: a set is copied once for
+    each block of its component, and no group grows with the component.
+    """
+
+    def compare(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        _, i, j = (x.as_py() for x in key)
+        ids, keys, block = (table.column(c).to_numpy() for c in ("id", "k1", "block"))
+        sets = table.column("set").combine_chunks()
+        _, first = np.unique(np.stack([ids, keys]), axis=1, return_index=True)  # repeated rows
+        rows = first[np.lexsort((keys[first], ids[first]))]
+        ids, keys, block = ids[rows], keys[rows], block[rows]
+        lists = [sets[int(r)].values.to_numpy() for r in rows]
+        sizes = np.array([len(x) for x in lists], dtype=np.int64)
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        owner = np.repeat(np.arange(len(rows)), sizes)
+        _, column, times = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
+        own = np.flatnonzero(times[column] > 1)
+        own = own[np.argsort(column[own], kind="stable")]
+        _, column = np.unique(column[own], return_inverse=True)
+        owner = owner[own]
+        shared = np.zeros((len(left), len(right)), dtype=np.int64)
+        for at in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+            lo, hi = np.searchsorted(column, [at, at + COLUMNS])
+            held = np.zeros((len(rows), COLUMNS), dtype=np.float32)
+            held[owner[lo:hi], column[lo:hi] - at] = 1
+            shared += np.rint(held[left] @ held[right].T).astype(np.int64)
+        union = sizes[left][:, None] + sizes[right] - shared
+        found = (shared > 0) & (100 * shared >= percent * union)
+        if i == j:
+            found &= left[:, None] < right
+        x, y = np.nonzero(found)
+        a, b = np.minimum(left[x], right[y]), np.maximum(left[x], right[y])
+        columns = [ids[a], keys[a], ids[b], keys[b], shared[x, y], union[x, y]]
+        return pa.table([pa.array(c, pa.int64()) for c in columns], names=["a", "ka", "b", "kb", "n_shared", "n_union"])
+
+    groups = classes.groupBy("component").agg(F.count("*").alias("n")).where("n > 1")
+    members = classes.join(groups, "component").select("component", F.col("class_id").alias("id"), "k1", F.ceil(F.col("n") / BLOCK).alias("blocks"))
+    members = materialize(members.withColumn("block", F.expr("pmod(xxhash64(id, k1), blocks)")), "members")
+    rows = members.count()
+    sets = _sets(docs, members.select("id").distinct(), rows, n, text).join(_small(members, rows), ["id", "k1"])
+    sets = sets.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
+    sets = sets.select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "k1", "set")
+    return materialize(sets.groupBy("component", "i", "j").applyInArrow(compare, "a long, ka long, b long, kb long, n_shared long, n_union long"), "links")
+
+
+def _documents(all_docs: DataFrame, named: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, class_id, component_id and the keys of every document's set."""
     out = all_docs.select("doc_id", "n_shingles", "k1", "k2").join(named, ["k1", "k2", "n_shingles"], "left")
     linked = F.col("doc_id").isNotNull()
-    return out.select("doc_id", "n_shingles", F.when(linked, F.coalesce("class_id", "doc_id")).alias("class_id"), F.when(linked, F.coalesce("component", "doc_id")).alias("component_id"))
+    return out.select("doc_id", "n_shingles", "k1", "k2", F.when(linked, F.coalesce("class_id", "doc_id")).alias("class_id"), F.when(linked, F.coalesce("component", "doc_id")).alias("component_id"))

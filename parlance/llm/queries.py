@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from parlance.llm.bpe import token_counts
 from parlance.llm.dedup import exact_dedup
 from parlance.llm import fixity, licences, mixing
-from parlance.llm.jaccard import jaccard_components
+from parlance.llm.jaccard import jaccard_components, jaccard_links
 from parlance.llm.nearest import nearest
 from parlance.llm.packing import pack
 from parlance.llm.pii import personal_data
@@ -37,6 +37,10 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), n=3, percent=90).select("doc_id", "n_shingles", "component_id", "class_id")
 
 
+def op3_ngram_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_links(table(spark, sf_dir, "documents"), n=3, percent=90)
+
+
 def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return nearest(vectors, vectors.where("vec_id % 50 = 0"))
@@ -77,6 +81,7 @@ QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_token_counts": op2_token_counts,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
+    "op3_ngram_jaccard_links": op3_ngram_jaccard_links,
     "op4_nearest_neighbours": op4_nearest_neighbours,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_mixing": op6_mixing,
