@@ -25,6 +25,7 @@ def warc_records(pages: DataFrame) -> DataFrame:
 
     Records lie in files of up to ``RECORDS_PER_FILE`` consecutive page ids, by id and then by their bytes, so rows that
     repeat an id follow each other. A null id counts as -1; null url and html are empty. An empty table gives no records.
+    Records without an id are dealt by a hash of their bytes over files below zero, about ``RECORDS_PER_FILE`` in each.
     """
     body = F.coalesce(F.col("html"), F.lit(""))
     head = F.concat(
@@ -36,8 +37,10 @@ def warc_records(pages: DataFrame) -> DataFrame:
         F.octet_length(body).cast("string"),
         F.lit("\r\n\r\n"),
     )
-    rows = pages.select(F.coalesce(F.col("page_id").cast("long"), F.lit(-1)).alias("page_id"), F.concat(head, body, F.lit("\r\n\r\n")).cast("binary").alias("bytes"))
-    return rows.withColumns({"file": F.floor(F.col("page_id") / RECORDS_PER_FILE).cast("long"), "length": F.octet_length("bytes").cast("long")})
+    rows = pages.select(F.coalesce(F.col("page_id").cast("long"), F.lit(-1)).alias("page_id"), F.col("page_id").isNull().alias("unnamed"), F.concat(head, body, F.lit("\r\n\r\n")).cast("binary").alias("bytes"))
+    files = pages.where("page_id is null").count() // RECORDS_PER_FILE + 1
+    dealt = F.when(F.col("unnamed"), -1 - F.pmod(F.xxhash64("bytes"), F.lit(files))).otherwise(F.floor(F.col("page_id") / RECORDS_PER_FILE))
+    return rows.withColumns({"file": dealt.cast("long"), "length": F.octet_length("bytes").cast("long")}).drop("unnamed")
 
 
 def placed(records: DataFrame) -> DataFrame:
@@ -57,13 +60,16 @@ def _range() -> Column:
 
 
 def tree(records: DataFrame) -> list[DataFrame]:
-    """Levels of (node, hash) over ``records(file, offset, length, sha256)``, from ranges to the root."""
+    """Levels of (node, hash) over ``records(file, offset, length, sha256)``, from ranges to the root.
+
+    Shifts are unsigned, so that ranges of files below zero come to the same root as all others.
+    """
     entry = F.struct("offset", "length", "sha256")
     leaf = records.groupBy(_range().alias("node")).agg(F.array_sort(F.collect_list(entry)).alias("entries"))
     text = F.array_join(F.transform("entries", lambda e: F.concat_ws(":", e["offset"], e["length"], e["sha256"])), ",")
     levels = [materialize(leaf.select("node", F.sha2(text, 256).alias("hash")), "tree")]
     while levels[-1].select("node").limit(2).count() > 1:
-        parent = F.shiftright("node", FANOUT_BITS)
+        parent = F.shiftrightunsigned("node", FANOUT_BITS)
         above = levels[-1].groupBy(parent.alias("above")).agg(F.array_sort(F.collect_list(F.struct("node", "hash"))).alias("entries"))
         text = F.array_join(F.transform("entries", lambda e: F.concat_ws(":", e["node"], e["hash"])), ",")
         levels.append(materialize(above.select(F.col("above").alias("node"), F.sha2(text, 256).alias("hash")), "tree"))
@@ -77,13 +83,13 @@ def differing_ranges(a: list[DataFrame], b: list[DataFrame]) -> DataFrame:
     def level(t: list[DataFrame], k: int) -> DataFrame:
         if k < len(t):
             return t[k]
-        return t[-1].withColumn("node", F.shiftright("node", FANOUT_BITS * (k - len(t) + 1)))
+        return t[-1].withColumn("node", F.shiftrightunsigned("node", FANOUT_BITS * (k - len(t) + 1)))
 
     differ = None
     for k in reversed(range(height)):
         left, right = level(a, k), level(b, k)
         if differ is not None:
-            left, right = (x.withColumn("above", F.shiftright("node", FANOUT_BITS)).join(differ.select(F.col("node").alias("above")), "above", "left_semi").drop("above") for x in (left, right))
+            left, right = (x.withColumn("above", F.shiftrightunsigned("node", FANOUT_BITS)).join(differ.select(F.col("node").alias("above")), "above", "left_semi").drop("above") for x in (left, right))
         both = left.withColumnRenamed("hash", "ha").join(right.withColumnRenamed("hash", "hb"), "node", "full")
         differ = materialize(both.where(~F.col("ha").eqNullSafe(F.col("hb"))).select("node"), "differ")
     return differ
@@ -114,7 +120,13 @@ def audit(a: DataFrame, b: DataFrame) -> DataFrame:
     return sound.select("page_id", "file", "offset", "length", "sha256", F.lit("ok").alias("status")).union(found)
 
 
-def spoilt(records: DataFrame) -> DataFrame:
-    """A second replica of ``records`` with faults at places that the page id fixes: changed bytes, and lost records."""
+def replicas(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The placed hashes of ``records``, and of a second replica with faults that the page id fixes: changed bytes, and lost records.
+
+    The second is made from the placed records themselves, so each keeps its own place, however often its id repeats.
+    """
     changed = F.concat(F.substring("bytes", 1, 40), F.lit("#").cast("binary"), F.expr("substring(bytes, 42, length(bytes) - 41)"))
-    return records.where("page_id % 211 <> 17").withColumn("bytes", F.when(F.col("page_id") % 197 == 5, changed).otherwise(F.col("bytes")))
+    both = records.withColumn("spoilt", F.when(F.col("page_id") % 197 == 5, F.sha2(changed, 256)))
+    both = materialize(placed(hashed(both)), "replica")
+    second = both.where("page_id % 211 <> 17").withColumn("sha256", F.coalesce("spoilt", "sha256"))
+    return both.drop("spoilt"), second.drop("spoilt")

@@ -14,7 +14,6 @@ from parlance.llm.nearest import nearest
 from parlance.llm.packing import pack
 from parlance.llm.pii import personal_data
 from parlance.llm.toxicity import held_out, score, train
-from parlance.session import materialize
 
 #: Rows in an Arrow batch: whole texts, so few of them.
 ARROW_ROWS = "400"
@@ -60,11 +59,7 @@ def op7_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = fixity.warc_records(table(spark, sf_dir, "pages"))
-    one = materialize(fixity.placed(fixity.hashed(records)), "replica")
-    places = one.select("page_id", "file", "offset")
-    two = fixity.hashed(fixity.spoilt(records)).drop("file").join(places, "page_id")
-    return fixity.audit(one, two)
+    return fixity.audit(*fixity.replicas(fixity.warc_records(table(spark, sf_dir, "pages"))))
 
 
 def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
