@@ -5,12 +5,15 @@ shingles leaves out ``needed - l``, so two sets that share enough shingles share
 more the longer the prefixes are. A document for which the counts foresee many candidates takes a longer prefix (a
 greater l), and its candidates must share correspondingly more of it before their whole sets are compared.
 
-Documents with one set of shingles are one class, and only classes are joined. Two phases keep the work linear in large
-groups of near copies. First every prefix shingle's list of classes is compared with its most typical member (a star),
-and linked classes are joined into components. Then only lists that still hold several components give pairs, and only
-of classes in different components. The first phase decides nothing: every link between different components is found.
-
-Those two phases find components, not every link. All links lie within components, so ``jaccard_links`` and
+Documents with one set of shingles are one class, and only classes are joined. First every prefix shingle's list of
+classes is compared with its most typical member, the hub, and linked classes are joined into components. Then only lists
+that still hold several components matter, and there only classes in different components. A short list gives its pairs.
+A long one would give the square of its length, so its members must share more than that one shingle: each is written as
+its difference from the hub, in which all that the group has in common is gone, and the differences are joined by
+prefixes of their own, as long as the number of shingles allows that two members must share there to link (``_step``).
+Both steps lose nothing: every link between different components is found.
+
+These phases find components, not every link. All links lie within components, so ``jaccard_links`` and
 ``jaccard_counts`` compare the classes of each component with each other, whole sets in salted blocks. That work, like
 the number of links, grows with the square of the classes in a component.
 """
@@ -18,9 +21,11 @@ the number of links, grows with the square of the classes in a component.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +43,11 @@ MAP_WORDS = 16
 VERIFY_COST = 16.0
 #: Class ids up to this number are broadcast to fetch their texts (about 80 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: A list up to this length gives its pairs; members of a longer one meet by their differences from its hub, in so many
+#: steps at most, each within the lists that the last one left long.
+SHORT_LIST, STEPS = 16, 3
+#: Members that are compared with one hub in a task, about.
+HUB_SHARE = 2000
 #: Classes of a component that are compared at a time, about; and columns of shingles in one matrix product.
 BLOCK, COLUMNS = 64, 4096
 
@@ -46,6 +56,10 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64), pa.int64())
 
 
+def _rarest_first(shingles: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    return np.lexsort((shingles, counts[(shingles % np.uint64(BUCKETS)).astype(np.int64)]))
+
+
 def bucket_counts(docs: DataFrame, n: int, text: str = "text") -> np.ndarray:
     """How many documents' distinct shingles fall in each bucket, over all documents."""
 
@@ -75,12 +89,10 @@ def choose_shared(counts: np.ndarray, base: int, needed: int, usual: float) -> i
     return best
 
 
-def summaries(docs: DataFrame, n: int, percent: int, text: str = "text") -> DataFrame:
+def summaries(docs: DataFrame, n: int, percent: int, shared_counts: Broadcast, text: str = "text") -> DataFrame:
     """Of each document: size and key of its shingle set, how common its shingles are, its prefix, rarest first."""
-    counts = bucket_counts(docs, n, text)
-    mean = counts.sum() / BUCKETS
+    mean = shared_counts.value.sum() / BUCKETS
     usual = float(mean + 3 * np.sqrt(mean) + 1)
-    shared_counts = docs.sparkSession.sparkContext.broadcast(counts)
 
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket = shared_counts.value
@@ -91,7 +103,7 @@ def summaries(docs: DataFrame, n: int, percent: int, text: str = "text") -> Data
                 needed = -(-percent * size // 100)
                 base = size - needed + 1
                 c = bucket[(s % np.uint64(BUCKETS)).astype(np.int64)]
-                order = np.lexsort((s, c)) if size else np.zeros(0, dtype=np.int64)
+                order = _rarest_first(s, bucket)
                 more = choose_shared(c[order].astype(float), base, needed, usual) if size else 1
                 order = order[: base + more - 1]
                 sizes.append(size)
@@ -122,8 +134,8 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_IDS else df
 
 
-def _sets(docs: DataFrame, ids: DataFrame, rows: int, n: int, text: str) -> DataFrame:
-    """id, k1, set of the documents whose id is in ``ids(id)``, of which there are ``rows``."""
+def _sets(docs: DataFrame, ids: DataFrame, rows: int, n: int, text: str, counts: Broadcast | None = None) -> DataFrame:
+    """id, k1, set of the documents whose id is in ``ids(id)``, of which there are ``rows``; rarest first by ``counts``."""
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
@@ -135,7 +147,8 @@ def _sets(docs: DataFrame, ids: DataFrame, rows: int, n: int, text: str) -> Data
             for at in range(0, len(fresh), 64):
                 part = fresh[at : at + 64]
                 offsets = pa.array(np.r_[0, np.cumsum([len(sets[i]) for i in part])].astype(np.int32))
-                lists = pa.ListArray.from_arrays(offsets, _signed(np.concatenate([sets[i] for i in part])))
+                held = [sets[i] if counts is None else sets[i][_rarest_first(sets[i], counts.value)] for i in part]
+                lists = pa.ListArray.from_arrays(offsets, _signed(np.concatenate(held)))
                 yield pa.RecordBatch.from_arrays([pa.array([own[i] for i in part], pa.int64()), pa.array([keys[i] for i in part], pa.int64()), lists], names=["id", "k1", "set"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col(text).alias("text")).join(_small(ids, rows), "id", "left_semi")
@@ -146,21 +159,63 @@ def _similar(inter: Column, a: Column, b: Column, percent: int) -> Column:
     return F.lit(100) * inter >= F.lit(percent) * (a + b - inter)
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, keys: DataFrame, n: int, percent: int, text: str) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar enough.
+def _compared(pairs: DataFrame, docs: DataFrame, keys: DataFrame, n: int, text: str, counts: Broadcast) -> DataFrame:
+    """a, b, sa, sb, n_shared of the pairs (a, b): their whole sets, rarest shingles first, and what these share.
 
-    Sets are made where their texts are read. Those of ``a`` move once, to those of ``b``; a doc_id that repeats with
-    another text is told apart by the key of its set.
+    Sets are made where their texts are read. Those of ``a`` move once, to those of ``b``; the members of a ``b`` with
+    many of them are dealt over several tasks. A doc_id that repeats with another text is told apart by its set's key.
     """
+    pairs = materialize(pairs.select("a", "b"), "pairs")
     rows = pairs.count()
-    a = pairs.select("a", "b").join(keys.select(F.col("id").alias("a"), F.col("k1").alias("ka")), "a")
-    b = pairs.select("b").distinct().join(keys.select(F.col("id").alias("b"), F.col("k1").alias("kb")), "b")
-    a, b = materialize(a, "pairs"), materialize(b, "hubs")
-    own = _sets(docs, a.select(F.col("a").alias("id")).distinct(), rows, n, text).select(F.col("id").alias("a"), F.col("k1").alias("ka"), F.col("set").alias("sa"))
-    hub = _sets(docs, b.select(F.col("b").alias("id")), rows, n, text).select(F.col("id").alias("b"), F.col("k1").alias("kb"), F.col("set").alias("sb"))
-    both = own.join(_small(a, rows), ["a", "ka"]).join(hub.join(_small(b, rows), ["b", "kb"]), "b")
-    inter = F.size(F.array_intersect("sa", "sb"))
-    return both.where(_similar(inter, F.size("sa"), F.size("sb"), percent)).select("a", "b")
+    shares = pairs.groupBy("b").agg(F.ceil(F.count("*") / HUB_SHARE).cast("int").alias("shares"))
+    b = shares.join(keys.select(F.col("id").alias("b"), F.col("k1").alias("kb")), "b")
+    b = materialize(b, "hubs")
+    a = pairs.join(keys.select(F.col("id").alias("a"), F.col("k1").alias("ka")), "a").join(_small(b.select("b", "shares"), rows), "b")
+    a = materialize(a.select("a", "ka", "b", F.expr("cast(pmod(xxhash64(a), shares) as int)").alias("share")), "pairs")
+    own = _sets(docs, a.select(F.col("a").alias("id")).distinct(), rows, n, text, counts).select(F.col("id").alias("a"), F.col("k1").alias("ka"), F.col("set").alias("sa"))
+    hub = _sets(docs, b.select(F.col("b").alias("id")), rows, n, text, counts).select(F.col("id").alias("b"), F.col("k1").alias("kb"), F.col("set").alias("sb"))
+    hub = hub.join(_small(b, rows), ["b", "kb"]).withColumn("share", F.explode(F.expr("sequence(0, shares - 1)")))
+    both = own.join(_small(a, rows), ["a", "ka"]).join(hub, ["b", "share"])
+    return both.select("a", "b", "sa", "sb", F.size(F.array_intersect("sa", "sb")).alias("n_shared"))
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, keys: DataFrame, n: int, percent: int, text: str, counts: Broadcast) -> DataFrame:
+    """The pairs (a, b) whose whole sets are similar enough."""
+    both = _compared(pairs, docs, keys, n, text, counts)
+    return both.where(_similar(F.col("n_shared"), F.size("sa"), F.size("sb"), percent)).select("a", "b")
+
+
+def _step(members: DataFrame, docs: DataFrame, keys: DataFrame, n: int, percent: int, text: str, counts: Broadcast) -> tuple[DataFrame, DataFrame]:
+    """Links, and lists (hub, token, id) in which those of ``members(id, hub)`` meet that may still link.
+
+    Write d(x) for the shingles that only one of x and its hub has. What a and b do not share is what d(a) and d(b) do
+    not, so that, with p for ``percent``, t(x) = (100 + p) |d(x)| - (100 - p) |x|, and s for the size of what d(a) and
+    d(b) share, a and b link if and only if 2 (100 + p) s >= t(a) + t(b). Thus
+
+    * members link with the hub if t <= (100 - p) |hub|: of two that do, the component is the same;
+    * members link with the one of smallest t if both t together are at most 0, whatever they share. Of all pairs with
+      such a sum both then lie in that one's component, and other pairs share a shingle of d at least;
+    * a pair not both of which link with the hub has a lower bound of t(b), so each a must share some number s of d(a), and
+      does so within the first |d(a)| - s + 1 of them in any order that is the same for all members of the hub.
+
+    That order takes shingles which the hub lacks first, rarest first: edits of its own that a member shares with none.
+    """
+    both = _compared(members.where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")), docs, keys, n, text, counts)
+    apart = F.concat(F.array_except("sa", "sb"), F.array_except("sb", "sa"))
+    both = both.select(F.col("a").alias("id"), F.col("b").alias("hub"), F.size("sa").alias("size"), F.size("sb").alias("hub_size"), apart.alias("apart"))
+    t = F.expr(f"{100 + percent}L * size(apart) - {100 - percent}L * size")
+    # of a partner with t >= (100 + p) * | |x| - |hub| | - (100 - p) * |x| and a near size, the least t is at the size nearest to the hub's
+    nearest = F.expr(f"least(greatest(hub_size, ceil({percent} * size / 100)), floor(100 * size / {percent}))")
+    linked = F.col("t") <= F.lit(100 - percent) * F.col("hub_size")
+    partner = F.when(linked, F.lit(100 - percent) * F.col("hub_size") + 1).otherwise(F.lit(100 + percent) * F.abs(nearest - F.col("hub_size")) - F.lit(100 - percent) * nearest)
+    shared = F.greatest(F.lit(1), F.ceil((F.col("t") + partner) / F.lit(2 * (100 + percent))))
+    length = F.greatest(F.lit(0), F.size("apart") - shared + 1).cast("int")
+    both = both.withColumn("t", t).select("id", "hub", "hub_size", "t", F.slice("apart", F.lit(1), length).alias("prefix"))
+    both = materialize(both, "apart")
+    least = both.groupBy("hub").agg(F.min(F.struct("t", "id")).alias("least"))
+    free = both.join(_small(least, least.count()), "hub").where(F.col("t") + F.col("least.t") <= 0)
+    links = both.where(linked).select(F.col("id").alias("a"), F.col("hub").alias("b")).union(free.select(F.col("id").alias("a"), F.col("least.id").alias("b")))
+    return links.where("a <> b"), both.select("hub", F.explode("prefix").alias("token"), "id")
 
 
 def _near_size(a: str, b: str, percent: int) -> Column:
@@ -181,9 +236,16 @@ def _enough(percent: int) -> Column:
     return F.size(F.array_intersect("prefix_a", "prefix_b")) + lost >= needed - beyond
 
 
+def _mixed(lists: DataFrame, key: list[str], about: DataFrame) -> DataFrame:
+    """The keys of ``lists`` whose members lie in several components, with their length."""
+    labelled = lists.select(*key, "id").join(about.select("id", "component"), "id").groupBy(*key)
+    return labelled.agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("length")).where("lo < hi").select(*key, "length")
+
+
 def _joined(docs: DataFrame, n: int, percent: int, text: str) -> tuple[DataFrame, DataFrame]:
     """Summaries of the documents, and k1, k2, n_shingles, class_id, component of every class."""
-    all_docs = materialize(summaries(docs, n, percent, text), "summaries")
+    counts = docs.sparkSession.sparkContext.broadcast(bucket_counts(docs, n, text))
+    all_docs = materialize(summaries(docs, n, percent, counts, text), "summaries")
     own = all_docs.where("n_shingles > 0 and doc_id is not null")
     classes = materialize(own.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("id")), "classes")
     keys = classes.select("id", "k1")
@@ -207,26 +269,42 @@ def _joined(docs: DataFrame, n: int, percent: int, text: str) -> tuple[DataFrame
     star = star.select(F.col("id").alias("id_a"), F.col("hub").alias("id_b")).join(about.select(*(F.col(c).alias(f"{c}_a") for c in ("id", "n_shingles", "prefix"))), "id_a").join(side, "id_b")
     star = star.where(_enough(percent)).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
     star = materialize(star, "star")
-    links = materialize(_verified(star, docs, keys, n, percent, text), "links")
+    links = materialize(_verified(star, docs, keys, n, percent, text, counts), "links")
     found = materialize(components(links), "components")
 
-    about = materialize(about.drop("typical").join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id")), "about")
-    labelled = lists.select("token", "id").join(about.select("id", "component"), "id")
-    mixed = labelled.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
+    about = materialize(about.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id")), "about")
+    lengths = _mixed(lists, ["token"], about)
+    held = materialize(lists.select("token", "id", "typical").join(lengths, "token"), "mixed")
+    short = [held.where(F.col("length") <= SHORT_LIST).select(F.col("token").alias("hub"), "token", "id")]
+    held = held.where(F.col("length") > SHORT_LIST).join(hubs.select("token", "hub"), "token").select("id", "hub").distinct()
+    for step in range(STEPS):
+        if not held.take(1):
+            break
+        found, parts = _step(held, docs, keys, n, percent, text, counts)
+        links = links.union(found)
+        parts = materialize(parts.join(_mixed(parts, ["hub", "token"], about), ["hub", "token"]), "parts")
+        last = F.lit(step == STEPS - 1)
+        short.append(parts.where((F.col("length") <= SHORT_LIST) | last).select("hub", "token", "id"))
+        long = parts.where((F.col("length") > SHORT_LIST) & ~last).join(about.select("id", "typical"), "id")
+        member = F.struct("typical", (-F.col("id")).alias("id"))
+        next_hubs = long.where("id <> hub").groupBy("hub", "token").agg((-F.max(member)["id"]).alias("next"))
+        held = materialize(long.join(next_hubs, ["hub", "token"]).select("id", F.col("next").alias("hub")).distinct(), "members")
+
     carried = ["id", "n_shingles", "component", "size", *maps]
-    rest = lists.select("token", "id").join(mixed, "token", "left_semi").join(about.withColumn("size", F.size("prefix")).select(carried), "id")
-    a, b = (rest.select("token", *(F.col(c).alias(f"{c}_{x}") for c in carried)) for x in "ab")
+    about = about.withColumn("size", F.size("prefix"))
+    a, b = (reduce(DataFrame.union, short).join(about.select(carried), "id").select("hub", "token", *(F.col(c).alias(f"{c}_{x}") for c in carried)) for x in "ab")
     near = (F.col("id_a") < F.col("id_b")) & (F.col("component_a") != F.col("component_b")) & _near_size("n_shingles_a", "n_shingles_b", percent)
     # every bit in which the maps differ is a shingle that only one prefix has
     differ = sum((F.bit_count(F.col(f"{m}_a").bitwiseXOR(F.col(f"{m}_b"))) for m in maps), F.lit(0))
     could = F.floor((F.col("size_a") + F.col("size_b") - differ) / 2) >= _needed(percent) - F.greatest(F.col("n_shingles_a") - F.col("size_a"), F.col("n_shingles_b") - F.col("size_b"))
-    pairs = a.join(b, "token").where(near & could).select("id_a", "id_b").distinct()
+    pairs = a.join(b, ["hub", "token"]).where(near & could).select("id_a", "id_b").distinct()
     sides = [about.select(*(F.col(c).alias(f"{c}_{x}") for c in ("id", "n_shingles", "prefix"))) for x in "ab"]
     pairs = pairs.join(sides[0], "id_a").join(sides[1], "id_b").where(_enough(percent)).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
     tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = materialize(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-    links = links.union(_verified(pairs, docs, keys, n, percent, text))
+    pairs = materialize(pairs, "candidates").join(tried, ["a", "b"], "left_anti")
+    links = links.union(_verified(pairs, docs, keys, n, percent, text, counts))
     found = components(links).withColumnRenamed("node", "id")
+    counts.unpersist()
     named = classes.select("k1", "k2", "n_shingles", "id").join(found, "id", "left")
     named = named.select("k1", "k2", "n_shingles", F.col("id").alias("class_id"), F.coalesce("component", "id").alias("component"))
     return all_docs, named
