@@ -195,8 +195,9 @@ def _step(members: DataFrame, docs: DataFrame, keys: DataFrame, n: int, percent:
     * members link with the hub if t <= (100 - p) |hub|: of two that do, the component is the same;
     * members link with the one of smallest t if both t together are at most 0, whatever they share. Of all pairs with
       such a sum both then lie in that one's component, and other pairs share a shingle of d at least;
-    * a pair not both of which link with the hub has a lower bound of t(b), so each a must share some number s of d(a), and
-      does so within the first |d(a)| - s + 1 of them in any order that is the same for all members of the hub.
+    * a pair not both of which link with the hub has a lower bound of t(b): from the sizes, or because |d(b)| can be smaller
+      than |d(a)| only by what a and b may differ in. So each a must share some number s of d(a), and does so within the
+      first |d(a)| - s + 1 of them in any order that is the same for all members of the hub.
 
     That order takes shingles which the hub lacks first, rarest first: edits of its own that a member shares with none.
     """
@@ -208,7 +209,9 @@ def _step(members: DataFrame, docs: DataFrame, keys: DataFrame, n: int, percent:
     nearest = F.expr(f"least(greatest(hub_size, ceil({percent} * size / 100)), floor(100 * size / {percent}))")
     linked = F.col("t") <= F.lit(100 - percent) * F.col("hub_size")
     partner = F.when(linked, F.lit(100 - percent) * F.col("hub_size") + 1).otherwise(F.lit(100 + percent) * F.abs(nearest - F.col("hub_size")) - F.lit(100 - percent) * nearest)
-    shared = F.greatest(F.lit(1), F.ceil((F.col("t") + partner) / F.lit(2 * (100 + percent))))
+    largest = F.expr(f"floor(100 * size / {percent})")
+    far = F.size("apart") - F.floor(F.lit(100 - percent) * (F.col("size") + largest) / (100 + percent))
+    shared = F.greatest(F.lit(1), far, F.ceil((F.col("t") + partner) / F.lit(2 * (100 + percent))))
     length = F.greatest(F.lit(0), F.size("apart") - shared + 1).cast("int")
     both = both.withColumn("t", t).select("id", "hub", "hub_size", "t", F.slice("apart", F.lit(1), length).alias("prefix"))
     both = materialize(both, "apart")
@@ -236,10 +239,21 @@ def _enough(percent: int) -> Column:
     return F.size(F.array_intersect("prefix_a", "prefix_b")) + lost >= needed - beyond
 
 
+def _signed_lists(lists: DataFrame, key: list[str], *more: Column) -> DataFrame:
+    """key, length and two hashes of the members of each list, and ``more`` of it."""
+    return lists.groupBy(*key).agg(F.count("*").alias("length"), F.bit_xor(F.xxhash64("id")).alias("x"), F.sum(F.shiftright(F.xxhash64("id", F.lit(1)), 30)).alias("y"), *more)
+
+
+def _once(lists: DataFrame, key: list[str]) -> DataFrame:
+    """Of the ``_signed_lists`` with equal members (and all but the last column of ``key``) one: they give equal pairs."""
+    *group, last = key
+    return lists.groupBy(*group, "length", "x", "y").agg(F.min(last).alias(last)).select(*key, "length")
+
+
 def _mixed(lists: DataFrame, key: list[str], about: DataFrame) -> DataFrame:
-    """The keys of ``lists`` whose members lie in several components, with their length."""
-    labelled = lists.select(*key, "id").join(about.select("id", "component"), "id").groupBy(*key)
-    return labelled.agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("length")).where("lo < hi").select(*key, "length")
+    """key and length of the ``lists`` whose members lie in several components; of lists with equal members, one."""
+    labelled = lists.select(*key, "id").join(about.select("id", "component"), "id")
+    return _once(_signed_lists(labelled, key, F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi"), key)
 
 
 def _joined(docs: DataFrame, n: int, percent: int, text: str) -> tuple[DataFrame, DataFrame]:
@@ -254,7 +268,8 @@ def _joined(docs: DataFrame, n: int, percent: int, text: str) -> tuple[DataFrame
     # similar sets share a shingle of their shortest prefixes; the rest of the longer ones only counts what is shared
     shortest = F.col("n_shingles") - F.ceil(F.lit(percent) * F.col("n_shingles") / 100) + 1
     posted = named.select("id", F.explode(F.slice("prefix", 1, shortest.cast("int"))).alias("token"))
-    shared = materialize(posted.groupBy("token").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("token"), "shared")
+    shared = _signed_lists(posted, ["token"], F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi")
+    shared = materialize(_once(shared, ["token"]).select("token"), "shared")
     lists = materialize(posted.join(shared, "token", "left_semi"), "postings")
     # folded to 32 bits, shingles in common can only grow in number, which admits a pair too many but loses none
     folded = F.transform("prefix", lambda x: F.hash(x))
