@@ -30,10 +30,12 @@ def get_spark(app: str = "parlance", cores: int | str = "*", **conf: str) -> Spa
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; one of our own only where none is set, as in tests."""
+    """The folder of ``spark.checkpoint.dir``; one of our own only where none is set and all runs on this machine, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         set_before = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not set_before.isDefined() and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: executors need a folder that all of them share")
         found = set_before.get() if set_before.isDefined() else tempfile.mkdtemp(prefix="spark-")
         if not set_before.isDefined():
             spark.sparkContext.setCheckpointDir(found)
