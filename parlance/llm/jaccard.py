@@ -43,9 +43,11 @@ MAP_WORDS = 16
 VERIFY_COST = 16.0
 #: Class ids up to this number are broadcast to fetch their texts (about 80 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
-#: A list up to this length gives its pairs; members of a longer one meet by their differences from its hub, in so many
-#: steps at most, each within the lists that the last one left long.
+#: A list up to this length gives its pairs; members of a longer one that are like its hub meet by their differences from
+#: it, in so many steps at most, each within the lists that the last one left long.
 SHORT_LIST, STEPS = 16, 3
+#: Differences from a hub are taken if so much of its list links with it, directly or not.
+CENTRAL = 0.2
 #: Members that are compared with one hub in a task, about.
 HUB_SHARE = 2000
 #: Classes of a component that are compared at a time, about; and columns of shingles in one matrix product.
@@ -185,8 +187,11 @@ def _verified(pairs: DataFrame, docs: DataFrame, keys: DataFrame, n: int, percen
     return both.where(_similar(F.col("n_shared"), F.size("sa"), F.size("sb"), percent)).select("a", "b")
 
 
-def _step(members: DataFrame, docs: DataFrame, keys: DataFrame, n: int, percent: int, text: str, counts: Broadcast) -> tuple[DataFrame, DataFrame]:
-    """Links, and lists (hub, token, id) in which those of ``members(id, hub)`` meet that may still link.
+def _step(long: DataFrame, docs: DataFrame, keys: DataFrame, n: int, percent: int, text: str, counts: Broadcast) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Links, and two kinds of lists (hub, token, id, component, typical) in which those of ``long`` meet that may still link.
+
+    ``long`` has the same columns: lists, each with its hub. The first kind are lists of differences, the second what is
+    left of the lists as they were.
 
     Write d(x) for the shingles that only one of x and its hub has. What a and b do not share is what d(a) and d(b) do
     not, so that, with p for ``percent``, t(x) = (100 + p) |d(x)| - (100 - p) |x|, and s for the size of what d(a) and
@@ -200,8 +205,13 @@ def _step(members: DataFrame, docs: DataFrame, keys: DataFrame, n: int, percent:
       first |d(a)| - s + 1 of them in any order that is the same for all members of the hub.
 
     That order takes shingles which the hub lacks first, rarest first: edits of its own that a member shares with none.
+
+    Members that have little to do with the hub stay in their list, without the others, as another hub would say no more of
+    them: |d| of two that link differs by no more than they themselves do, so a member with |d| <= |x| / 2 links with none
+    whose |d| is beyond that by as much.
     """
-    both = _compared(members.where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")), docs, keys, n, text, counts)
+    held = long.where("id <> hub").select("id", "hub", "component", "typical").distinct()
+    both = _compared(held.select(F.col("id").alias("a"), F.col("hub").alias("b")), docs, keys, n, text, counts)
     apart = F.concat(F.array_except("sa", "sb"), F.array_except("sb", "sa"))
     both = both.select(F.col("a").alias("id"), F.col("b").alias("hub"), F.size("sa").alias("size"), F.size("sb").alias("hub_size"), apart.alias("apart"))
     t = F.expr(f"{100 + percent}L * size(apart) - {100 - percent}L * size")
@@ -210,15 +220,20 @@ def _step(members: DataFrame, docs: DataFrame, keys: DataFrame, n: int, percent:
     linked = F.col("t") <= F.lit(100 - percent) * F.col("hub_size")
     partner = F.when(linked, F.lit(100 - percent) * F.col("hub_size") + 1).otherwise(F.lit(100 + percent) * F.abs(nearest - F.col("hub_size")) - F.lit(100 - percent) * nearest)
     largest = F.expr(f"floor(100 * size / {percent})")
-    far = F.size("apart") - F.floor(F.lit(100 - percent) * (F.col("size") + largest) / (100 + percent))
-    shared = F.greatest(F.lit(1), far, F.ceil((F.col("t") + partner) / F.lit(2 * (100 + percent))))
+    most = F.floor(F.lit(100 - percent) * (F.col("size") + largest) / (100 + percent))
+    shared = F.greatest(F.lit(1), F.size("apart") - most, F.ceil((F.col("t") + partner) / F.lit(2 * (100 + percent))))
     length = F.greatest(F.lit(0), F.size("apart") - shared + 1).cast("int")
-    both = both.withColumn("t", t).select("id", "hub", "hub_size", "t", F.slice("apart", F.lit(1), length).alias("prefix"))
-    both = materialize(both, "apart")
+    near = F.size("apart") <= F.col("size") / 2 + F.lit(1.5) * (most + 1)
+    prefix = F.when(near, F.slice("apart", F.lit(1), length)).otherwise(F.array().cast("array<bigint>"))
+    both = both.withColumn("t", t).select("id", "hub", "hub_size", "t", prefix.alias("prefix"), (F.size("apart") > F.col("size") / 2).alias("far"))
+    both = materialize(both.join(held, ["id", "hub"]), "apart")
     least = both.groupBy("hub").agg(F.min(F.struct("t", "id")).alias("least"))
     free = both.join(_small(least, least.count()), "hub").where(F.col("t") + F.col("least.t") <= 0)
     links = both.where(linked).select(F.col("id").alias("a"), F.col("hub").alias("b")).union(free.select(F.col("id").alias("a"), F.col("least.id").alias("b")))
-    return links.where("a <> b"), both.select("hub", F.explode("prefix").alias("token"), "id")
+    columns = ["hub", "token", "id", "component", "typical"]
+    alike = both.withColumn("token", F.explode("prefix")).select(columns)
+    others = long.join(both.where("far").select("id", "hub"), ["id", "hub"]).withColumn("token", F.xxhash64("token")).select(columns)
+    return links.where("a <> b"), alike, others
 
 
 def _near_size(a: str, b: str, percent: int) -> Column:
@@ -250,10 +265,9 @@ def _once(lists: DataFrame, key: list[str]) -> DataFrame:
     return lists.groupBy(*group, "length", "x", "y").agg(F.min(last).alias(last)).select(*key, "length")
 
 
-def _mixed(lists: DataFrame, key: list[str], about: DataFrame) -> DataFrame:
+def _mixed(lists: DataFrame, key: list[str]) -> DataFrame:
     """key and length of the ``lists`` whose members lie in several components; of lists with equal members, one."""
-    labelled = lists.select(*key, "id").join(about.select("id", "component"), "id")
-    return _once(_signed_lists(labelled, key, F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi"), key)
+    return _once(_signed_lists(lists, key, F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi"), key)
 
 
 def _joined(docs: DataFrame, n: int, percent: int, text: str) -> tuple[DataFrame, DataFrame]:
@@ -288,22 +302,26 @@ def _joined(docs: DataFrame, n: int, percent: int, text: str) -> tuple[DataFrame
     found = materialize(components(links), "components")
 
     about = materialize(about.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id")), "about")
-    lengths = _mixed(lists, ["token"], about)
-    held = materialize(lists.select("token", "id", "typical").join(lengths, "token"), "mixed")
-    short = [held.where(F.col("length") <= SHORT_LIST).select(F.col("token").alias("hub"), "token", "id")]
-    held = held.where(F.col("length") > SHORT_LIST).join(hubs.select("token", "hub"), "token").select("id", "hub").distinct()
+    lists = materialize(lists.select("token", "id").join(about.select("id", "component", "typical"), "id"), "labelled")
+    held = materialize(lists.join(_mixed(lists, ["token"]), "token"), "mixed")
+    # a hub with which few of its list link tells little of the others
+    central = hubs.select("token", "hub").join(about.select(F.col("id").alias("hub"), F.col("component").alias("own")), "hub")
+    central = held.where(F.col("length") > SHORT_LIST).join(central, "token").groupBy("token", "hub").agg(F.avg((F.col("component") == F.col("own")).cast("int")).alias("share"))
+    central = materialize(central.where(F.col("share") >= CENTRAL).select("token", "hub"), "central")
+    short = [held.join(central, "token", "left_anti").select(F.col("token").alias("hub"), "token", "id")]
+    long = held.join(central, "token")
     for step in range(STEPS):
-        if not held.take(1):
+        if not long.take(1):
             break
-        found, parts = _step(held, docs, keys, n, percent, text, counts)
+        found, parts, others = _step(long, docs, keys, n, percent, text, counts)
         links = links.union(found)
-        parts = materialize(parts.join(_mixed(parts, ["hub", "token"], about), ["hub", "token"]), "parts")
+        short.append(others.join(_mixed(others, ["hub", "token"]), ["hub", "token"]).select("hub", "token", "id"))
+        parts = materialize(parts.join(_mixed(parts, ["hub", "token"]), ["hub", "token"]), "parts")
         last = F.lit(step == STEPS - 1)
         short.append(parts.where((F.col("length") <= SHORT_LIST) | last).select("hub", "token", "id"))
-        long = parts.where((F.col("length") > SHORT_LIST) & ~last).join(about.select("id", "typical"), "id")
-        member = F.struct("typical", (-F.col("id")).alias("id"))
-        next_hubs = long.where("id <> hub").groupBy("hub", "token").agg((-F.max(member)["id"]).alias("next"))
-        held = materialize(long.join(next_hubs, ["hub", "token"]).select("id", F.col("next").alias("hub")).distinct(), "members")
+        long = parts.where((F.col("length") > SHORT_LIST) & ~last)
+        next_hubs = long.groupBy("hub", "token").agg((-F.max(F.struct("typical", (-F.col("id")).alias("id")))["id"]).alias("next"))
+        long = materialize(long.join(next_hubs, ["hub", "token"]).select(F.col("next").alias("hub"), F.xxhash64("hub", "token").alias("token"), "id", "component", "typical"), "members")
 
     carried = ["id", "n_shingles", "component", "size", *maps]
     about = about.withColumn("size", F.size("prefix"))

@@ -120,8 +120,9 @@ def brute_components(docs, n, percent):
     return {i: (len(sets[i]), root(i)) for i in sets}
 
 
-@pytest.mark.parametrize("n, percent", [(3, 90), (5, 80), (2, 50)])
-def test_jaccard_components(spark, n, percent):
+@pytest.mark.parametrize("n, percent, short", [(3, 90, 16), (5, 80, 2), (2, 50, 2)])
+def test_jaccard_components(spark, monkeypatch, n, percent, short):
+    monkeypatch.setattr(jaccard, "SHORT_LIST", short)
     r = random.Random(n)
     words = [f"w{k}" for k in range(60)]
     texts = [*ODD]
@@ -130,6 +131,10 @@ def test_jaccard_components(spark, n, percent):
         for _ in range(14):  # chains of copies of copies, so that links are not all to one centre
             base = [r.choice(words) if r.random() < 0.02 else w for w in base]
             texts.append(" ".join(base))
+    base = [r.choice(words) for _ in range(80)]
+    for k in range(40):  # one family around a centre, some members of which are just too far from it
+        own = [f"v{k} {w}" if r.random() < 0.004 * (k % 9) else w for w in base]
+        texts.append(" ".join(own if k % 4 else own[: 80 - k % 7]))
     docs = list(enumerate(texts))
     found = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard.jaccard_components(docs_of(spark, texts), n, percent).collect()}
     assert found == brute_components(docs, n, percent)
