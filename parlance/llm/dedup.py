@@ -22,6 +22,8 @@ WHITE = r"[\x20\x09-\x0D]+"
 BROADCAST_GROUPS = 300_000
 #: Members of one group that are compared in one task with a copy of the content that stays.
 MEMBERS_PER_SALT = 2000
+#: Columns of the result, and those that it needs on the way: input columns of these names give way to them.
+RESULTS = ("keep_id", "group_size", "kept", "text_sha256", "_file", "_row", "_digest", "_here", "_n", "_keep", "_keeper", "_bytes", "_n2", "_keep2", "_keeper2")
 #: State on disk, and closed when its task has committed it: an idle store holds some MB of disk for each partition.
 STATE_SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
