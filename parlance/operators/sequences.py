@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import difflib
 import unicodedata
+from bisect import bisect_right
+from collections import defaultdict
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -128,27 +130,35 @@ def collapse_ngrams(text: str, min_words: int = 2) -> str:
     if it has letters and is not one whose doubling is normal speech.
     """
     tokens = text.split()
-    changed = False
-    while True:
-        keys, places = [], []
-        for at, token in enumerate(tokens):
-            key = "".join(c for c in token if c.isalnum()).casefold()
-            if key:
-                keys.append(key)
-                places.append(at)
-        cut = None
-        for i in range(len(keys)):
-            for n in range((len(keys) - i) // 2, 0, -1):
-                single = keys[i] not in LEGIT_REPEATS and any(map(str.isalpha, keys[i]))
-                if keys[i : i + n] == keys[i + n : i + 2 * n] and (n >= min_words or (n == 1 and single)):
-                    cut = (places[i + n], places[i + 2 * n - 1] + 1)
-                    break
-            if cut:
+    places = [at for at, token in enumerate(tokens) if any(map(str.isalnum, token))]
+    keys = ["".join(c for c in tokens[at] if c.isalnum()).casefold() for at in places]
+    cut: set[int] = set()
+    while found := _first_repeat(keys, min_words):
+        i, n = found
+        cut.update(range(places[i + n], places[i + 2 * n - 1] + 1))
+        del keys[i + n : i + 2 * n], places[i + n : i + 2 * n]
+    return " ".join(t for at, t in enumerate(tokens) if at not in cut) if cut else text
+
+
+def _first_repeat(keys: list[str], min_words: int) -> tuple[int, int] | None:
+    """The leftmost place from which on a sequence stands twice, and its greatest length there."""
+    pairs: dict[tuple[str, str], list[int]] = defaultdict(list)
+    for i, pair in enumerate(zip(keys, keys[1:])):
+        pairs[pair].append(i)
+    for i, (key, after) in enumerate(zip(keys, keys[1:])):
+        single = 1 >= min_words or (key not in LEGIT_REPEATS and any(map(str.isalpha, key)))
+        longest = int(key == after and single)
+        # the second sequence begins with the same two words
+        begins = pairs[key, after]
+        for j in begins[bisect_right(begins, max(i, i + min_words - 1)) :]:
+            n = j - i
+            if j + n > len(keys):
                 break
-        if not cut:
-            return " ".join(tokens) if changed else text
-        del tokens[cut[0] : cut[1]]
-        changed = True
+            if n > 1 and keys[j - 1] == keys[j + n - 1] and keys[i + n // 2] == keys[j + n // 2] and keys[i:j] == keys[j : j + n]:
+                longest = n
+        if longest:
+            return i, longest
+    return None
 
 
 def clean_artifacts(entries: DataFrame, drop_sparse: bool = True) -> DataFrame:

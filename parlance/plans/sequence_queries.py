@@ -12,7 +12,7 @@ from parlance.plans.inputs import ENT, SPK, entries, read, segments, speaker_seg
 
 WORDS = "wd AS (SELECT rec_id, idx, CASE WHEN idx % 7 = 0 THEN NULL ELSE speaker_id END AS speaker_id, start_ms, CASE WHEN idx % 5 = 1 THEN start_ms + 100 ELSE end_ms END AS end_ms FROM spk)"
 FRAMES = "fr AS (SELECT strftime(ts, '%Y-%m-%d') AS rec_id, event_id, epoch_us(ts) // 1000 AS ts_ms, event_type = 'signup' AS scene_cut, [(user_id % 4)::DOUBLE / 100, floor(value / 200) / 20] AS features FROM events)"
-TOKENS = "tk AS (SELECT conv_id * 10 + turn AS rec_id, i AS idx, CASE WHEN i % 3 = 0 THEN ' ' ELSE '' END || substr(text, i::INT * 3 + 1, 3) AS text, i * 200 AS start_ms, i * 200 + (i * 37) % 250 AS end_ms, (i * 31 % 100) / 100.0::DOUBLE AS p FROM (SELECT *, unnest(range(0, 12)) AS i FROM conversations))"
+TOKENS = "tk AS (SELECT conv_id * 10 + turn AS rec_id, i AS idx, CASE WHEN i % 3 = 0 THEN ' ' ELSE '' END || substr(text, i::INT * 3 + 1, 3) AS text, i * 200 AS start_ms, i * 200 + (i * 37) % 250 AS end_ms, (i * 31 % 100) / 100.0::DOUBLE AS p FROM (SELECT *, unnest(range(0, greatest(1, ceil(length(coalesce(text, '')) / 3)::INT))) AS i FROM conversations))"
 PROGRESS = "pg AS (SELECT user_id AS job_id, epoch_us(ts) // 1000 AS ts_ms, event_id AS seq, CASE WHEN event_type = 'error' THEN 'done' ELSE event_type END AS stage, value < 5 AS cached FROM events)"
 
 
@@ -21,7 +21,7 @@ def words(spark, sf):
 
 
 def tokens(spark, sf):
-    c = read(spark, sf, "conversations").selectExpr("conv_id * 10 + turn as rec_id", "text", "explode(sequence(0, 11)) as i")
+    c = read(spark, sf, "conversations").selectExpr("conv_id * 10 + turn as rec_id", "text", "explode(sequence(0, greatest(1, cast(ceil(length(coalesce(text, '')) / 3) as int)) - 1)) as i")
     return c.selectExpr("rec_id", "cast(i as bigint) as idx", "concat(case when i % 3 = 0 then ' ' else '' end, substr(text, i * 3 + 1, 3)) as text", "cast(i * 200 as bigint) as start_ms", "cast(i * 200 + (i * 37) % 250 as bigint) as end_ms", "cast(i * 31 % 100 as double) / 100 as p")
 
 
@@ -43,7 +43,7 @@ def w03(spark, sf):
 
 
 def _repeating(spark, sf):
-    return entries(spark, sf).withColumn("text", F.when(F.col("idx") % 4 < 2, F.concat(F.lit("Same words again "), (F.col("rec_id") % 3).cast("string"))).otherwise(F.substring("text", 1, 80)))
+    return entries(spark, sf).withColumn("text", F.when(F.col("idx") % 4 < 2, F.concat(F.lit("Same words again "), (F.col("rec_id") % 3).cast("string"))).otherwise(F.col("text")))
 
 
 def w04_exact(spark, sf):
@@ -55,7 +55,7 @@ def w04_fuzzy(spark, sf):
 
 
 def w05(spark, sf):
-    noisy = entries(spark, sf).withColumn("text", F.expr("case (rec_id * 3 + idx) % 8 when 0 then 'Applause.' when 1 then 'applause applause' when 2 then '[MUSIC]' when 3 then 'Laughter' when 4 then 'Thanks for watching' else substr(text, 1, 120) end"))
+    noisy = entries(spark, sf).withColumn("text", F.expr("case (rec_id * 3 + idx) % 8 when 0 then 'Applause.' when 1 then 'applause applause' when 2 then '[MUSIC]' when 3 then 'Laughter' when 4 then 'Thanks for watching' else text end"))
     return S.clean_artifacts(noisy).select("rec_id", "idx", "text")
 
 
@@ -159,7 +159,7 @@ def p01(spark, sf):
 def p13(spark, sf):
     """Names with a part of three letters or more among the words, whole or as a prefix with up to three letters more."""
     words = read(spark, sf, "documents").select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)))).alias("tok")).distinct()
-    parts = read(spark, sf, "benchmark").selectExpr("item_id", "explode(slice(regexp_extract_all(lower(text), '\\\\p{L}+', 0), 1, 12)) as part").where("length(part) >= 3")
+    parts = read(spark, sf, "benchmark").selectExpr("item_id", "explode(array_distinct(regexp_extract_all(lower(text), '\\\\p{L}+', 0))) as part").where("length(part) >= 3")
     exact = parts.join(words, F.col("tok") == F.col("part"), "left_semi")
     long = parts.where("length(part) >= 4")
     # a prefix of each length that may match makes an equality of it
@@ -213,5 +213,5 @@ ORACLES = {
     "a34_same_name_pairs": "SELECT * FROM (SELECT s_nationkey AS rec_id, s_suppkey AS source, first_value(s_suppkey) OVER (PARTITION BY s_nationkey, s_suppkey % 3 ORDER BY s_suppkey) AS target FROM supplier) WHERE source <> target",
     "j22_speaker_remap": f"WITH {ENT}, m AS (SELECT rec_id, idx, CASE WHEN speaker_id = 'user' THEN 'A' ELSE speaker_id END AS s FROM ent) SELECT rec_id, idx, s AS speaker_id, CASE WHEN s IS NULL THEN 'B,A' WHEN s = 'A' THEN 'B' WHEN s = 'B' THEN 'A' ELSE 'B,A' END AS extras FROM m",
     "p01_time_window": f"WITH {ENT} SELECT rec_id, idx, start_ms >= 10000 AND end_ms <= 30000 AS inside, CASE WHEN start_ms >= 10000 AND end_ms <= 30000 THEN 'X' ELSE speaker_id END AS speaker_id FROM ent WHERE end_ms > 10000 AND start_ms < 30000",
-    "p13_participants": r"WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '\p{L}+')) AS tok FROM documents), p AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '\p{L}+')[1:12]) AS part FROM benchmark), d AS (SELECT DISTINCT part FROM p WHERE length(part) >= 3), ok AS (SELECT part FROM d WHERE EXISTS (SELECT 1 FROM w WHERE tok = part OR (length(part) >= 4 AND starts_with(tok, part) AND length(tok) - length(part) <= 3))) SELECT item_id, part FROM p WHERE part IN (SELECT part FROM ok)",
+    "p13_participants": r"WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '\p{L}+')) AS tok FROM documents), p AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '\p{L}+')) AS part FROM benchmark), d AS (SELECT DISTINCT part FROM p WHERE length(part) >= 3), ok AS (SELECT part FROM d WHERE EXISTS (SELECT 1 FROM w WHERE tok = part OR (length(part) >= 4 AND starts_with(tok, part) AND length(tok) - length(part) <= 3))) SELECT item_id, part FROM p WHERE part IN (SELECT part FROM ok)",
 }

@@ -80,7 +80,7 @@ def a30(spark, sf):
 
 
 def u04(spark, sf):
-    s = entries(spark, sf).select("rec_id", "idx", F.when(F.col("idx") % 3 == 0, F.lit("")).otherwise(F.substring("text", 1, 30)).alias("text"), F.array((F.col("idx") % 4 / 10).cast("double"), F.lit(0.5)).alias("features"))
+    s = entries(spark, sf).select("rec_id", "idx", F.when(F.col("idx") % 3 == 0, F.lit("")).otherwise(F.col("text")).alias("text"), F.array((F.col("idx") % 4 / 10).cast("double"), F.lit(0.5)).alias("features"))
     return M.slide_groups(s)
 
 
@@ -123,12 +123,12 @@ def j13(spark, sf):
 
 
 def f06(spark, sf):
-    d = read(spark, sf, "documents").select("doc_id", F.concat(F.substring("text", 1, 60), F.lit(" again again. And "), F.substring("text", 1, 40), F.lit(" "), F.substring("text", 1, 40)).alias("text"))
+    d = read(spark, sf, "documents").select("doc_id", F.concat(F.col("text"), F.lit(" again again. And so it is, and so it is")).alias("text"))
     return d.select("doc_id", M.mapped(S.collapse_ngrams, F.col("text")).alias("text"))
 
 
 def f10(spark, sf):
-    e = entries(spark, sf).where("text is not null").select("rec_id", "idx", F.substring("text", 1, 60).alias("a"))
+    e = entries(spark, sf).where("text is not null").select("rec_id", "idx", F.col("text").alias("a"))
     n = e.select("rec_id", (F.col("idx") - 1).alias("idx"), F.col("a").alias("b"))
     return e.join(n, ["rec_id", "idx"]).select("rec_id", "idx", F.round(M.similarity_ratio(F.col("a"), F.col("b")), 6).alias("ratio"))
 
@@ -138,16 +138,14 @@ def f12(spark, sf):
     def sync(old: pd.Series, new: pd.Series) -> pd.Series:
         return pd.Series([E.sync_words((a or "").split(), (b or "").split()) for a, b in zip(old, new)])
 
-    e = entries(spark, sf).withColumn("new", F.regexp_replace("text", "^(\\S+) (\\S+)", "$2 $1"))
+    e = entries(spark, sf).withColumn("new", F.regexp_replace(F.regexp_replace("text", "^\\S+ ", ""), "[.,]", ""))
     return e.select("rec_id", "idx", F.size(sync(F.col("text"), F.col("new"))).alias("n_synced"))
 
 
 def f18(spark, sf):
-    def fixed(text: str) -> str:
-        return E.apply(text, E.suggest(text))
-
-    d = read(spark, sf, "documents").select("doc_id", F.concat(F.lit("Well  well , yes.. "), F.substring("text", 1, 80)).alias("text"))
-    return d.select("doc_id", M.mapped(fixed, F.col("text")).alias("text"))
+    d = read(spark, sf, "documents").select("doc_id", F.concat(F.lit(" Well  well ,yes !! 5 % - so - "), F.col("text"), F.lit(" ")).alias("text"))
+    edits = d.select("doc_id", "text", E.apart(E.hits(F.col("text"))).alias("edits"))
+    return edits.select("doc_id", F.size("edits").alias("n_edits"), E.apply(F.col("text"), F.col("edits")).alias("text"))
 
 
 def f24(spark, sf):

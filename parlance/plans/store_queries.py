@@ -118,7 +118,7 @@ def a41(spark, sf):
 
 def l01(spark, sf):
     o = read(spark, sf, "orders").withColumn("meeting", F.expr("case when o_orderkey % 6 = 0 then null else date_format(o_orderdate, 'yyyy-MM-dd') end"))
-    top = o.orderBy(F.coalesce("meeting", F.lit("")).desc(), F.desc("o_totalprice"), "o_orderkey").limit(150)
+    top = o.orderBy(F.coalesce("meeting", F.lit("")).desc(), F.desc("o_totalprice"), "o_orderkey")
     return top.select("o_orderkey", "meeting")
 
 
@@ -136,7 +136,7 @@ def l03(spark, sf):
 
 
 def l09(spark, sf):
-    return read(spark, sf, "orders").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")).limit(100).select("o_orderkey", F.col("o_orderdate").cast("date").alias("created"))
+    return read(spark, sf, "orders").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")).select("o_orderkey", F.col("o_orderdate").cast("date").alias("created"))
 
 
 def p09(spark, sf):
@@ -146,7 +146,7 @@ def p09(spark, sf):
 
 def p10(spark, sf):
     o = read(spark, sf, "orders").withColumn("deleted_at", F.expr("case when o_orderstatus = 'F' then o_orderdate end"))
-    return o.where("deleted_at is null").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")).select("o_orderkey").limit(200)
+    return o.where("deleted_at is null").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")).select("o_orderkey")
 
 
 def u01(spark, sf):
@@ -206,7 +206,7 @@ def u08(spark, sf):
 
 
 def u09(spark, sf):
-    e = entries(spark, sf).withColumn("original_text", F.when(F.col("idx") % 6 == 0, F.lit("first"))).withColumn("text", F.substring("text", 1, 20))
+    e = entries(spark, sf).withColumn("original_text", F.when(F.col("idx") % 6 == 0, F.lit("first")))
     edits = e.where("idx % 3 = 0").select("rec_id", "idx", F.concat(F.lit("edited "), F.col("idx").cast("string")).alias("text"))
     return S.overlay(e, edits, e.where("idx % 4 = 0").select("rec_id", "idx"))
 
@@ -228,7 +228,7 @@ def j12(spark, sf):
 
 def j19(spark, sf):
     """Aliases replaced word by word from a lookup table."""
-    words = read(spark, sf, "documents").select("doc_id", F.posexplode(F.slice(F.split("text", " "), 1, 40)).alias("pos", "word"))
+    words = read(spark, sf, "documents").select("doc_id", F.explode(F.split("text", " ")).alias("word"))
     alias = read(spark, sf, "documents").where("text is not null").select(F.explode(F.slice(F.split(F.lower("text"), " "), 1, 3)).alias("alias")).where("length(alias) >= 6").distinct()
     hit = words.join(alias, F.lower("word") == F.col("alias"), "left")
     return hit.where("alias is not null").groupBy("doc_id").agg(F.count("*").alias("n_replaced"))
@@ -313,12 +313,12 @@ ORACLES = {
     "a38_speech_budget": f"WITH {STAGE}, u AS (SELECT *, coalesce(sum(seconds) OVER (PARTITION BY worker, stage ORDER BY job_id, pos, seconds ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM stg WHERE seconds >= 0.5) SELECT worker, stage, sum(least(seconds, 60 - used)) AS taken, count(*) AS n FROM u WHERE used < 60 GROUP BY ALL",
     "a39_import_report": "WITH n AS (SELECT p_partkey AS pos, lower(trim(CASE WHEN p_partkey % 50 = 0 THEN '' ELSE p_name END)) AS c, lower(trim(p_type)) AS v FROM part), k AS (SELECT DISTINCT lower(trim(p_name)) AS c, lower(trim(p_type)) AS v FROM part WHERE p_partkey % 10 = 0), m AS (SELECT n.*, row_number() OVER (PARTITION BY c, v ORDER BY pos) AS r, (c, v) IN (SELECT (c, v) FROM k) AS known FROM n) SELECT count(*) FILTER (c <> '' AND r = 1 AND NOT known) AS added, count(*) FILTER (NOT (c <> '' AND r = 1 AND NOT known)) AS skipped, count(*) AS total FROM m",
     "a41_result_summary": f"WITH {ENT} SELECT rec_id, count(*) AS n_entries, count(DISTINCT speaker_id) AS n_speakers, sum(length(text))::BIGINT AS n_chars FROM ent GROUP BY 1",
-    "l01_archive_order": "SELECT o_orderkey, CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE strftime(o_orderdate, '%Y-%m-%d') END AS meeting FROM orders ORDER BY coalesce(CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE strftime(o_orderdate, '%Y-%m-%d') END, '') DESC, o_totalprice DESC, o_orderkey LIMIT 150",
+    "l01_archive_order": "SELECT o_orderkey, CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE strftime(o_orderdate, '%Y-%m-%d') END AS meeting FROM orders ORDER BY coalesce(CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE strftime(o_orderdate, '%Y-%m-%d') END, '') DESC, o_totalprice DESC, o_orderkey",
     "l02_pagination": "SELECT p_partkey, p_name, (SELECT count(*) FROM part WHERE p_size > 10) AS total FROM part WHERE p_size > 10 ORDER BY p_name, p_partkey LIMIT 50 OFFSET 100",
     "l03_longest_segments": "SELECT * FROM (SELECT user_id, event_id, floor(value * 1000)::BIGINT AS ms, row_number() OVER (PARTITION BY user_id ORDER BY floor(value * 1000) DESC, event_id) AS rank FROM events WHERE floor(value * 1000) >= 500) WHERE rank <= 10",
-    "l09_job_order": "SELECT o_orderkey, o_orderdate::DATE AS created FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 100",
+    "l09_job_order": "SELECT o_orderkey, o_orderdate::DATE AS created FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC",
     "p09_date_range": "SELECT o_orderkey FROM orders WHERE o_orderkey % 8 <> 0 AND o_orderdate::DATE BETWEEN '1996-01-01' AND '1996-12-31'",
-    "p10_soft_delete_filter": "SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'F' ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 200",
+    "p10_soft_delete_filter": "SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'F' ORDER BY o_orderdate DESC, o_orderkey DESC",
     "u01_ordered_union": "WITH u AS (SELECT p_name AS name, 0 AS part, p_partkey AS pos FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT p_name, 1, p_partkey FROM part) SELECT name, arg_min(part, (part, pos)) AS part, arg_min(pos, (part, pos)) AS pos FROM u GROUP BY name",
     "u02_multiset_difference": "SELECT p_brand, p_size FROM part EXCEPT ALL SELECT p_brand, p_size FROM part WHERE p_partkey % 3 = 0",
     "u03_jaccard": f"WITH {ENT}, c AS (SELECT rec_id, idx, list_distinct(regexp_extract_all(lower(text), '\\p{{L}}+')) AS w FROM ent WHERE text IS NOT NULL) SELECT a.rec_id, a.idx, round(CASE WHEN len(a.w) = 0 AND len(b.w) = 0 THEN 1.0 ELSE len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) END, 6) AS jaccard FROM c a JOIN c b ON a.rec_id = b.rec_id AND b.idx = a.idx + 1",
@@ -327,10 +327,10 @@ ORACLES = {
     "u06_delete_to_null": "SELECT s_suppkey, CASE WHEN s_nationkey % 5 <> 0 THEN s_nationkey END AS source_id FROM supplier",
     "u07_soft_delete": "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN coalesce(CASE WHEN o_orderkey % 4 = 0 THEN o_orderdate::DATE END, '2024-01-01'::DATE) WHEN o_orderkey % 7 = 0 THEN NULL WHEN o_orderkey % 4 = 0 THEN o_orderdate::DATE END AS deleted_at FROM orders",
     "u08_seed_defaults": "WITH o AS (SELECT p_name, min(p_partkey) AS id FROM part WHERE p_partkey % 2 = 0 GROUP BY 1), s AS (SELECT p_name, min(p_partkey) AS id FROM part GROUP BY 1), e AS (SELECT * FROM o UNION ALL SELECT * FROM s WHERE p_name NOT IN (SELECT p_name FROM o)) SELECT p_name, id, id = (SELECT min(id) FROM e WHERE id > 0) AS active FROM e",
-    "u09_edit_overlay": f"WITH {ENT}, e AS (SELECT rec_id, idx, substr(text, 1, 20) AS text, CASE WHEN idx % 6 = 0 THEN 'first' END AS o FROM ent) SELECT rec_id, idx, CASE WHEN idx % 4 = 0 THEN coalesce(o, text) WHEN idx % 3 = 0 THEN 'edited ' || idx ELSE text END AS text, CASE WHEN idx % 4 = 0 THEN NULL WHEN idx % 3 = 0 THEN coalesce(o, text) ELSE o END AS original_text, CASE WHEN idx % 4 = 0 THEN false ELSE idx % 3 = 0 OR o IS NOT NULL END AS edited FROM e",
+    "u09_edit_overlay": f"WITH {ENT}, e AS (SELECT rec_id, idx, text, CASE WHEN idx % 6 = 0 THEN 'first' END AS o FROM ent) SELECT rec_id, idx, CASE WHEN idx % 4 = 0 THEN coalesce(o, text) WHEN idx % 3 = 0 THEN 'edited ' || idx ELSE text END AS text, CASE WHEN idx % 4 = 0 THEN NULL WHEN idx % 3 = 0 THEN coalesce(o, text) ELSE o END AS original_text, CASE WHEN idx % 4 = 0 THEN false ELSE idx % 3 = 0 OR o IS NOT NULL END AS edited FROM e",
     "u11_partial_update": "SELECT p_partkey, CASE WHEN p_partkey % 6 = 0 THEN 'new' ELSE p_name END AS p_name, CASE WHEN p_partkey % 15 = 0 THEN NULL ELSE p_type END AS p_type FROM part",
     "j12_edit_carry_over": f"WITH {ENT} SELECT rec_id, idx, CASE WHEN idx % 2 = 0 THEN 'was ' || idx ELSE '' END AS carried FROM ent",
-    "j19_alias_lookup": "WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')[1:40]) AS word FROM documents), a AS (SELECT DISTINCT * FROM (SELECT unnest(string_split(lower(text), ' ')[1:3]) AS alias FROM documents) WHERE length(alias) >= 6) SELECT doc_id, count(*) AS n_replaced FROM w JOIN a ON lower(word) = alias GROUP BY 1",
+    "j19_alias_lookup": "WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS word FROM documents), a AS (SELECT DISTINCT * FROM (SELECT unnest(string_split(lower(text), ' ')[1:3]) AS alias FROM documents) WHERE length(alias) >= 6) SELECT doc_id, count(*) AS n_replaced FROM w JOIN a ON lower(word) = alias GROUP BY 1",
     "j20_citations": f"WITH {ENT}, c AS (SELECT DISTINCT conv_id AS rec_id FROM conversations WHERE conv_id IS NOT NULL), n AS (SELECT rec_id, unnest([rec_id % 4, rec_id % 3, rec_id % 4, 99]) AS idx, unnest([0, 1, 2, 3]) AS pos FROM c), m AS (SELECT rec_id, idx, min(pos) AS pos FROM n GROUP BY ALL) SELECT m.rec_id, m.idx, m.pos, e.speaker_id FROM m JOIN ent e USING (rec_id, idx)",
     "k01_json_export": f"WITH {ENT} SELECT rec_id, count(*) AS n, round(sum(end_ms / 1000), 3) AS ends FROM ent GROUP BY 1",
     "k02_srt_export": f"WITH {ENT}, n AS (SELECT *, row_number() OVER (PARTITION BY rec_id ORDER BY idx) AS n FROM ent) SELECT rec_id, n, md5(n || chr(10) || {_CLOCK.format('start_ms')} || ',' || {_MS.format('start_ms')} || ' --> ' || {_CLOCK.format('end_ms')} || ',' || {_MS.format('end_ms')} || chr(10) || CASE WHEN speaker_id IS NULL THEN '' ELSE speaker_id || ': ' END || coalesce(text, '') || chr(10)) AS cue FROM n",

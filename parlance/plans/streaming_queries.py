@@ -40,7 +40,7 @@ def r04(spark, sf):
 
 def r06(spark, sf):
     rows = _events(spark, sf).select(F.col("user_id").alias("key"), F.col("event_id").alias("order"), F.col("event_type").alias("stage"))
-    return L.drain(L.live_runs(rows))
+    return L.settled_runs(L.drain(L.live_runs(rows)))
 
 
 def r07(spark, sf):
@@ -63,7 +63,7 @@ ORACLES = {
     "r04_enriched_progress": "WITH p AS (SELECT event_type AS stage, round(median(value), 4) AS weight FROM events GROUP BY 1) SELECT event_id, stage, round(value / weight, 4) AS ratio FROM events JOIN p ON event_type = stage",
     "r06_live_runs": """WITH r AS (SELECT *, sum(CASE WHEN p IS NOT DISTINCT FROM event_type THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY event_id) AS run FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM events)),
         g AS (SELECT user_id, run, any_value(event_type) AS stage, min(event_id) AS s, count(*) AS n FROM r GROUP BY user_id, run), e AS (SELECT *, lead(s) OVER (PARTITION BY user_id ORDER BY s) AS nx FROM g)
-        SELECT user_id AS key, stage, s AS start, nx AS "end", n FROM e WHERE nx IS NOT NULL""",
+        SELECT user_id AS key, stage, s AS start, nx AS "end", n FROM e""",
     "r07_live_sessions": """WITH r AS (SELECT *, sum(CASE WHEN ts - p <= INTERVAL 3 HOUR THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts) AS run FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS p FROM events))
         SELECT user_id AS key, floor(epoch(min(ts)))::BIGINT AS start_s, count(*) AS n, round(sum(value), 2) AS total FROM r GROUP BY user_id, run""",
     "r09_windows_with_watermark": "SELECT event_type AS key, epoch(date_trunc('day', ts))::BIGINT AS start_s, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2",

@@ -8,15 +8,18 @@ from parlance.functions import text as T
 from parlance.plans.inputs import ENT, entries, read
 
 NOTE = (
-    "CASE WHEN doc_id % 11 = 0 THEN concat('[LAUGHTER and music] ', substr(text, 1, 200)) WHEN doc_id % 11 = 1 THEN concat(substr(text, 1, 150), ' (pause 5 sec) ok , right ..  yes !!  12 : 30  7 , 5  50 %') "
-    "WHEN doc_id % 11 = 2 THEN 'Thanks for watching!' WHEN doc_id % 11 = 3 THEN 'Applause, laughter' WHEN doc_id % 11 = 4 THEN concat('Translated by ', substr(text, 1, 20)) "
-    "WHEN doc_id % 11 = 5 THEN concat('♪ music ♪ ', substr(text, 1, 60), '....') WHEN doc_id % 11 = 6 THEN '  ' ELSE substr(text, 1, 300) END"
+    "CASE WHEN doc_id % 11 = 0 THEN concat('[LAUGHTER and music] ', text) WHEN doc_id % 11 = 1 THEN concat(text, ' (pause 5 sec) ok , right ..  yes !!  12 : 30  7 , 5  50 %') "
+    "WHEN doc_id % 11 = 5 THEN concat('♪ music ♪ ', text, '....') ELSE text END"
 )
-NOTES = f"notes AS (SELECT doc_id, {NOTE} AS note, doc_id % 30 * 1000 AS ms FROM documents)"
+# short entries stand beside the whole texts, none in the place of one
+SHORT = "CASE doc_id % 11 WHEN 2 THEN 'Thanks for watching!' WHEN 3 THEN 'Applause, laughter' WHEN 4 THEN concat('Translated by ', coalesce(source, 'nobody')) ELSE '  ' END"
+NOTES = f"notes AS (SELECT doc_id, {NOTE} AS note, doc_id % 30 * 1000 AS ms FROM documents UNION ALL SELECT doc_id, {SHORT}, doc_id % 30 * 1000 FROM documents WHERE doc_id % 11 IN (2, 3, 4, 6))"
 
 
 def notes(spark, sf):
-    return read(spark, sf, "documents").selectExpr("doc_id", f"{NOTE} AS note", "doc_id % 30 * 1000 AS ms")
+    d = read(spark, sf, "documents")
+    short = d.where("doc_id % 11 in (2, 3, 4, 6)").selectExpr("doc_id", f"{SHORT} AS note", "doc_id % 30 * 1000 AS ms")
+    return d.selectExpr("doc_id", f"{NOTE} AS note", "doc_id % 30 * 1000 AS ms").union(short)
 
 
 def _sql_steps(expr: str, steps: list[tuple[str, str]]) -> str:
@@ -150,7 +153,7 @@ def p14(spark, sf):
 
 def a31(spark, sf):
     words = read(spark, sf, "documents").select(F.explode(T.words_of(F.lower("text"))).alias("term"))
-    return words.where(F.length("term") >= 8).groupBy("term").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "term").limit(200)
+    return words.where(F.length("term") >= 8).groupBy("term").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "term")
 
 
 def a32(spark, sf):
@@ -198,6 +201,6 @@ ORACLES = {
     "p08_all_terms_filter": f"WITH {ENT} SELECT rec_id, idx FROM ent WHERE contains(lower(concat_ws(chr(10), speaker_id, text)), 'th') AND contains(lower(concat_ws(chr(10), speaker_id, text)), 'er')",
     "p12_haystack_search": "SELECT p_partkey FROM part WHERE contains(lower(concat_ws(' ', p_name, p_brand, p_type)), 'brand#1')",
     "p14_human_name": "SELECT s_suppkey, CASE s_suppkey % 4 WHEN 1 THEN s_name WHEN 2 THEN s_name END AS name FROM supplier",
-    "a31_term_frequency": r"SELECT term, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '\p{L}+')) AS term FROM documents) WHERE length(term) >= 8 GROUP BY term ORDER BY n DESC, term LIMIT 200",
+    "a31_term_frequency": r"SELECT term, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '\p{L}+')) AS term FROM documents) WHERE length(term) >= 8 GROUP BY term ORDER BY n DESC, term",
     "a32_new_terms": r"WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(text, '\p{L}+')) AS term FROM documents) SELECT DISTINCT lower(term) AS folded FROM w WHERE length(term) >= 6 AND term <> lower(term) AND lower(term) NOT IN (SELECT term FROM w WHERE term = lower(term))",
 }

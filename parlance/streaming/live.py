@@ -79,7 +79,8 @@ def live_windows(events: DataFrame, width: str = "1 hour", late: str = "10 minut
 
 
 def live_runs(events: DataFrame) -> DataFrame:
-    """Runs of one stage within a key, given out when the next stage begins: events (key, order, stage).
+    """Runs of one stage within a key: events (key, order, stage). A run is given out when the next stage begins, and with a
+    null end after each batch that leaves it open; ``settled_runs`` keeps the last word on each.
 
     What ``session_window`` cannot say: a run breaks where the stage changes. The open run of each key is its state.
     """
@@ -95,11 +96,18 @@ def live_runs(events: DataFrame) -> DataFrame:
                 out.append((key[0], stage, start, int(r.order), n))
             stage, start, n = r.stage, int(r.order), 1
         state.update((stage, start, n))
-        yield pd.DataFrame(out, columns=["key", "stage", "start", "end", "n"])
+        found = pd.DataFrame([*out, (key[0], stage, start, None, n)], columns=["key", "stage", "start", "end", "n"])
+        yield found.astype({"end": "Int64"})
 
     return events.groupBy("key").applyInPandasWithState(fold, f"key {dict(events.dtypes)['key']}, stage string, start long, end long, n long", "stage string, start long, n long", "append", GroupStateTimeout.NoTimeout)
 
 
+def settled_runs(runs: DataFrame) -> DataFrame:
+    """The last state of each of ``live_runs``: closed, or open at the end of the stream. A run only grows before it closes."""
+    last = F.max_by(F.struct("stage", "end", "n"), F.struct("n", F.col("end").isNotNull()))
+    return runs.groupBy("key", "start").agg(last.alias("r")).select("key", "r.stage", "start", "r.end", "r.n")
+
+
 def enriched(events: DataFrame, profile: DataFrame) -> DataFrame:
     """Progress events joined with the stage profile; the profile is a small static table."""
     return events.join(F.broadcast(profile), "stage", "left")

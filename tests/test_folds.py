@@ -1,10 +1,12 @@
 """Operators that SQL cannot say, against independent plain versions on small seeded input."""
 
 import random
+import re
 import wave
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from parlance.functions import edits
 from parlance.functions.text import trim_noise_edges
@@ -93,12 +95,28 @@ def test_noise_edges(text, expected):
     assert trim_noise_edges(text) == expected
 
 
-def test_edits_round_trip():
-    text = "Well  well , yes.. and and (  so)"
-    hits = edits.suggest(text)
-    assert all(a[1] <= b[0] for a, b in zip(hits, hits[1:]))
-    assert edits.apply(text, hits) == "Well, yes. and (so)"
-    assert edits.sync_words(["a", "b"], ["a", "c"]) == [0, 1]
+def plain_edits(text):
+    found = [(m.start(), -m.end(), k, m.expand(to)) for k, (_, p, to) in enumerate(edits.RULES) for m in re.finditer(p, text) if m.expand(to) != m[0]]
+    out, at = "", 0
+    for start, minus, _, after in sorted(found):
+        if start >= at:
+            out, at = out + text[at:start] + after, -minus
+    return out + text[at:]
+
+
+def test_edits(spark):
+    r = random.Random(8)
+    texts = [" Well  well ,yes !! ( so ) 5 % a - b.Да.Нет  — x ", "", None, "plain", *("".join(r.choice("aБб5 \t,,.;:!?%()—-») ") for _ in range(60)) for _ in range(200))]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i long, t string")
+    rows = rows.select("i", "t", edits.apart(edits.hits(F.col("t"))).alias("edits"))
+    found = {x.i: x.out for x in rows.select("i", edits.apply(F.col("t"), F.col("edits")).alias("out")).collect()}
+    assert found == {i: None if t is None else plain_edits(t) for i, t in enumerate(texts)}
+    assert found[0] == "Well well, yes!! (so) 5% a — b.Да. Нет — x"  # of marks and the blank before them the first match counts
+
+
+def test_words_keep_their_places():
+    assert edits.sync_words(["a", "b"], ["a", "c"]) == []
+    assert edits.sync_words(["Hi,", "[x]", "you"], ["hi", "you!"]) == [0, 2]
     assert edits.sync_words([], ["a"]) == []
 
 
