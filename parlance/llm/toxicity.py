@@ -3,16 +3,18 @@
 Documents are labelled, tokens are not, so tokens of the training documents are labelled first: a token of a toxic
 document is toxic if its word is far more frequent, over distinct contexts in documents that are no copies of each
 other, in toxic documents than in clean ones, or if it begins with letters that only toxic documents have (so that inflected forms
-are found that training never showed). Those tokens train a chain of two states over sentences (L2-regularised
-likelihood, forward-backward gradients). Scoring runs forward-backward over every sentence of every document; the
+are found that training never showed). Tokens of clean documents are clean, the same words too. Those tokens train a chain
+of two states over sentences (L2-regularised likelihood, forward-backward gradients), whose features are a token's word
+or beginning and those of its neighbours. Scoring runs forward-backward over every sentence of every document; the
 marginals give the offending offsets, and their maximum and sum, calibrated on the training documents, the score.
 
-The fit uses at most ``TRAIN_TOXIC`` and ``TRAIN_CLEAN`` labelled documents, taken by a hash of their ids, and
-``TRAIN_CHAINS`` of their sentences; scoring covers everything.
+The fit uses at most ``TRAIN_TOXIC`` and ``TRAIN_CLEAN`` labelled documents, taken by a hash of their ids, with all their
+sentences and every word that passes the thresholds; scoring covers everything.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -25,11 +27,15 @@ from pyspark.sql import types as T
 from parlance.llm.words import LETTERS, MULTIPLIER, chunks, mix, stems, words
 from parlance.session import materialize
 
-TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_CHAINS = 3000, 6000, 6000
+TRAIN_TOXIC, TRAIN_CLEAN = 3000, 6000
 #: A chain is a sentence, or this many of its tokens where a sentence goes on for longer.
 CHAIN = 64
+#: Chains of about one length that the fit works on at a time: bounds its memory.
+FIT_BLOCK = 8192
 #: A word is a feature, or labels tokens as toxic, from these log odds on; both need contexts in this many toxic documents or more.
-FEATURE_ODDS, TOXIC_ODDS, SUPPORT, MOST_WORDS = 1.5, 2.5, 6, 512
+FEATURE_ODDS, TOXIC_ODDS, SUPPORT = 1.5, 2.5, 6
+#: A toxic document missed costs as much as so many clean ones rejected.
+MISS_COST = 2.0
 #: Lengths in bytes of the beginnings of words that are features too, the more specific first.
 STEMS = (5, 4)
 SENTENCE_ENDS = np.zeros(256, dtype=bool)
@@ -38,10 +44,11 @@ SENTENCE_ENDS[[ord(c) for c in ".!?\n"]] = True
 
 @dataclass
 class Model:
-    """Sorted hashes of the feature words, and weights: of each word (0: any other), of transitions, of the calibration."""
+    """Sorted hashes of the feature words, and weights: of each word (0: any other) at a token, before and after it, of
+    transitions, of the calibration."""
 
     lexicon: np.ndarray = field(default_factory=lambda: np.zeros(0, dtype=np.uint64))
-    emit: np.ndarray = field(default_factory=lambda: np.zeros(1))
+    emit: np.ndarray = field(default_factory=lambda: np.zeros((3, 1)))
     move: np.ndarray = field(default_factory=lambda: np.zeros((2, 2)))
     calibration: np.ndarray = field(default_factory=lambda: np.array([-4.0, 0.0, 0.0]))
 
@@ -102,40 +109,62 @@ def forward_backward(score: np.ndarray, real: np.ndarray, move: np.ndarray) -> t
     return np.log(scale).sum(axis=1), np.where(real, marginal, 0.0), pair
 
 
-def fit_chain(sequences: list[list[int]], toxic: np.ndarray, rounds: int = 120, l2: float = 0.02) -> tuple[np.ndarray, np.ndarray]:
-    """Weights of words and transitions. ``toxic[f]``: whether tokens of feature f are labelled toxic."""
-    sizes = np.array([len(s) for s in sequences])
-    flat = np.concatenate([np.array(s, dtype=np.int64) for s in sequences])
-    ids, real = padded(flat, np.cumsum(sizes) - sizes, sizes)
-    truth = toxic[ids] & real
-    steps = real[:, 1:]
-    told = np.array([[np.sum(steps & (truth[:, :-1] == i) & (truth[:, 1:] == j)) for j in (0, 1)] for i in (0, 1)], dtype=float)
-    counted = np.bincount(ids[real], weights=truth[real].astype(float), minlength=len(toxic))
-    emit, move = np.zeros(len(toxic)), np.zeros((2, 2))
+def neighbours(ids: np.ndarray, real: np.ndarray) -> np.ndarray:
+    """The features of each cell: its word, the one before it and the one after it; 0 beyond the chain."""
+    own = np.where(real, ids, 0)
+    edge = np.zeros((len(ids), 1), dtype=ids.dtype)
+    return np.stack([own, np.c_[edge, own[:, :-1]], np.c_[own[:, 1:], edge]])
+
+
+def cell_scores(emit: np.ndarray, features: np.ndarray) -> np.ndarray:
+    return emit[0][features[0]] + emit[1][features[1]] + emit[2][features[2]]
+
+
+def fit_chain(sequences: list[np.ndarray], labels: list[np.ndarray], times: np.ndarray, size: int, rounds: int = 120, l2: float = 0.02) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of ``size`` words in their three places, and of transitions; each sequence, with its labels, counts ``times``."""
+    order = np.argsort([len(x) for x in sequences], kind="stable")
+    blocks, total = [], float(times.sum())
+    told, move = np.zeros((2, 2)), np.zeros((2, 2))
+    counted, emit = np.zeros((3, size)), np.zeros((3, size))
+    for at in range(0, len(order), FIT_BLOCK):
+        own = order[at : at + FIT_BLOCK]
+        lengths = np.array([len(sequences[i]) for i in own])
+        first = np.cumsum(lengths) - lengths
+        ids, real = padded(np.concatenate([sequences[i] for i in own]), first, lengths)
+        truth = padded(np.concatenate([labels[i] for i in own]), first, lengths)[0].astype(bool) & real
+        weight, features = times[own].astype(float), neighbours(ids, real)
+        told += [[(weight[:, None] * (real[:, 1:] & (truth[:, :-1] == i) & (truth[:, 1:] == j))).sum() for j in (0, 1)] for i in (0, 1)]
+        for k in range(3):
+            counted[k] += np.bincount(features[k].ravel(), weights=(weight[:, None] * truth).ravel(), minlength=size)
+        blocks.append((features, real, weight))
     slow = [np.zeros_like(emit), np.zeros_like(move)]
     fast = [np.zeros_like(emit), np.zeros_like(move)]
-    for k in range(1, rounds + 1):
-        _, marginal, pair = forward_backward(emit[ids], real, move)
-        gradient = [
-            (counted - np.bincount(ids[real], weights=marginal[real], minlength=len(toxic))) / len(sequences) - l2 * emit / len(toxic),
-            (told - pair.sum(axis=0)) / len(sequences) - l2 * move,
-        ]
+    for step in range(1, rounds + 1):
+        expected, pairs = np.zeros_like(emit), np.zeros_like(move)
+        for features, real, weight in blocks:
+            _, marginal, pair = forward_backward(cell_scores(emit, features), real, move)
+            pairs += (weight[:, None, None] * pair).sum(axis=0)
+            for k in range(3):
+                expected[k] += np.bincount(features[k].ravel(), weights=(weight[:, None] * marginal).ravel(), minlength=size)
+        gradient = [(counted - expected) / total - l2 * emit / size, (told - pairs) / total - l2 * move]
         for value, g, s, f in zip((emit, move), gradient, slow, fast):  # Adam
             s += 0.1 * (g - s)
             f += 0.001 * (g * g - f)
-            value += 0.25 * (s / (1 - 0.9**k)) / (np.sqrt(f / (1 - 0.999**k)) + 1e-8)
+            value += 0.25 * (s / (1 - 0.9**step)) / (np.sqrt(f / (1 - 0.999**step)) + 1e-8)
         move[0, 0] = 0.0
+        emit[1:, 0] = 0.0  # neighbours that are no features say nothing
     return emit, move
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 0.05) -> np.ndarray:
-    """Newton steps for P(y) = 1 / (1 + exp(-(b + w x))); bias first."""
+def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 0.05, cost: float = 1.0) -> np.ndarray:
+    """Newton steps for P(y) = 1 / (1 + exp(-(b + w x))); bias first. Rows with y = 1 count ``cost`` times."""
+    weight = np.where(y > 0, cost, 1.0)
     x = np.c_[np.ones(len(x)), x]
     w = np.zeros(x.shape[1])
     for _ in range(40):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        hessian = (x * (p * (1 - p))[:, None]).T @ x + l2 * np.eye(len(w))
-        w += np.clip(np.linalg.solve(hessian, x.T @ (y - p) - l2 * w), -3, 3)
+        hessian = (x * (weight * p * (1 - p))[:, None]).T @ x + l2 * np.eye(len(w))
+        w += np.clip(np.linalg.solve(hessian, x.T @ (weight * (y - p)) - l2 * w), -3, 3)
     return w
 
 
@@ -147,7 +176,7 @@ class Scorer:
         sizes = np.arange(1, CHAIN + 1)
         ids, real = padded(np.zeros(1, dtype=np.int64), np.zeros(CHAIN, dtype=np.int64), np.ones(CHAIN, dtype=np.int64))
         real = np.arange(CHAIN) < sizes[:, None]
-        _, marginal, _ = forward_backward(np.full(real.shape, model.emit[0]), real, model.move)
+        _, marginal, _ = forward_backward(np.full(real.shape, model.emit[0, 0]), real, model.move)
         self.plain_sum, self.plain_max = marginal.sum(axis=1), marginal.max(axis=1)
 
     def texts(self, texts: list[str | None]) -> Iterator[tuple[float, float, list[tuple[int, int, float]]]]:
@@ -166,7 +195,7 @@ class Scorer:
                 if loaded.any():
                     first, sizes = first[loaded], sizes[loaded]
                     cells, real = padded(ids, first, sizes)
-                    _, marginal, _ = forward_backward(self.model.emit[cells], real, self.model.move)
+                    _, marginal, _ = forward_backward(cell_scores(self.model.emit, neighbours(cells, real)), real, self.model.move)
                     np.add.at(total, owner[first], marginal.sum(axis=1))
                     np.maximum.at(top, owner[first], marginal.max(axis=1))
                     points = np.cumsum((buffer & 0xC0) != 0x80)
@@ -234,32 +263,35 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text") -> Model:
     odds = F.log((F.coalesce("t", F.lit(0)) + 0.5) / totals[1]) - F.log((F.coalesce("c", F.lit(0)) + 0.5) / totals[0])
     pair = seen.where("toxic = 1").select("word", "stem", F.least("contexts", "documents").alias("t")).join(seen.where("toxic = 0").select("word", F.col("contexts").alias("c")), "word", "left")
     pair = pair.where(F.col("t") >= support).where("stem = 0 or c is null").select("word", odds.alias("odds")).where(F.col("odds") >= FEATURE_ODDS)
-    found = pair.orderBy(F.desc("odds"), "word").limit(MOST_WORDS).collect()
+    found = pair.collect()  # words of a bounded sample, each in ``support`` documents or more
     if not found:
         return Model()
     table = sorted((int(r["word"]) % 2**64, r["odds"]) for r in found)
     model = Model(lexicon=np.array([h for h, _ in table], dtype=np.uint64))
     toxic = np.array([False, *(o >= TOXIC_ODDS for _, o in table)])
-    model.emit = np.zeros(len(toxic))
 
     def sentences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for _, raw in chunks(batch.column(1).to_pylist()):
+            rows, plain = [], Counter()
+            marks = batch.column(2).to_numpy()
+            for at, raw in chunks(batch.column(1).to_pylist()):
                 hashes, owner, starts, ends, buffer = words(raw, LETTERS)
                 ids = model.features(hashes, starts, ends, buffer)
+                truth = (toxic[ids] & (marks[at + owner] == 1)).astype(np.int64)
                 for first, n in zip(*chains(owner, starts, buffer)):
                     part = ids[first : first + n]
-                    if part.any() or hashes[first] % np.uint64(16) == 0:
-                        rows.append((int(part.any()), int(mix(hashes[first : first + 1])[0] >> np.uint64(1)), part.tolist()))
+                    if part.any():
+                        rows.append((part.tolist(), truth[first : first + n].tolist(), 1))
+                    else:
+                        plain[int(n)] += 1
+            rows += [([0] * n, [0] * n, k) for n, k in plain.items()]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.list_(pa.int64())))], names=["loaded", "key", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64()))], names=["ids", "truth", "n"])
 
-    toxic_docs = sample.select("doc_id", "text")
-    marked = materialize(toxic_docs.mapInArrow(sentences, "loaded int, key long, ids array<long>"), "sentences")
-    half = TRAIN_CHAINS // 2
-    picked = [r["ids"] for flag in (1, 0) for r in marked.where(f"loaded = {flag}").orderBy("key", "ids").limit(half).collect()]
-    model.emit, model.move = fit_chain(picked, toxic)
+    labelled = sample.select("doc_id", "text", F.col("toxic").cast("long").alias("toxic"))
+    marked = labelled.mapInArrow(sentences, "ids array<long>, truth array<long>, n long").groupBy("ids", "truth").agg(F.sum("n").alias("n"))
+    picked = marked.toPandas().sort_values(["n", "ids"], key=lambda c: c.map(tuple) if c.name == "ids" else c, ignore_index=True)
+    model.emit, model.move = fit_chain(picked["ids"].tolist(), picked["truth"].tolist(), picked["n"].to_numpy(), len(toxic))
 
     def measures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
@@ -267,8 +299,8 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text") -> Model:
             x = [document_features(top, total) for top, total, _ in scorer.texts(batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(2), *(pa.array(c, pa.float64()) for c in zip(*x))], names=["toxic", "x1", "x2"])
 
-    known = sample.select("doc_id", "text", F.col("toxic").cast("long").alias("toxic")).mapInArrow(measures, "toxic long, x1 double, x2 double").toPandas()
-    model.calibration = fit_logistic(known[["x1", "x2"]].to_numpy(), known["toxic"].to_numpy(dtype=float))
+    known = labelled.mapInArrow(measures, "toxic long, x1 double, x2 double").toPandas()
+    model.calibration = fit_logistic(known[["x1", "x2"]].to_numpy(), known["toxic"].to_numpy(dtype=float), cost=MISS_COST)
     return model
 
 
