@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 #: Known pre-tokens that a Python worker keeps before it starts afresh: bounds memory, not results.
 CACHE_ENTRIES = 400_000
+# Capitals of Unicode 16 with their small letters, which this Python's tables may lack.
+NEWER_CAPITALS = {0xA7CB: 0x0264, 0xA7DA: 0xA7DB, 0xA7DC: 0x019B} | {c: c + 0x20 for c in range(0x10D50, 0x10D66)}
 NO_RANK = np.int64(2**62)
 
 
@@ -93,6 +95,7 @@ class LowercaseWordCounter:
         self.merger = RankMerger(spec["model"])
         self.special = regex.compile("|".join(regex.escape(t["content"]) for t in spec["added_tokens"]))
         self.words = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+        self.newer = regex.compile("[" + "".join(map(chr, NEWER_CAPITALS)) + "]")
         self.known: dict[str, int] = {}
 
     def split(self, text: str) -> tuple[list[str], int]:
@@ -107,6 +110,8 @@ class LowercaseWordCounter:
         for part in parts:
             if not part.isascii():
                 part = unicodedata.normalize("NFC", part).replace("Σ", "σ")
+                if self.newer.search(part):
+                    part = part.translate(NEWER_CAPITALS)
             found += self.words.findall(part.lower())
         return found, specials
 

@@ -81,7 +81,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, probes: float =
 
     ``queries`` holds rows of the same columns. A query's own id is never a candidate. Ties go to the smaller id. Vectors
     that are null, empty, zero, of another dimension than most of the fitted ones, or hold nulls or values that are not
-    finite take no part, as queries or as candidates; nor do rows without an id. Repeated rows count once. Fewer
+    finite take no part, as queries or as candidates; nor do rows without an id. Repeated rows count once, and of rows of
+    one id with several vectors the one with the least vector, component by component. Fewer
     candidates than k give fewer rows; an empty table gives none. ``probes``: share of the lists that a query visits.
     """
     spark = vectors.sparkSession
@@ -89,8 +90,13 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, probes: float =
     def usable(df: DataFrame) -> DataFrame:
         v = F.transform(F.col(vector), lambda x: x.cast("double"))
         rows = df.select(F.col(key).cast("long").alias("id"), v.alias("v")).where("id is not null and v is not null")
-        finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < 1e150)) & F.exists("v", lambda x: F.abs(x) > 1e-150)
-        return rows.where(F.coalesce(finite, F.lit(False)))
+        finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
+        rows = rows.where(F.coalesce(finite, F.lit(False)))
+        # squares of very large or small components leave the range of doubles: a power of two in each brings them back, and
+        # leaves the cosine as it is
+        most = F.array_max(F.transform("v", F.abs))
+        half = F.pow(F.lit(2.0), -F.floor(F.log2(most) / 2))
+        return rows.withColumn("v", F.when(most.between(1e-100, 1e100), F.col("v")).otherwise(F.transform("v", lambda x: x * half * half)))
 
     rows = usable(vectors)
     # a bounded sample: the smallest hashes of ids
@@ -117,8 +123,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, probes: float =
         return run
 
     same = rows.where(F.size("v") == dim)
-    index = materialize(same.dropDuplicates(["id"]).mapInArrow(assign(False), "id long, v array<double>, list int"), "lists")
-    asked = materialize(usable(queries).where(F.size("v") == dim).dropDuplicates(["id"]).mapInArrow(assign(True), "id long, v array<double>, list int"), "probes")
+    index = materialize(same.groupBy("id").agg(F.min("v").alias("v")).mapInArrow(assign(False), "id long, v array<double>, list int"), "lists")
+    asked = materialize(usable(queries).where(F.size("v") == dim).groupBy("id").agg(F.min("v").alias("v")).mapInArrow(assign(True), "id long, v array<double>, list int"), "probes")
     sizes = index.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     wanted = asked.groupBy("list").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("shares"))
     grid = F.broadcast(sizes.join(wanted, "list"))  # at most LISTS_MOST rows

@@ -10,6 +10,7 @@ Pieces are then placed by their rank among those of their length: no text moves,
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -19,12 +20,15 @@ import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from parlance.llm.bpe import byte_symbols
 from parlance.session import materialize
 
 CAPACITY = 1024
 #: How byte-level vocabularies split a text before their merges.
+#: From so many blanks in a row on the encoder's splitting pattern runs out of stack; the tokenizer library has no such end.
+LONG_BLANKS = 100_000
 PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
@@ -46,8 +50,12 @@ class ByteTokens:
         self.encoder = tiktoken.Encoding(
             path, pat_str=PRE_TOKENS, mergeable_ranks=ranks, special_tokens={t["content"]: t["id"] for t in spec["added_tokens"]}
         )
+        self.path, self.library, self.blanks = path, None, re.compile(r"\s{%d}" % LONG_BLANKS)
 
     def encode(self, text: str) -> bytes:
+        if len(text) >= LONG_BLANKS and self.blanks.search(text):
+            self.library = self.library or Tokenizer.from_file(self.path)
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
         return self.encoder.encode_to_numpy(text, allowed_special="all").astype("<u4", copy=False).tobytes()
 
 

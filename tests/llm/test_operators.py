@@ -95,6 +95,16 @@ def test_token_counts_equal_the_library(spark):
     assert bpe.token_counts(docs_of(spark, []), public_tokenizers.path("word_bpe_49k.json")).collect() == []
 
 
+def test_token_counts_of_all_letters():
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    points = [chr(c) for c in range(0x32000) if not 0xD800 <= c < 0xE000]
+    texts = [" ".join(f"a{c}b" for c in points[k : k + 16]) for k in range(0, len(points), 16)]
+    expected = [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+    found = bpe.counter(public_tokenizers.path("word_bpe_49k.json")).count_batch(texts)
+    wrong = [hex(16 * k) for k, (a, b) in enumerate(zip(expected, found)) if a != b]
+    assert not wrong
+
+
 # 3 n-gram Jaccard join
 
 
@@ -173,6 +183,14 @@ def test_nearest_recall_and_ties(spark):
     assert [by[100][k] for k in range(1, 6)] == [101, 102, 103, 104, 105]
 
 
+def test_nearest_of_extreme_and_repeated_vectors(spark):
+    rows = [(0, [1e300, 0.0]), (1, [1e300, 1e299]), (2, [1e-320, 0.0]), (3, [0.0, 1.0]), (3, [-1.0, 0.0]), (4, [1.0, 1.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = nearest.nearest(table, table.where("vec_id = 0")).collect()
+    assert [(x.rank, x.vec_id) for x in sorted(found, key=lambda x: x.rank)] == [(1, 2), (2, 1), (3, 4), (4, 3)]
+    assert [round(x.score, 9) for x in sorted(found, key=lambda x: x.rank)] == [1.0, round(1 / 1.01**0.5, 9), round(0.5**0.5, 9), -1.0]
+
+
 def test_nearest_of_few(spark):
     table = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 1.0])], "vec_id long, embedding array<float>")
     assert [(x.query_id, x.rank, x.vec_id) for x in nearest.nearest(table, table.where("vec_id = 0")).collect()] == [(0, 1, 1)]
@@ -218,6 +236,16 @@ def test_two_fit_beats_greedy():
     assert [6, 2, 2] in patterns
 
 
+def test_packing_of_very_long_blanks(spark):
+    texts = ["a" + " " * 1_000_000 + "b", "\n" * 300_000, "word " * 60_000]
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rows = packing.pieces_of(docs_of(spark, texts), public_tokenizers.path("byte_bpe_50k.json")).collect()
+    for i, t in enumerate(texts):
+        ids = [*library.encode(t, add_special_tokens=False).ids, 2]
+        own = sorted((x.start, x.length, x.ids_crc32) for x in rows if x.doc_id == i)
+        assert own == [(a, n, zlib.crc32(np.array(ids[a : a + n], dtype="<u4").tobytes())) for a, n in packing.cut(len(ids), 1024)]
+
+
 # 6 mixing
 
 
@@ -353,3 +381,12 @@ def test_toxicity_without_labels(spark):
     model = toxicity.train(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int"))
     assert [x.predicted for x in toxicity.score(docs, model).collect()] == [0, 0]
     assert toxicity.score(docs.limit(0), model).collect() == []
+
+
+def test_toxicity_of_held_out_rows(spark):
+    folder = DATA.replace("sf0.001", "sf0.01")
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    out = toxicity.score(docs.select("doc_id", "text"), toxicity.train(docs, labels)).join(labels.select("doc_id", "toxic"), "doc_id").where(toxicity.held_out())
+    found = Counter((x.toxic, x.predicted) for x in out.collect())
+    assert found[1, 1] >= 0.6 * (found[1, 1] + found[1, 0])
+    assert found[0, 1] <= 0.03 * (found[0, 0] + found[0, 1])
