@@ -79,28 +79,56 @@ def exclusive_names(scores: DataFrame, least: float = 0.6) -> DataFrame:
     return scores.select("group", "speaker", "name", "score").groupBy("group").applyInPandas(fold, schema)
 
 
+def shortened(word: Column, most: int) -> Column:
+    """The word without any up to ``most`` of its letters."""
+    without = lambda d: lambda i: F.concat(F.substring(d, F.lit(1), i - 1), F.substring(d, i + 1, F.length(d)))
+    found = F.array(word)
+    for _ in range(most):
+        found = F.array_distinct(F.flatten(F.transform(found, lambda d: F.array_append(F.transform(F.sequence(F.lit(1), F.greatest(F.length(d), F.lit(1))), without(d)), d))))
+    return found
+
+
+def near_words(words: DataFrame, terms: DataFrame, most: int, least: float) -> DataFrame:
+    """word, term, distance and ratio of every word and term within ``most`` edits, of a ratio of ``least`` or more; both distinct.
+
+    They meet through deletions: two strings within two edits agree after at most two deletions in each, so an equality
+    replaces the comparison with every term. ``terms`` is a glossary; its deletion table is joined by a shuffle like any other.
+    """
+    shortest, longest = terms.agg(F.min(F.length("term")), F.max(F.length("term"))).first()
+    words = words.where(F.length("word").between((shortest or 0) - most, (longest or 0) + most))
+    cut = [df.select(name, F.explode(shortened(F.col(name), most)).alias("d")) for df, name in ((words, "word"), (terms, "term"))]
+    pairs = cut[0].join(cut[1], "d").select("word", "term").distinct()
+    pairs = pairs.withColumns({"distance": F.levenshtein("word", "term"), "ratio": levenshtein_ratio(F.col("word"), F.col("term"))})
+    return pairs.where((F.col("distance") <= most) & (F.col("ratio") >= least))
+
+
+def fuzzy_phrases(windows: DataFrame, terms: DataFrame, most: int = 2, least: float = 0.75) -> DataFrame:
+    """The columns of ``windows(a, b, ...)`` with term: of the two-word ``terms(ta, tb)`` within 1 to ``most`` edits in all the
+    nearest, then the first. Each word is within ``least`` of its own; words of less than three letters match none.
+
+    Only distinct words are compared with the words of terms, so windows are joined by equalities.
+    """
+    long = windows.where("length(a) >= 3 and length(b) >= 3")
+    words = long.select(F.explode(F.array("a", "b")).alias("word")).distinct()
+    parts = terms.select(F.explode(F.array("ta", "tb")).alias("term")).distinct()
+    near = near_words(words, parts, most, least)
+    first, second = (near.select(F.col("word").alias(w), F.col("term").alias(t), F.col("distance").alias(f"edits_{w}")) for w, t in (("a", "ta"), ("b", "tb")))
+    hits = long.join(first.join(terms, "ta"), "a").join(second, ["b", "tb"]).withColumn("edits", F.col("edits_a") + F.col("edits_b"))
+    best = hits.where(F.col("edits").between(1, most)).groupBy(*windows.columns).agg(F.min(F.struct("edits", "ta", "tb")).alias("m"))
+    return best.select(*windows.columns, F.concat_ws(" ", "m.ta", "m.tb").alias("term"))
+
+
 def fuzzy_terms(words: DataFrame, terms: DataFrame, most: int = 2, least: float = 0.8) -> DataFrame:
     """word and term of the likeliest correction of each word: edit distance and ratio within the limits.
 
-    Words that are terms, or a term with up to three letters more, stay. Candidates meet through deletions: two strings
-    within two edits agree after at most two deletions in each, so an equality replaces the comparison with every term.
-    ``terms`` is a glossary; its deletion table is joined by a shuffle like any other.
+    Words that are terms, or a term with up to three letters more, stay.
     """
     words = words.select("word").distinct().join(terms.select(F.col("term").alias("word")), "word", "left_anti")
-
-    def shortened(df: DataFrame, name: str) -> DataFrame:
-        rows = df.select(name, F.col(name).alias("d"))
-        for _ in range(most):
-            cut = F.transform(F.sequence(F.lit(1), F.greatest(F.length("d"), F.lit(1))), lambda i: F.concat(F.substring(F.col("d"), F.lit(1), i - 1), F.substring(F.col("d"), i + 1, F.length("d"))))
-            rows = rows.select(name, F.explode(F.array_append(cut, F.col("d"))).alias("d")).distinct()
-        return rows
-
-    pairs = shortened(words, "word").join(shortened(terms.select("term"), "term"), "d").select("word", "term").distinct()
-    pairs = pairs.withColumns({"distance": F.levenshtein("word", "term"), "ratio": levenshtein_ratio(F.col("word"), F.col("term"))})
+    pairs = near_words(words, terms.select("term").distinct(), most, least)
     longer = terms.select("term").where("length(term) >= 3")
     begun = words.select("word", F.explode(F.sequence(F.greatest(F.length("word") - 3, F.lit(1)), F.greatest(F.length("word") - 1, F.lit(1)))).alias("n")).select("word", F.expr("substr(word, 1, n)").alias("term"))
     forms = begun.join(longer, "term", "left_semi").select("word").distinct()
-    good = pairs.where((F.col("distance") <= most) & (F.col("distance") > 0) & (F.col("ratio") >= least)).join(forms, "word", "left_anti")
+    good = pairs.where("distance > 0").join(forms, "word", "left_anti")
     best = good.groupBy("word").agg(F.min(F.struct((-F.col("ratio")).alias("minus"), "distance", "term")).alias("b"))
     return best.select("word", F.col("b.term").alias("term"), F.col("b.distance").alias("distance"))
 

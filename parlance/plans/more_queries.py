@@ -127,15 +127,11 @@ def f28(spark, sf):
 
 def j18(spark, sf):
     """Windows of two words that come within two edits of a two-word term, word by word."""
-    d = read(spark, sf, "documents").select("doc_id", F.slice(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)), 1, 100).alias("w")).where("size(w) >= 2")
-    pairs = d.select("doc_id", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.struct(F.get("w", i - 1).alias("a"), F.get("w", i).alias("b")))).alias("pos", "g")).select("doc_id", "pos", "g.a", "g.b")
-    terms = read(spark, sf, "benchmark").select(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)).alias("w")).select(F.element_at("w", 1).alias("ta"), F.element_at("w", 2).alias("tb")).where("length(ta) >= 4 and length(tb) >= 4").distinct()
-    one = lambda x, y: F.when(x == y, 0).when((levenshtein_ratio(x, y) >= 0.75) & (F.levenshtein(x, y) <= 2), F.levenshtein(x, y)).otherwise(99)
-    # at most two edits over both words leave one of them equal or a letter away, so an equal first letter pair narrows the join
-    keyed = terms.withColumn("k", F.explode(F.array(F.concat(F.lit("a"), F.substring("ta", 1, 1), F.length("ta").cast("string")), F.concat(F.lit("b"), F.substring("tb", 1, 1), F.length("tb").cast("string")))))
-    near = pairs.where("length(a) >= 3 and length(b) >= 3").withColumn("k", F.explode(F.array(F.concat(F.lit("a"), F.substring("a", 1, 1), F.length("a").cast("string")), F.concat(F.lit("b"), F.substring("b", 1, 1), F.length("b").cast("string")))))
-    hits = near.join(keyed, "k").withColumn("edits", one(F.col("a"), F.col("ta")) + one(F.col("b"), F.col("tb"))).where("edits between 1 and 2")
-    return hits.groupBy("doc_id", "pos").agg(F.min(F.struct("edits", "ta", "tb")).alias("m")).select("doc_id", "pos", F.concat_ws(" ", "m.ta", "m.tb").alias("term"))
+    words = lambda table: read(spark, sf, table).select("*", F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)).alias("w")).where("size(w) >= 2")
+    pairs = F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.struct(F.get("w", i - 1).alias("a"), F.get("w", i).alias("b")))
+    windows = words("documents").select("doc_id", F.posexplode(pairs).alias("pos", "g")).select("doc_id", "pos", "g.a", "g.b")
+    terms = words("benchmark").select(F.element_at("w", 1).alias("ta"), F.element_at("w", 2).alias("tb")).where("length(ta) >= 4 and length(tb) >= 4").distinct()
+    return M.fuzzy_phrases(windows, terms).select("doc_id", "pos", "term")
 
 
 def l04(spark, sf):
@@ -190,6 +186,12 @@ QUERIES = {
     "w14_boundary_repetition": w14, "x08_first_names": x08,
 }
 ORACLES = {
+    "j18_fuzzy_phrases": """WITH t AS (SELECT DISTINCT w[1] AS ta, w[2] AS tb FROM (SELECT regexp_extract_all(lower(text), '[a-z]+') AS w FROM benchmark) WHERE length(w[1]) >= 4 AND length(w[2]) >= 4),
+        d AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS w FROM documents), g AS (SELECT doc_id, unnest(range(0, len(w) - 1)) AS pos, unnest(w[1:len(w) - 1]) AS a, unnest(w[2:len(w)]) AS b FROM d WHERE len(w) >= 2),
+        x AS (SELECT ta AS term FROM t UNION SELECT tb FROM t), v AS (SELECT a AS word FROM g WHERE length(a) >= 3 UNION SELECT b FROM g WHERE length(b) >= 3),
+        m AS (SELECT word, term, levenshtein(word, term) AS e FROM v JOIN x ON abs(length(word) - length(term)) <= 2 AND levenshtein(word, term) <= 2 AND 1 - levenshtein(word, term) / greatest(length(word), length(term)) >= 0.75),
+        h AS (SELECT doc_id, pos, ta, tb, p.e + q.e AS edits FROM g JOIN m p ON p.word = a JOIN t ON ta = p.term JOIN m q ON q.word = b AND q.term = tb)
+        SELECT doc_id, pos, arg_min(ta || ' ' || tb, (edits, ta, tb)) AS term FROM h WHERE edits BETWEEN 1 AND 2 GROUP BY doc_id, pos""",
     "p15_speech_mask": f"WITH {SEG}, e AS (SELECT *, pow((end_ms - start_ms) / 1000, 2) AS en FROM seg), m AS (SELECT rec_id, median(en) AS m FROM e GROUP BY 1) SELECT rec_id, idx, en >= greatest(1e-8, 0.25 * m) AS speech FROM e JOIN m USING (rec_id)",
     "p16_speaker_assign": f"WITH {ENT}, x AS (SELECT *, (rec_id + idx) % 3 = 0 AS has, {_SELECTED} AS hit FROM ent) SELECT rec_id, idx, CASE WHEN hit THEN 'T' ELSE speaker_id END AS speaker_id, CASE WHEN NOT has THEN '' WHEN hit THEN 'B' ELSE 'B,T' END AS extras, hit AND (speaker_id IS DISTINCT FROM 'T' OR has) AS changed FROM x",
     "p17_co_speakers": f"WITH {ENT}, x AS (SELECT *, (rec_id + idx) % 3 = 0 AS has, {_SELECTED} AS hit FROM ent) SELECT rec_id, idx, CASE WHEN hit AND has THEN 'B,T' WHEN hit THEN 'T' WHEN has THEN 'T' ELSE '' END AS extras, CASE WHEN hit THEN true WHEN NOT has THEN false ELSE overlap END AS overlap FROM x",
