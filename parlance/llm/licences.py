@@ -132,7 +132,6 @@ def oracle(templates: dict[str, str] = TEMPLATES) -> str:
                 f"FROM (SELECT doc_id, words, unnest(range(0, greatest(len(words), 1), {stride})) AS pos FROM d)"
             )
     return (
-        "WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda w: w <> '') AS words FROM documents "
-        "WHERE regexp_matches(lower(text), '" + "|".join(anchors(own)) + "')) "
+        "WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda w: w <> '') AS words FROM documents) "
         f"SELECT doc_id, licence, max(containment) AS containment, min(pos) AS first_word FROM ({' UNION ALL '.join(parts)}) WHERE containment >= {CONTAINMENT} GROUP BY ALL"
     )
