@@ -45,7 +45,7 @@ VERIFY_COST = 16.0
 BROADCAST_IDS = 1_000_000
 #: A list up to this length gives its pairs; members of a longer one that are like its hub meet by their differences from
 #: it, in so many steps at most, each within the lists that the last one left long.
-SHORT_LIST, STEPS = 16, 3
+SHORT_LIST, STEPS = 64, 2
 #: Differences from a hub are taken if so much of its list links with it, directly or not.
 CENTRAL = 0.2
 #: Members that are compared with one hub in a task, about.
@@ -337,7 +337,7 @@ def _joined(docs: DataFrame, n: int, percent: int, text: str) -> tuple[DataFrame
     pairs = materialize(pairs, "candidates").join(tried, ["a", "b"], "left_anti")
     links = links.union(_verified(pairs, docs, keys, n, percent, text, counts))
     found = components(links).withColumnRenamed("node", "id")
-    counts.unpersist()
+    counts.destroy()  # all that needs it is written
     named = classes.select("k1", "k2", "n_shingles", "id").join(found, "id", "left")
     named = named.select("k1", "k2", "n_shingles", F.col("id").alias("class_id"), F.coalesce("component", "id").alias("component"))
     return all_docs, named
