@@ -94,11 +94,14 @@ def f32(spark, sf):
 
 
 def f33(spark, sf):
-    """Samples of overlapping chunks of each user, faded into each other."""
-    e = read(spark, sf, "events").selectExpr("user_id % 10 as key", "event_id")
-    chunks = e.groupBy("key").agg(F.min("event_id").alias("m")).select("key", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("chunk"))
-    s = chunks.select("key", "chunk", (F.col("chunk") * 40).alias("at"), F.lit(50).alias("n"), (F.col("chunk") == 3).alias("last"), F.explode(F.sequence(F.lit(0), F.lit(49))).alias("pos")).withColumn("x", F.lit(1.0) + F.col("key"))
-    return overlap_add(s, 10).withColumn("x", F.round("x", 6))
+    """Each user's values as samples, in chunks of fifty that overlap by ten, every second one twice as loud, faded into each other."""
+    w = Window.partitionBy("user_id")
+    e = read(spark, sf, "events").select(F.col("user_id").alias("key"), F.col("value"), (F.row_number().over(w.orderBy("event_id")) - 1).alias("place"), F.count("*").over(w).alias("total"))
+    e = e.withColumn("most", F.greatest(F.lit(0), F.ceil((F.col("total") - 50) / 40)))
+    own = F.floor(F.col("place") / 40)
+    s = e.withColumn("chunk", F.explode(F.array(own, own - 1))).withColumn("at", F.col("chunk") * 40).withColumn("pos", F.col("place") - F.col("at"))
+    s = s.where("chunk between 0 and most and pos < 50").withColumns({"n": F.least(F.lit(50), F.col("total") - F.col("at")), "last": F.col("chunk") == F.col("most"), "x": F.col("value") * (1 + F.col("chunk") % 2)})
+    return overlap_add(s, 10).withColumn("x", F.round("x", 4))
 
 
 def f34(spark, sf):
@@ -200,7 +203,10 @@ ORACLES = {
     "a37_recording_quality": "WITH q AS (SELECT user_id, 20 * log10(sqrt(avg(value * value)) / 500) AS l, max(value) AS p, avg(CASE WHEN value > 10 THEN 1 ELSE 0 END) AS s, count(*) AS n FROM events GROUP BY 1) SELECT user_id, round(l, 4) AS dbfs, round(p, 2) AS peak, l < -15 AS too_quiet, p >= 450 AS clipped, s < 0.8 AS sparse, n < 60 AS short FROM q",
     "f20_spelling_form": "WITH p AS (SELECT c_custkey, lower(c_name) AS w, lower(substr(c_name, 1, 12) || 'x' || substr(c_name, 14, 30)) AS f FROM customer) SELECT c_custkey, length(w) >= 6 AND levenshtein(w, f) <= 1 AND abs(length(w) - length(f)) <= greatest(2, length(w) // 5) AND 1 - levenshtein(w, f) / greatest(length(w), length(f)) >= 0.93 AS spelling FROM p",
     "f21_known_form": "WITH w AS (SELECT word, count(*) AS n FROM (SELECT unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]{10,14}'))) AS word FROM documents) GROUP BY 1) SELECT r.word, min(k.word) AS form FROM w r JOIN w k ON substr(r.word, 1, 4) = substr(k.word, 1, 4) WHERE r.n = 1 AND k.n >= 3 AND levenshtein(r.word, k.word) <= 1 GROUP BY 1",
-    "f33_overlap_add": 'WITH k AS (SELECT DISTINCT user_id % 10 AS key FROM events), c AS (SELECT key, unnest(range(0, 4)) AS chunk FROM k), s AS (SELECT *, unnest(range(0, 50)) AS pos FROM c), x AS (SELECT key, chunk * 40 + pos AS place, (1.0 + key) * CASE WHEN chunk > 0 AND pos < 10 THEN (pos + 0.5) / 10 ELSE 1 END * CASE WHEN chunk < 3 AND 50 - pos <= 10 THEN (50 - pos - 0.5) / 10 ELSE 1 END AS x FROM s) SELECT key, place, round(sum(x), 6) AS x FROM x GROUP BY ALL',
+    "f33_overlap_add": """WITH e AS (SELECT user_id AS key, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS place, count(*) OVER (PARTITION BY user_id) AS total FROM events),
+        m AS (SELECT *, greatest(0, ceil((total - 50) / 40))::BIGINT AS most, unnest([place // 40, place // 40 - 1]) AS chunk FROM e), s AS (SELECT *, place - chunk * 40 AS pos, least(50, total - chunk * 40) AS n FROM m)
+        SELECT key, place, round(sum(value * (1 + chunk % 2) * CASE WHEN chunk > 0 AND pos < 10 THEN (pos + 0.5) / 10 ELSE 1 END * CASE WHEN chunk < most AND n - pos <= 10 THEN (n - pos - 0.5) / 10 ELSE 1 END), 4) AS x
+        FROM s WHERE chunk BETWEEN 0 AND most AND pos < 50 GROUP BY key, place""",
     "f34_attenuation": f"WITH {SEG}, {SPK} SELECT s.rec_id, s.idx, round((s.end_ms - s.start_ms) * CASE WHEN EXISTS (SELECT 1 FROM spk p WHERE p.rec_id = s.rec_id AND p.speaker_id = 'U3' AND s.start_ms BETWEEN p.start_ms AND p.end_ms) THEN 0.1 ELSE 1.0 END, 3)::DOUBLE AS value FROM seg s",
     "l04_top_without_overlap": f"WITH {SPK}, s AS (SELECT rec_id || '/' || speaker_id AS track, idx, start_ms, end_ms, end_ms - start_ms AS ms FROM spk), f AS (SELECT * FROM s WHERE NOT EXISTS (SELECT 1 FROM s o WHERE o.track = s.track AND least(o.end_ms, s.end_ms) > greatest(o.start_ms, s.start_ms) AND (o.ms > s.ms OR (o.ms = s.ms AND o.idx < s.idx)))) SELECT track, idx, ms FROM (SELECT *, row_number() OVER (PARTITION BY track ORDER BY ms DESC, start_ms) AS k FROM f) WHERE k <= 3",
     "u10_voice_merge": "WITH f AS (SELECT s_nationkey AS name, s_suppkey AS sample, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS number FROM supplier) SELECT name, sample, number FROM f WHERE name <> 3 UNION ALL SELECT 4, sample, number + (SELECT max(number) FROM f WHERE name = 4) FROM f WHERE name = 3 AND (SELECT max(number) FROM f WHERE name = 4) IS NOT NULL",

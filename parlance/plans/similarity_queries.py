@@ -23,8 +23,8 @@ def vectors(spark, sf):
 
 def j14(spark, sf):
     """Vectors and slightly changed copies of every fifth of them: the pairs that nearly agree."""
-    v = vectors(spark, sf).select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("vector"))
-    moved = v.where("id % 5 = 0").select((F.col("id") + 1_000_000).alias("id"), F.transform("vector", lambda x, i: F.when(i == 0, x + 0.01).otherwise(x)).alias("vector"))
+    v = vectors(spark, sf).select((F.col("vec_id") * 2).alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("vector"))
+    moved = v.where("id % 10 = 0").select((F.col("id") + 1).alias("id"), F.transform("vector", lambda x, i: F.when(i == 0, x + 0.01).otherwise(x)).alias("vector"))
     return M.near_pairs(v.unionByName(moved), 0.95).withColumn("score", F.round("score", 5))
 
 
@@ -229,7 +229,7 @@ QUERIES = {
     "f29_frame_difference": f29, "f30_mean_logprob": f30, "c01_speech_windows": c01, "c02_overlapping_windows": c02, "c04_text_chunks": c04, "c05_speech_samples": c05, "l05_longest_clean": l05, "l08_fitting_prefix": l08,
 }
 ORACLES = {
-    "j14_cosine_join": f"WITH v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS embedding FROM embeddings UNION ALL SELECT vec_id + 1000000, list_prepend(embedding[1]::DOUBLE + 0.01, embedding[2:]::DOUBLE[]) FROM embeddings WHERE vec_id % 5 = 0) SELECT a.id, b.id AS other, round({_COS}, 5) AS score FROM v a JOIN v b ON a.id < b.id WHERE {_COS} >= 0.95",
+    "j14_cosine_join": f"WITH v AS (SELECT vec_id * 2 AS id, embedding::DOUBLE[] AS embedding FROM embeddings UNION ALL SELECT vec_id * 2 + 1, list_prepend(embedding[1]::DOUBLE + 0.01, embedding[2:]::DOUBLE[]) FROM embeddings WHERE vec_id % 5 = 0) SELECT a.id, b.id AS other, round({_COS}, 5) AS score FROM v a JOIN v b ON a.id < b.id WHERE {_COS} >= 0.95",
     "a19_mean_vectors": "WITH m AS (SELECT label, i, avg(embedding[i]::DOUBLE) AS x FROM embeddings, (SELECT unnest(range(1, 65)) AS i) GROUP BY ALL), n AS (SELECT label, sqrt(sum(x * x)) AS n FROM m GROUP BY 1) SELECT m.label, round(max(CASE WHEN i = 1 THEN x / n END), 6) AS first, round(max(CASE WHEN i = 64 THEN x / n END), 6) AS last, 64 AS n FROM m JOIN n USING (label) GROUP BY m.label",
     "j15_similarity_matrix": "WITH r AS (SELECT label AS name, list(x ORDER BY i) AS ref FROM (SELECT label, i, avg(embedding[i]::DOUBLE) AS x FROM embeddings, (SELECT unnest(range(1, 65)) AS i) WHERE vec_id % 2 = 0 GROUP BY ALL) GROUP BY 1) SELECT vec_id AS speaker, name, round(list_cosine_similarity(embedding::DOUBLE[], ref), 5) AS score FROM embeddings, r WHERE vec_id % 2 = 1",
     "j16_shared_names": "WITH r AS (SELECT label AS name, list(x ORDER BY i) AS ref FROM (SELECT label, i, avg(embedding[i]::DOUBLE) AS x FROM embeddings, (SELECT unnest(range(1, 65)) AS i) WHERE vec_id % 2 = 0 GROUP BY ALL) GROUP BY 1), s AS (SELECT vec_id AS speaker, name, list_cosine_similarity(embedding::DOUBLE[], ref) AS score FROM embeddings, r WHERE vec_id % 2 = 1), k AS (SELECT *, row_number() OVER (PARTITION BY speaker ORDER BY score DESC, name) AS n FROM s) SELECT speaker, name, round(score, 5) AS score FROM k WHERE n = 1 AND score >= 0.3",
