@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from parlance.session import materialize
+
 #: Stages in order, and the seconds that each costs for a second of audio without any history.
 STAGES = ("denoise", "asr", "diarization", "merge", "clean", "correction", "llm", "export")
 DEFAULT_WEIGHTS = (0.08, 0.30, 0.45, 0.01, 0.01, 0.02, 0.05, 0.01)
@@ -21,13 +23,13 @@ def tokens(entries: DataFrame, keys: list[str], text: str = "text") -> DataFrame
 def bm25(entries: DataFrame, terms: list[str], keys: list[str], text: str = "text") -> DataFrame:
     """keys and score of rows in which every term is the beginning of some token; larger is better.
 
-    Document frequencies and lengths are of all rows with tokens. The index is read once; only tokens that begin with a
-    term take part in scoring, so what moves is a row for each hit.
+    Document frequencies and lengths are of all rows with tokens. Texts are read once, into a narrow table of lengths and
+    frequencies of the terms, which gives the totals and then the scores.
     """
     words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(r"[\p{L}\p{M}\p{N}_]+"), F.lit(0))
     rows = entries.select(*keys, words.alias("w")).where(F.size("w") > 0)
     counts = [F.size(F.filter("w", _begins(t))).alias(f"tf{i}") for i, t in enumerate(terms)]
-    rows = rows.select(*keys, F.size("w").alias("length"), *counts)
+    rows = materialize(rows.select(*keys, F.size("w").alias("length"), *counts), "frequencies")
     total = rows.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), *(F.sum((F.col(f"tf{i}") > 0).cast("int")).alias(f"df{i}") for i in range(len(terms))))
     hits = rows
     for i in range(len(terms)):
