@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 
 from parlance.llm.bpe import token_counts
 from parlance.llm.dedup import exact_dedup
-from parlance.llm import fixity, licences, mixing
+from parlance.llm import collocations, fixity, licences, mixing
 from parlance.llm.jaccard import jaccard_components, jaccard_links
 from parlance.llm.nearest import nearest
 from parlance.llm.packing import pack
 from parlance.llm.pii import personal_data
+from parlance.llm.runs import periodic_runs
+from parlance.llm.secrets import secrets
 from parlance.llm.toxicity import held_out, score, train
 
 #: Rows in an Arrow batch: whole texts, so few of them.
@@ -72,6 +74,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted", "toxic_spans")
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs(table(spark, sf_dir, "documents"), least=12, planted=True)
+
+
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets(table(spark, sf_dir, "documents"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"), support=100, top=2000)
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_token_counts": op2_token_counts,
@@ -84,6 +98,9 @@ QUERIES = {
     "op8_warc_fixity": op8_warc_fixity,
     "op9_personal_data": op9_personal_data,
     "op10_toxicity": op10_toxicity,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_secret_scan": op12_secret_scan,
+    "op13_collocations": op13_collocations,
 }
 
 ORACLES = {
@@ -100,6 +117,7 @@ ORACLES = {
         FROM d""",
     "op6_mixing": mixing.oracle(),
     "op7_licence_scan": licences.oracle(),
+    "op13_collocations": collocations.oracle(),
     "op8_warc_fixity": r"""
         WITH r AS (
             SELECT page_id, page_id // 1000 AS file,
