@@ -3,12 +3,14 @@
 A sample of the documents proposes phrases: those that are frequent in it at a lowered limit. A pass over all documents
 counts the proposed phrases and their negative border, the phrases that were not proposed but whose two parts (all but the
 last word, all but the first) were; for single words, that is every word. If a phrase of the border turns out frequent, its
-extensions may be frequent although nothing counted them: they are counted by a further pass, until a pass finds no more.
-What is frequent is then known without loss, whatever the sample holds.
-
-Tasks know phrases by 64-bit hashes, and which ones are proposed by bit maps of bounded size. Either may take a phrase for
-another; that only lets more phrases be counted, since a last pass counts the frequent ones by their texts. Everything that
-grows with the corpus stays in shuffles that combine within tasks first.
+extensions may be frequent although nothing counted them. A second pass over all documents counts these, and at once the
+extensions of what it counts itself, so that it closes the border however long the chain of failures is: both parts of a
+frequent phrase are frequent, hence known from the first pass or counted in the second one, and so is the phrase. What is
+frequent is then known without loss, whatever the sample holds.
+
+Tasks know phrases by 64-bit hashes, and which ones are proposed or frequent by bit maps of bounded size. Either may take a
+phrase for another; that only lets more phrases be counted, since the second pass counts all of its phrases, those found by
+the first one included, by their texts. Everything that grows with the corpus stays in shuffles that combine within tasks.
 """
 
 from __future__ import annotations
@@ -31,8 +33,8 @@ LONGEST = 5
 SAMPLE, SLACK = 0.1, 0.5
 #: Bits of a bit map for each phrase, and the most bits of one map (16 MB): above that, maps let more phrases pass.
 BITS_EACH, MOST_BITS = 16, 27
-#: Phrases that a task holds before it hands them over, combined: hashes, and texts.
-HELD_HASHES, HELD_TEXTS = 3_000_000, 300_000
+#: What a task holds before it hands it over, combined: hashes of phrases, and numbers of their words (4 bytes each).
+HELD_HASHES, HELD_NUMBERS = 3_000_000, 20_000_000
 #: Totals of up to this number of languages are broadcast.
 MOST_LANGS = 10_000
 
@@ -70,13 +72,6 @@ class BitMap:
         return (bit(grams & mask) & bit(grams >> np.uint64(64 - self.bits))).astype(bool)
 
 
-def _any(maps: list[BitMap], grams: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(grams), dtype=bool)
-    for m in maps:
-        out |= m.has(grams)
-    return out
-
-
 def lang_key(lang: str) -> int:
     return int.from_bytes(hashlib.blake2b(lang.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
 
@@ -156,7 +151,7 @@ def chained(known, shortest: int) -> Choice:
     """Phrases of ``shortest`` words and more, all of whose phrases of one word less than ``shortest`` are known."""
 
     def choose(phrases: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[int, np.ndarray]]:
-        known_parts = _any(known.value, phrases[shortest - 2][0])
+        known_parts = known.value.has(phrases[shortest - 2][0])
         for k in range(shortest, len(phrases) + 1):
             grams, whole = phrases[k - 1]
             chosen = whole.copy()
@@ -167,28 +162,36 @@ def chained(known, shortest: int) -> Choice:
     return choose
 
 
-def with_border(known, counted_before: int) -> Choice:
-    """Phrases both of whose parts are known, and words; those known by the first ``counted_before`` maps alone are left out.
+def both(parts: np.ndarray, size: int) -> np.ndarray:
+    """Whether both parts of each phrase are marked, given the marks of phrases of one word less."""
+    return parts[:size] & parts[1 : size + 1]
 
-    ``known`` broadcasts a list of bit maps. Words are counted by the first pass, when nothing was counted before.
-    """
+
+def with_border(proposed) -> Choice:
+    """All words, and all phrases both of whose parts are proposed: proposed ones and their negative border."""
 
     def choose(phrases: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[int, np.ndarray]]:
-        maps = known.value
-        if not counted_before:
-            yield 1, phrases[0][0]
+        yield 1, phrases[0][0]
         for k in range(2, len(phrases) + 1):
-            (grams, whole), parts = phrases[k - 1], phrases[k - 2][0]
-            size, now = len(grams), _any(maps, parts)
-            chosen = whole & now[:size] & now[1 : size + 1]
-            if counted_before:
-                before = _any(maps[:counted_before], parts)
-                chosen &= ~(before[:size] & before[1 : size + 1])
-            yield k, grams[chosen]
+            grams, whole = phrases[k - 1]
+            yield k, grams[whole & both(proposed.value.has(phrases[k - 2][0]), len(grams))]
 
     return choose
 
 
+def frequent_or_new(phrases: list[tuple[np.ndarray, np.ndarray]], proposed: BitMap, frequent: BitMap) -> list[np.ndarray]:
+    """For each length, which phrases the second pass counts: frequent ones, and extensions that the first pass did not count.
+
+    An extension counts if both of its parts are frequent or counted here, and were not both proposed.
+    """
+    out = [frequent.has(phrases[0][0]) & phrases[0][1]]
+    for k in range(2, len(phrases) + 1):
+        (grams, whole), parts = phrases[k - 1], phrases[k - 2][0]
+        counted = both(proposed.has(parts), len(grams))
+        out.append(whole & np.where(counted, frequent.has(grams), both(out[-1], len(grams))))
+    return out
+
+
 def propose(rows: DataFrame, support: int, share: float, slack: float, longest: int) -> DataFrame:
     """gram, k of the phrases that are frequent in a sample of ``share`` of the rows, at ``slack`` of their share of ``support``."""
     spark, slices = rows.sparkSession, 1 << 20
@@ -198,93 +201,94 @@ def propose(rows: DataFrame, support: int, share: float, slack: float, longest:
     if longest < 3:
         return short
     pairs = short.where("k = 2")
-    known = spark.sparkContext.broadcast([BitMap.of(pairs, pairs.count())])
+    known = spark.sparkContext.broadcast(BitMap.of(pairs, pairs.count()))
     long = count_hashes(sample, chained(known, 3), longest).where(F.col("n") >= limit).select("gram", "k")
     return short.unionByName(materialize(long, "proposed"))
 
 
-def frequent_hashes(rows: DataFrame, support: int, share: float, slack: float, longest: int) -> tuple[list[DataFrame], int]:
-    """Tables of gram, k, n of all phrases whose hash occurs ``support`` times or more, and the number of passes that took."""
-    spark = rows.sparkSession
-    new = propose(rows, support, share, slack, longest).where(F.col("k") < longest)
-    known, maps, found, passes = new, [], [], 0
-    while True:
-        maps.append(BitMap.of(new, new.count()))
-        shared = spark.sparkContext.broadcast(maps)
-        counts = count_hashes(rows.drop("draw"), with_border(shared, passes), longest)
-        found.append(materialize(counts.where(F.col("n") >= support), "frequent"))
-        passes += 1
-        # border failures: frequent, able to grow, and not known when their extensions were looked for
-        new = materialize(found[-1].where(F.col("k") < longest).join(known, ["gram", "k"], "left_anti").select("gram", "k"), "failures")
-        if not new.take(1):
-            return found, passes
-        known = known.unionByName(new)
-
-
-def count_texts(rows: DataFrame, grams: DataFrame, longest: int) -> DataFrame:
-    """lang, phrase, k, n of the phrases whose hash is in ``grams``, by their texts; k = 0 has the number of words."""
-    shared = rows.sparkSession.sparkContext.broadcast([BitMap.of(grams, grams.count())])
+class Numbers(dict):
+    """Numbers of words, from 0 in order of their first lookup."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = number = len(self)
+        return number
+
+
+class TextCounts:
+    """Counts of phrases by language and words, a number for each: equal numbers are equal texts, no hash decides."""
+
+    def __init__(self, longest: int):
+        self.words, self.langs = Numbers(), Numbers()
+        self.places: list[list[np.ndarray]] = [[] for _ in range(longest)]
+        self.totals: Counter[str] = Counter()
+        self.size = 0
+
+    def add(self, joined: bytes, owner: np.ndarray, langs: list[str], chosen: list[np.ndarray]) -> None:
+        """The chosen phrases of texts joined by line feeds; ``owner`` holds the text of each word, ``langs`` their languages."""
+        ids = np.fromiter(map(self.words.__getitem__, joined.lower().translate(BLANKED).split()), np.int32, len(owner))
+        lang = np.array([self.langs[x] for x in langs], dtype=np.int32)[owner]
+        names = list(self.langs)
+        self.totals.update({names[i]: n for i, n in enumerate(np.bincount(lang, minlength=len(names)).tolist())})
+        for k, marks in enumerate(chosen, 1):
+            at = np.flatnonzero(marks)
+            self.places[k - 1].append(np.stack([lang[at], *(ids[at + j] for j in range(k))]))
+            self.size += len(at) * (k + 1)
+
+    def emit(self) -> Iterator[pa.RecordBatch]:
+        """lang, phrase, k, n of all phrases held, which are then forgotten."""
+        names, vocabulary = list(self.langs), list(self.words)
+        for k, parts in enumerate(self.places, 1):
+            if not parts:
+                continue
+            rows = np.concatenate(parts, axis=1)
+            parts.clear()
+            codes = rows[0].astype(np.int64)
+            for ids in rows[1:-1]:
+                codes = np.unique(codes * len(vocabulary) + ids, return_inverse=True)[1]
+            _, first, n = np.unique(codes * len(vocabulary) + rows[-1], return_index=True, return_counts=True)
+            rows = rows[:, first]
+            texts = [b" ".join([vocabulary[i] for i in own]).decode("utf-8", "replace") for own in rows[1:].T.tolist()]
+            yield self._batch([names[i] for i in rows[0].tolist()], texts, [k] * len(texts), n.tolist())
+        yield self._batch(list(self.totals), [""] * len(self.totals), [0] * len(self.totals), list(self.totals.values()))
+        self.__init__(len(self.places))
 
-    def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter[tuple[str, int, bytes]] = Counter()
-        keys = {}
+    @staticmethod
+    def _batch(langs: list[str], phrases: list[str], ks: list[int], ns: list[int]) -> pa.RecordBatch:
+        columns = [pa.array(langs, pa.string()), pa.array(phrases, pa.string()), pa.array(ks, pa.int8()), pa.array(ns, pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, names=["lang", "phrase", "k", "n"])
 
-        def emit() -> pa.RecordBatch:
-            langs, ks, texts = (list(c) for c in zip(*held)) if held else ([], [], [])
-            columns = [pa.array(langs, pa.string()), pa.array([t.decode("utf-8", "replace") for t in texts], pa.string()), pa.array(ks, pa.int8()), pa.array(held.values(), pa.int64())]
-            held.clear()
-            return pa.RecordBatch.from_arrays(columns, names=["lang", "phrase", "k", "n"])
 
+def count_texts(rows: DataFrame, proposed, frequent: BitMap, longest: int) -> DataFrame:
+    """lang, phrase, k, n of the phrases that ``frequent_or_new`` chooses, by their texts; k = 0 has the number of words."""
+    shared = rows.sparkSession.sparkContext.broadcast(frequent)
+
+    def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, keys = TextCounts(longest), {}
         for batch in source:
             for raw, langs in _texts(batch):
                 keys |= {lang: lang_key(lang) for lang in set(langs) - keys.keys()}
-                present = sorted(set(langs))
-                lang_of = np.array([present.index(lang) for lang in langs], dtype=np.int64)
                 owner, phrases = phrases_of(raw, np.array([keys[lang] for lang in langs], dtype=np.uint64), longest)
-                _count_chunk(held, b"\n".join(raw), lang_of[owner], present, phrases, shared.value)
-                if len(held) >= HELD_TEXTS:
-                    yield emit()
-        yield emit()
+                held.add(b"\n".join(raw), owner, langs, frequent_or_new(phrases, proposed.value, shared.value))
+                if held.size >= HELD_NUMBERS:
+                    yield from held.emit()
+        yield from held.emit()
 
     counted = rows.mapInArrow(batches, "lang string, phrase string, k byte, n long")
     return counted.groupBy("lang", "phrase", "k").agg(F.sum("n").alias("n"))
 
 
-def _count_chunk(held: Counter, joined: bytes, lang_of: np.ndarray, langs: list[str], phrases: list[tuple[np.ndarray, np.ndarray]], maps: list[BitMap]) -> None:
-    """Add the phrases of a chunk that ``maps`` knows to ``held``. ``lang_of`` holds the place in ``langs`` for each word.
-
-    Equal words get equal numbers, and equal phrases of one language equal codes: no hash decides what is equal.
-    """
-    tokens = joined.lower().translate(BLANKED).split()
-    if not tokens:
-        return
-    vocabulary = list(dict.fromkeys(tokens))
-    number = {w: i for i, w in enumerate(vocabulary)}
-    ids = np.fromiter(map(number.__getitem__, tokens), np.int64, len(tokens))
-    for lang, n in enumerate(np.bincount(lang_of, minlength=len(langs)).tolist()):
-        held[langs[lang], 0, b""] += n
-    for k, (grams, whole) in enumerate(phrases, 1):
-        at = np.flatnonzero(whole & _any(maps, grams))
-        codes = lang_of[at] * len(vocabulary) + ids[at]
-        for j in range(1, k):
-            codes = np.unique(codes, return_inverse=True)[1] * len(vocabulary) + ids[at + j]
-        _, first, n = np.unique(codes, return_index=True, return_counts=True)
-        for i, times in zip(at[first].tolist(), n.tolist()):
-            held[langs[lang_of[i]], k, b" ".join(tokens[i : i + k])] += times
-
-
-def mine(docs: DataFrame, support: int = 100, longest: int = LONGEST, share: float = SAMPLE, slack: float = SLACK, text: str = "text") -> tuple[DataFrame, int]:
+def mine(docs: DataFrame, support: int = 100, longest: int = LONGEST, share: float = SAMPLE, slack: float = SLACK, text: str = "text") -> DataFrame:
     """A table of lang, phrase, k (words), n (occurrences) of every phrase of up to ``longest`` words that occurs ``support``
-    times or more in its language, and of the number of words of each language (k = 0); and the number of full passes."""
+    times or more in its language, and of the number of words of each language (k = 0)."""
     lang = F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang")
     whole = F.coalesce(F.col(text), F.lit("")).alias("text")
-    rows = docs.select(lang, whole, F.xxhash64("doc_id", text).alias("draw"))
-    tables, passes = frequent_hashes(rows, support, share, slack, longest)
-    grams = tables[0]
-    for more in tables[1:]:
-        grams = grams.unionByName(more)
-    counted = count_texts(rows.drop("draw"), grams.select("gram"), longest)
-    return materialize(counted.where((F.col("k") == 0) | (F.col("n") >= support)), "phrases"), passes
+    rows, spark = docs.select(lang, whole, F.xxhash64("doc_id", text).alias("draw")), docs.sparkSession
+    proposals = propose(rows, support, share, slack, longest).where(F.col("k") < longest)
+    proposed = spark.sparkContext.broadcast(BitMap.of(proposals, proposals.count()))
+    rows = rows.drop("draw")
+    frequent = materialize(count_hashes(rows, with_border(proposed), longest).where(F.col("n") >= support), "frequent")
+    counted = count_texts(rows, proposed, BitMap.of(frequent, frequent.count()), longest)
+    return materialize(counted.where((F.col("k") == 0) | (F.col("n") >= support)), "phrases")
 
 
 def _exact(*factors: str) -> str:
@@ -304,7 +308,7 @@ def collocations(docs: DataFrame, support: int = 100, longest: int = LONGEST, to
     A null language is ``und``, a null text has no words; repeated rows count again, and so do rows that repeat an id or have
     none. Other columns are not read. No documents, or none with frequent phrases, give no rows.
     """
-    found, _ = mine(docs, support, longest, share, slack, text)
+    found = mine(docs, support, longest, share, slack, text)
     totals = found.where("k = 0").select("lang", F.col("n").alias("total"))
     phrases = found.where("k > 0").select("lang", "phrase", F.col("k").cast("int").alias("k"), F.col("n").alias("a"))
     inner = F.expr("""flatten(transform(sequence(2, k - 1), m -> transform(sequence(1, k - m + 1), i -> array_join(slice(split(phrase, ' '), i, m), ' '))))""")
@@ -332,7 +336,8 @@ def oracle(support: int = 100, top: int = 2000) -> str:
             SELECT lang, list_filter(regexp_split_to_array(piece, '[ 	]+'), lambda w: w <> '') AS w
             FROM (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
                     translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
--]')) AS piece
+-
+]')) AS piece
                   FROM documents)),
         totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM pieces GROUP BY lang),
         placed AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM pieces WHERE len(w) > 0),

@@ -4,8 +4,8 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from parlance.llm import collocations as c
 
@@ -50,30 +50,34 @@ def test_equals_plain_counting_whatever_the_sample(spark, share, slack):
     assert sorted(map(tuple, found.collect())) == plain(rows, 8, 25)
 
 
-def test_border_failures_take_more_passes(spark):
+def test_border_failures_are_closed_in_one_more_pass(spark):
+    """With nothing proposed the first pass counts words alone; the second one all their extensions, step by step."""
     docs = spark.createDataFrame([(i, "en", "p q r s t u") for i in range(20)], "doc_id long, lang string, text string")
-    _, passes = c.mine(docs, support=10, share=1.0)
-    assert passes == 1
-    found, passes = c.mine(docs, support=10, share=0.0)
-    assert passes == 5  # nothing proposed: each pass adds one length
-    assert found.where("k > 0").count() == 6 + 5 + 4 + 3 + 2
+    for share in (1.0, 0.0):
+        found = c.mine(docs, support=10, share=share)
+        assert found.where("k > 0").count() == 6 + 5 + 4 + 3 + 2
+    grams = c.phrases_of([b"p q r"], np.zeros(1, dtype=np.uint64), 3)[1]
+    none = c.BitMap(np.zeros(1 << 10, dtype=np.uint64), 16)
+    every = c.BitMap(np.full(1 << 10, 2**64 - 1, dtype=np.uint64), 16)
+    marks = lambda proposed, frequent: [x.tolist() for x in c.frequent_or_new(grams, proposed, frequent)]
+    assert marks(none, every) == marks(every, every) == [[True] * 3, [True] * 2, [True]]
+    assert marks(every, none) == marks(none, none) == [[False] * 3, [False] * 2, [False]]
+    words = c.BitMap(np.zeros(1 << 10, dtype=np.uint64), 16)
+    for g in grams[0][0]:
+        for place in (int(g) & 0xFFFF, int(g) >> 48):
+            words.cells[place >> 6] |= np.uint64(1 << (place & 63))
+    assert marks(none, words)[2] == [True]  # an extension of extensions
+    assert marks(words, words)[1:] == [[False] * 2, [False]]  # counted before, and not frequent
 
 
 def test_hashes_that_meet_do_not_mix_counts(spark, monkeypatch):
     """With bit maps that let everything pass, the counts are still those of the texts."""
     rows = [*texts(2, 60)]
     docs = spark.createDataFrame([(i, lang, t) for i, (lang, t) in enumerate(rows)], "doc_id long, lang string, text string")
-    grams = spark.range(1).select(F.lit(0).cast("long").alias("gram"))
-    full = c.BitMap(__import__("numpy").full(1 << 10, 2**64 - 1, dtype="uint64"), 16)
+    full = c.BitMap(np.full(1 << 10, 2**64 - 1, dtype=np.uint64), 16)
     monkeypatch.setattr(c.BitMap, "of", staticmethod(lambda *_: full))
-    lang = F.coalesce("lang", F.lit("und")).alias("lang")
-    counted = c.count_texts(docs.select(lang, "text"), grams, 5).where("k > 0 and n >= 3").collect()
-    f = Counter()
-    for own, text in rows:
-        for piece in re.split(r"[.,;:!?\x0A-\x0D]", text.translate({65 + i: 97 + i for i in range(26)})):
-            w = re.findall(r"[^\x20\x09]+", piece)
-            f.update((own or "und", " ".join(w[i : i + k])) for k in range(1, 6) for i in range(len(w) - k + 1))
-    assert {(r.lang, r.phrase): r.n for r in counted} == {p: n for p, n in f.items() if n >= 3}
+    found = c.collocations(docs, support=3, top=10)
+    assert sorted(map(tuple, found.collect())) == plain(rows, 3, 10)
 
 
 def test_repeated_rows_empty_tables_and_wide_products(spark):
