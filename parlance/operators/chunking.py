@@ -71,3 +71,41 @@ def speech_samples(spans: DataFrame, k: int, window_ms: int) -> DataFrame:
     rows = rows.where((target >= F.col("_from")) & (target < F.col("_to")))
     start = F.col("start_ms") + target - F.col("_from")
     return rows.select("rec_id", "k", start.alias("win_start"), (start + window_ms).alias("win_end"))
+
+
+def frame_energies(samples: DataFrame, frame: int, hop: int) -> DataFrame:
+    """key, n (samples), k, energy: the mean square of the samples (key, place, x) from place k * hop on, ``frame`` of them.
+
+    Places count from 0 without gaps. The last frames are those that fit, or one shorter frame if none does.
+    """
+    size = F.col("n") - frame
+    last = F.when(size >= 0, F.floor(size / hop)).otherwise(0)
+    totals = samples.groupBy("key").agg(F.count("*").alias("n"))
+    first = F.greatest(F.lit(0), F.floor((F.col("place") - frame + hop) / hop))
+    frames = F.sequence(first, F.floor(F.col("place") / hop))
+    # a sample counts in every frame that holds it; tasks add up first
+    each = samples.select("key", "x", F.explode(frames).alias("k")).groupBy("key", "k").agg((F.sum(F.col("x") * F.col("x")).cast("double") / F.count("*")).alias("energy"))
+    return each.join(totals, "key").where(F.col("k") <= last).select("key", "n", "k", "energy")
+
+
+def quiet_chunks(samples: DataFrame, chunk: int, overlap: int, frame: int, hop: int) -> DataFrame:
+    """key, chunk, start, stop of overlapping chunks of ``samples(key, place, x)`` that begin where it is quiet.
+
+    Each chunk begins ``chunk - overlap`` after the one before it, moved to the middle of the frame with the least energy
+    within half the overlap (of equals the nearest, then the first); a rest no longer than the overlap joins the chunk before
+    it. A start depends on the start before it, so a recording's starts are a fold over its energies, one number for each
+    ``hop`` samples; the samples themselves are never gathered. Overlaps count as at most half a chunk.
+    """
+    lap = max(0, min(overlap, chunk // 2))
+    step, radius = max(1, chunk - lap), lap // 2
+    rows = frame_energies(samples, frame, hop).groupBy("key").agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("k", "energy"))).alias("e"))
+    # places of the frames whose middle lies around the target, as numbers from 0
+    low = f"greatest(0, cast(ceil((t - {radius} - {frame // 2}) / {hop}) as int))"
+    high = f"least(size(e) - 1, cast(floor((t + {radius} - {frame // 2}) / {hop}) as int))"
+    near = f"if({low} <= {high}, slice(e, {low} + 1, {high} - {low} + 1), slice(e, 1, 0))"
+    best = f"array_min(transform({near}, f -> struct(f.energy as energy, abs(f.k * {hop} + {frame // 2} - t) as off, f.k * {hop} + {frame // 2} as middle))).middle"
+    snapped = f"coalesce({best}, t)" if radius else "t"
+    starts = F.expr(f"""aggregate(sequence(1, cast(n div {max(1, step - radius)} as int) + 1), array(0L), (s, turn) -> element_at(transform(array(element_at(s, -1) + {step}), t ->
+        if(t >= n or n - t <= {lap} or turn > size(s), s, array_append(s, greatest(element_at(s, -1) + 1, least(cast({snapped} as bigint), n - 1))))), 1))""")
+    rows = rows.select("key", "n", starts.alias("starts")).select("key", "n", F.size("starts").alias("m"), F.posexplode("starts").alias("chunk", "start"))
+    return rows.select("key", "chunk", "start", F.when(F.col("chunk") == F.col("m") - 1, F.col("n")).otherwise(F.least(F.col("start") + chunk, F.col("n"))).alias("stop"))

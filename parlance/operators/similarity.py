@@ -93,31 +93,24 @@ def near_words(words: DataFrame, terms: DataFrame, most: int, least: float) -> D
 
     They meet through deletions: two strings within two edits agree after at most two deletions in each, so an equality
     replaces the comparison with every term. ``terms`` is a glossary; its deletion table is joined by a shuffle like any other.
+    A short word makes fewer deletions, as the ratio allows it fewer edits.
     """
+
+    def cuts(word: Column) -> Column:
+        # with d edits the longer string has at least d / (1 - least) letters, and at most d more than this one
+        found = F.array(word)
+        for d in range(1, most + 1):
+            found = F.when((F.length(word) + d) * (1 - least) >= d - 1e-9, shortened(word, d)).otherwise(found)
+        return found
+
     shortest, longest = terms.agg(F.min(F.length("term")), F.max(F.length("term"))).first()
     words = words.where(F.length("word").between((shortest or 0) - most, (longest or 0) + most))
-    cut = [df.select(name, F.explode(shortened(F.col(name), most)).alias("d")) for df, name in ((words, "word"), (terms, "term"))]
+    cut = [df.select(name, F.explode(cuts(F.col(name))).alias("d")) for df, name in ((words, "word"), (terms, "term"))]
     pairs = cut[0].join(cut[1], "d").select("word", "term").distinct()
     pairs = pairs.withColumns({"distance": F.levenshtein("word", "term"), "ratio": levenshtein_ratio(F.col("word"), F.col("term"))})
     return pairs.where((F.col("distance") <= most) & (F.col("ratio") >= least))
 
 
-def fuzzy_phrases(windows: DataFrame, terms: DataFrame, most: int = 2, least: float = 0.75) -> DataFrame:
-    """The columns of ``windows(a, b, ...)`` with term: of the two-word ``terms(ta, tb)`` within 1 to ``most`` edits in all the
-    nearest, then the first. Each word is within ``least`` of its own; words of less than three letters match none.
-
-    Only distinct words are compared with the words of terms, so windows are joined by equalities.
-    """
-    long = windows.where("length(a) >= 3 and length(b) >= 3")
-    words = long.select(F.explode(F.array("a", "b")).alias("word")).distinct()
-    parts = terms.select(F.explode(F.array("ta", "tb")).alias("term")).distinct()
-    near = near_words(words, parts, most, least)
-    first, second = (near.select(F.col("word").alias(w), F.col("term").alias(t), F.col("distance").alias(f"edits_{w}")) for w, t in (("a", "ta"), ("b", "tb")))
-    hits = long.join(first.join(terms, "ta"), "a").join(second, ["b", "tb"]).withColumn("edits", F.col("edits_a") + F.col("edits_b"))
-    best = hits.where(F.col("edits").between(1, most)).groupBy(*windows.columns).agg(F.min(F.struct("edits", "ta", "tb")).alias("m"))
-    return best.select(*windows.columns, F.concat_ws(" ", "m.ta", "m.tb").alias("term"))
-
-
 def fuzzy_terms(words: DataFrame, terms: DataFrame, most: int = 2, least: float = 0.8) -> DataFrame:
     """word and term of the likeliest correction of each word: edit distance and ratio within the limits.
 

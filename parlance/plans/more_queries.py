@@ -77,16 +77,6 @@ def f20(spark, sf):
     return p.select("c_custkey", ok.alias("spelling"))
 
 
-def f21(spark, sf):
-    """The known form nearest to each unknown word among those with its first four letters."""
-    words = read(spark, sf, "documents").select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{10,14}"), F.lit(0)))).alias("word"))
-    counts = words.groupBy("word").agg(F.count("*").alias("n"))
-    known = counts.where("n >= 3").select(F.col("word").alias("form"), F.substring("word", 1, 4).alias("pre"))
-    rare = counts.where("n = 1").select("word", F.substring("word", 1, 4).alias("pre"))
-    near = rare.join(known, "pre").where((F.levenshtein("word", "form") <= 1) & (F.abs(F.length("word") - F.length("form")) <= 2))
-    return near.groupBy("word").agg(F.min("form").alias("form"))
-
-
 def f32(spark, sf):
     """Terms replaced from a map in one pass, longest first, whatever their case."""
     t = F.regexp_replace(F.regexp_replace("text", r"(?i)\b(licensed under)\b", "LICENSED UNDER"), r"(?i)\b(license)\b", "LICENCE")
@@ -128,15 +118,6 @@ def f28(spark, sf):
     return v.select("vec_id", F.array_join(F.transform(bands("embedding"), lambda x: F.round(x, 4)), " ").alias("fingerprint"))
 
 
-def j18(spark, sf):
-    """Windows of two words that come within two edits of a two-word term, word by word."""
-    words = lambda table: read(spark, sf, table).select("*", F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)).alias("w")).where("size(w) >= 2")
-    pairs = F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.struct(F.get("w", i - 1).alias("a"), F.get("w", i).alias("b")))
-    windows = words("documents").select("doc_id", F.posexplode(pairs).alias("pos", "g")).select("doc_id", "pos", "g.a", "g.b")
-    terms = words("benchmark").select(F.element_at("w", 1).alias("ta"), F.element_at("w", 2).alias("tb")).where("length(ta) >= 4 and length(tb) >= 4").distinct()
-    return M.fuzzy_phrases(windows, terms).select("doc_id", "pos", "term")
-
-
 def l04(spark, sf):
     """The three longest segments of each speaker and day that no longer one of theirs overlaps."""
     s = speaker_segments(spark, sf).withColumn("ms", F.col("end_ms") - F.col("start_ms"))
@@ -161,14 +142,6 @@ def c06(spark, sf):
     return C.fitting_prefix(t, 80, 1).select("rec_id", F.size("kept").alias("n"))
 
 
-def w14(spark, sf):
-    """Words that open a turn and closed the turn before it, counted as a boundary repetition."""
-    w = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"\s+"), lambda x: x != "")
-    e = entries(spark, sf).select("rec_id", "idx", w.alias("w"))
-    last = F.lag(F.slice(F.reverse("w"), 1, 30)).over(S.by_idx())
-    return e.withColumn("last", last).where("last is not null").select("rec_id", "idx", F.size(F.array_intersect(F.slice("w", 1, 30), "last")).alias("n_shared"))
-
-
 def x08(spark, sf):
     """First name for each speaker over ordered chunks, every name used once."""
     rows = read(spark, sf, "events").selectExpr("user_id % 10 as group", "event_id as chunk", "user_id as speaker", "concat('n', cast(floor(value) as int) % 12) as name")
@@ -183,18 +156,17 @@ def x08(spark, sf):
     return rows.groupBy("group").applyInPandas(fold, f"group {dict(rows.dtypes)['group']}, speaker long, name string")
 
 
+OVERLAP_ADD = """WITH e AS (SELECT user_id AS key, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS place, count(*) OVER (PARTITION BY user_id) AS total FROM events),
+    m AS (SELECT *, greatest(0, ceil((total - 50) / 40))::BIGINT AS most, unnest([place // 40, place // 40 - 1]) AS chunk FROM e), s AS (SELECT *, place - chunk * 40 AS pos, least(50, total - chunk * 40) AS n FROM m)
+    SELECT key, place, round(sum(value * (1 + chunk % 2) * CASE WHEN chunk > 0 AND pos < 10 THEN (pos + 0.5) / 10 ELSE 1 END * CASE WHEN chunk < most AND n - pos <= 10 THEN (n - pos - 0.5) / 10 ELSE 1 END), 4) AS x
+    FROM s WHERE chunk BETWEEN 0 AND most AND pos < 50 GROUP BY key, place"""
+
 QUERIES = {
-    "p15_speech_mask": p15, "p16_speaker_assign": p16, "p17_co_speakers": p17, "a24_best_energy_window": a24, "a25_speech_window": a25, "a37_recording_quality": a37, "f20_spelling_form": f20, "f21_known_form": f21,
-    "f28_fingerprint": f28, "f32_term_splice": f32, "f33_overlap_add": f33, "f34_attenuation": f34, "j18_fuzzy_phrases": j18, "l04_top_without_overlap": l04, "u10_voice_merge": u10, "c06_rotating_block": c06,
-    "w14_boundary_repetition": w14, "x08_first_names": x08,
+    "p15_speech_mask": p15, "p16_speaker_assign": p16, "p17_co_speakers": p17, "a24_best_energy_window": a24, "a25_speech_window": a25, "a37_recording_quality": a37, "f20_spelling_form": f20,
+    "f28_fingerprint": f28, "f32_term_splice": f32, "f33_overlap_add": f33, "f34_attenuation": f34, "l04_top_without_overlap": l04, "u10_voice_merge": u10, "c06_rotating_block": c06,
+    "x08_first_names": x08,
 }
 ORACLES = {
-    "j18_fuzzy_phrases": """WITH t AS (SELECT DISTINCT w[1] AS ta, w[2] AS tb FROM (SELECT regexp_extract_all(lower(text), '[a-z]+') AS w FROM benchmark) WHERE length(w[1]) >= 4 AND length(w[2]) >= 4),
-        d AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS w FROM documents), g AS (SELECT doc_id, unnest(range(0, len(w) - 1)) AS pos, unnest(w[1:len(w) - 1]) AS a, unnest(w[2:len(w)]) AS b FROM d WHERE len(w) >= 2),
-        x AS (SELECT ta AS term FROM t UNION SELECT tb FROM t), v AS (SELECT a AS word FROM g WHERE length(a) >= 3 UNION SELECT b FROM g WHERE length(b) >= 3),
-        m AS (SELECT word, term, levenshtein(word, term) AS e FROM v JOIN x ON abs(length(word) - length(term)) <= 2 AND levenshtein(word, term) <= 2 AND 1 - levenshtein(word, term) / greatest(length(word), length(term)) >= 0.75),
-        h AS (SELECT doc_id, pos, ta, tb, p.e + q.e AS edits FROM g JOIN m p ON p.word = a JOIN t ON ta = p.term JOIN m q ON q.word = b AND q.term = tb)
-        SELECT doc_id, pos, arg_min(ta || ' ' || tb, (edits, ta, tb)) AS term FROM h WHERE edits BETWEEN 1 AND 2 GROUP BY doc_id, pos""",
     "p15_speech_mask": f"WITH {SEG}, e AS (SELECT *, pow((end_ms - start_ms) / 1000, 2) AS en FROM seg), m AS (SELECT rec_id, median(en) AS m FROM e GROUP BY 1) SELECT rec_id, idx, en >= greatest(1e-8, 0.25 * m) AS speech FROM e JOIN m USING (rec_id)",
     "p16_speaker_assign": f"WITH {ENT}, x AS (SELECT *, (rec_id + idx) % 3 = 0 AS has, {_SELECTED} AS hit FROM ent) SELECT rec_id, idx, CASE WHEN hit THEN 'T' ELSE speaker_id END AS speaker_id, CASE WHEN NOT has THEN '' WHEN hit THEN 'B' ELSE 'B,T' END AS extras, hit AND (speaker_id IS DISTINCT FROM 'T' OR has) AS changed FROM x",
     "p17_co_speakers": f"WITH {ENT}, x AS (SELECT *, (rec_id + idx) % 3 = 0 AS has, {_SELECTED} AS hit FROM ent) SELECT rec_id, idx, CASE WHEN hit AND has THEN 'B,T' WHEN hit THEN 'T' WHEN has THEN 'T' ELSE '' END AS extras, CASE WHEN hit THEN true WHEN NOT has THEN false ELSE overlap END AS overlap FROM x",
@@ -202,13 +174,8 @@ ORACLES = {
     "a25_speech_window": "WITH e AS (SELECT user_id AS rec_id, event_id AS idx, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events), l AS (SELECT *, CASE WHEN n - lag(n) OVER (PARTITION BY rec_id ORDER BY idx) <= 2 THEN 0 ELSE 1 END AS new FROM e WHERE value >= 20), r AS (SELECT *, sum(new) OVER (PARTITION BY rec_id ORDER BY idx) AS run FROM l), p AS (SELECT rec_id, arg_max(run, (value, -idx)) AS run FROM r GROUP BY 1) SELECT rec_id, min(idx) AS first_idx, max(idx) AS last_idx, count(*) AS n_loud FROM r JOIN p USING (rec_id, run) GROUP BY 1",
     "a37_recording_quality": "WITH q AS (SELECT user_id, 20 * log10(sqrt(avg(value * value)) / 500) AS l, max(value) AS p, avg(CASE WHEN value > 10 THEN 1 ELSE 0 END) AS s, count(*) AS n FROM events GROUP BY 1) SELECT user_id, round(l, 4) AS dbfs, round(p, 2) AS peak, l < -15 AS too_quiet, p >= 450 AS clipped, s < 0.8 AS sparse, n < 60 AS short FROM q",
     "f20_spelling_form": "WITH p AS (SELECT c_custkey, lower(c_name) AS w, lower(substr(c_name, 1, 12) || 'x' || substr(c_name, 14, 30)) AS f FROM customer) SELECT c_custkey, length(w) >= 6 AND levenshtein(w, f) <= 1 AND abs(length(w) - length(f)) <= greatest(2, length(w) // 5) AND 1 - levenshtein(w, f) / greatest(length(w), length(f)) >= 0.93 AS spelling FROM p",
-    "f21_known_form": "WITH w AS (SELECT word, count(*) AS n FROM (SELECT unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]{10,14}'))) AS word FROM documents) GROUP BY 1) SELECT r.word, min(k.word) AS form FROM w r JOIN w k ON substr(r.word, 1, 4) = substr(k.word, 1, 4) WHERE r.n = 1 AND k.n >= 3 AND levenshtein(r.word, k.word) <= 1 GROUP BY 1",
-    "f33_overlap_add": """WITH e AS (SELECT user_id AS key, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS place, count(*) OVER (PARTITION BY user_id) AS total FROM events),
-        m AS (SELECT *, greatest(0, ceil((total - 50) / 40))::BIGINT AS most, unnest([place // 40, place // 40 - 1]) AS chunk FROM e), s AS (SELECT *, place - chunk * 40 AS pos, least(50, total - chunk * 40) AS n FROM m)
-        SELECT key, place, round(sum(value * (1 + chunk % 2) * CASE WHEN chunk > 0 AND pos < 10 THEN (pos + 0.5) / 10 ELSE 1 END * CASE WHEN chunk < most AND n - pos <= 10 THEN (n - pos - 0.5) / 10 ELSE 1 END), 4) AS x
-        FROM s WHERE chunk BETWEEN 0 AND most AND pos < 50 GROUP BY key, place""",
+    "f33_overlap_add": OVERLAP_ADD,
     "f34_attenuation": f"WITH {SEG}, {SPK} SELECT s.rec_id, s.idx, round((s.end_ms - s.start_ms) * CASE WHEN EXISTS (SELECT 1 FROM spk p WHERE p.rec_id = s.rec_id AND p.speaker_id = 'U3' AND s.start_ms BETWEEN p.start_ms AND p.end_ms) THEN 0.1 ELSE 1.0 END, 3)::DOUBLE AS value FROM seg s",
     "l04_top_without_overlap": f"WITH {SPK}, s AS (SELECT rec_id || '/' || speaker_id AS track, idx, start_ms, end_ms, end_ms - start_ms AS ms FROM spk), f AS (SELECT * FROM s WHERE NOT EXISTS (SELECT 1 FROM s o WHERE o.track = s.track AND least(o.end_ms, s.end_ms) > greatest(o.start_ms, s.start_ms) AND (o.ms > s.ms OR (o.ms = s.ms AND o.idx < s.idx)))) SELECT track, idx, ms FROM (SELECT *, row_number() OVER (PARTITION BY track ORDER BY ms DESC, start_ms) AS k FROM f) WHERE k <= 3",
     "u10_voice_merge": "WITH f AS (SELECT s_nationkey AS name, s_suppkey AS sample, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS number FROM supplier) SELECT name, sample, number FROM f WHERE name <> 3 UNION ALL SELECT 4, sample, number + (SELECT max(number) FROM f WHERE name = 4) FROM f WHERE name = 3 AND (SELECT max(number) FROM f WHERE name = 4) IS NOT NULL",
-    "w14_boundary_repetition": f"WITH {ENT}, w AS (SELECT rec_id, idx, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\\s+'), lambda x: x <> '') AS w FROM ent), l AS (SELECT *, lag(list_reverse(w)[1:30]) OVER (PARTITION BY rec_id ORDER BY idx) AS p FROM w) SELECT rec_id, idx, len(list_intersect(w[1:30], p)) AS n_shared FROM l WHERE p IS NOT NULL",
 }

@@ -10,6 +10,7 @@ from parlance.operators import chunking as C
 from parlance.operators import graph
 from parlance.operators import intervals as I
 from parlance.operators import sequences as S
+from parlance.operators import clusters as K
 from parlance.operators import similarity as M
 from parlance.plans.inputs import ENT, SPK, entries, read, segments, speaker_segments
 
@@ -73,6 +74,14 @@ def a21(spark, sf):
     return M.clustered(v, 1.3, clusters=3, linkage="ward")
 
 
+def a21_bounded(spark, sf):
+    """Clusters of each group by a threshold, with an exact number, an estimate, a lower or an upper bound in turn, or none."""
+    v = vectors(spark, sf).select(F.floor(F.col("vec_id") / VOICES).alias("group"), F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    turn = F.col("group") % 5
+    bounds = {"exact": (0, 3), "expected": (1, 1), "least": (2, VOICES // 2), "most": (3, 2)}
+    return K.bounded_clusters(v.withColumns({c: F.when(turn == t, k).cast("int") for c, (t, k) in bounds.items()}), 1.2)
+
+
 def a22(spark, sf):
     v = vectors(spark, sf).select(F.floor(F.col("vec_id") / VOICES).alias("group"), F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     return M.ensemble_count(v, (0.4, 0.5, 0.6, 0.7, 0.8))
@@ -113,19 +122,6 @@ def j07(spark, sf):
     return rows.select("rec_id", "idx", F.when(F.col("total_ms") > 0, F.round(F.coalesce("covered_ms", F.lit(0)) / F.col("total_ms"), 6)).otherwise(0.0).alias("confidence"))
 
 
-def j13(spark, sf):
-    """Segments of neighbouring chunks that say the same at the same time: the one nearer its chunk's middle stays."""
-    seg = segments(spark, sf).withColumns({"chunk": F.floor(F.col("start_ms") / 1_800_000), "end_ms": F.col("start_ms") + 400_000})
-    left = seg.select("rec_id", "idx", "start_ms", "end_ms", "chunk", "text")
-    right = seg.select("rec_id", F.col("idx").alias("r_idx"), F.col("start_ms").alias("r_start"), F.col("end_ms").alias("r_end"), F.col("chunk").alias("r_chunk"), F.col("text").alias("r_text"))
-    shorter = F.least(F.col("end_ms") - F.col("start_ms"), F.col("r_end") - F.col("r_start"))
-    pairs = I.overlap_join(left, right, ["rec_id"]).where((F.col("chunk") != F.col("r_chunk")) & (I.overlap() >= 0.6 * shorter) & (F.col("text") == F.col("r_text")))
-    off = lambda s, e, c: F.abs((s + e) / 2 - (c + 0.5) * 1_800_000)
-    mine, theirs = F.struct(off(F.col("start_ms"), F.col("end_ms"), F.col("chunk")), F.col("idx")), F.struct(off(F.col("r_start"), F.col("r_end"), F.col("r_chunk")), F.col("r_idx"))
-    losers = pairs.where(mine > theirs).select("rec_id", "idx").distinct()
-    return seg.join(losers, ["rec_id", "idx"], "left_anti").select("rec_id", "idx")
-
-
 def f06(spark, sf):
     d = read(spark, sf, "documents").select("doc_id", F.concat(F.col("text"), F.lit(" again again. And so it is, and so it is")).alias("text"))
     return d.select("doc_id", M.mapped(S.collapse_ngrams, F.col("text")).alias("text"))
@@ -227,8 +223,8 @@ def a26(spark, sf):
 
 
 QUERIES = {
-    "j07_word_coverage": j07, "j13_chunk_dedup": j13, "j14_cosine_join": j14, "j15_similarity_matrix": j15_matrix, "j16_shared_names": j16_shared, "j16_exclusive_names": j16_exclusive, "j17_fuzzy_terms": j17,
-    "a17_connected_components": a17, "a19_mean_vectors": a19, "a20_agglomerative": a20, "a21_fixed_count_ward": a21, "a22_ensemble_count": a22, "a23_energy": a23, "a26_envelope": a26, "a30_share_distance": a30,
+    "j07_word_coverage": j07, "j14_cosine_join": j14, "j15_similarity_matrix": j15_matrix, "j16_shared_names": j16_shared, "j16_exclusive_names": j16_exclusive, "j17_fuzzy_terms": j17,
+    "a17_connected_components": a17, "a19_mean_vectors": a19, "a20_agglomerative": a20, "a21_fixed_count_ward": a21, "a21_bounded_clusters": a21_bounded, "a22_ensemble_count": a22, "a23_energy": a23, "a26_envelope": a26, "a30_share_distance": a30,
     "a40_slide_aggregate": a40, "u04_slide_groups": u04, "f06_ngram_collapse": f06, "f10_similarity_ratio": f10, "f12_word_sync": f12, "f18_f19_editorial": f18, "f24_edit_overlaps": f24, "f26_participants": f26,
     "f29_frame_difference": f29, "f30_mean_logprob": f30, "c01_speech_windows": c01, "c02_overlapping_windows": c02, "c04_text_chunks": c04, "c05_speech_samples": c05, "l05_longest_clean": l05, "l08_fitting_prefix": l08,
 }

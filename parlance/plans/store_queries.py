@@ -55,21 +55,10 @@ def j02(spark, sf):
     return n.join(s, n.n_nationkey == s.s_nationkey, "left").groupBy("n_nationkey", "n_name").agg(F.count("s_suppkey").alias("n_entries"))
 
 
-def t01(spark, sf):
-    hits = S.bm25(read(spark, sf, "documents"), ["tion", "er"], ["doc_id"])
-    return hits.withColumn("score", F.round("score", 5)).orderBy(F.desc("score"), "doc_id").limit(100)
-
-
 def t02(spark, sf):
     return S.contains_all(entries(spark, sf), ["tion", "the"]).select("rec_id", "idx")
 
 
-def t03(spark, sf):
-    state = read(spark, sf, "orders").where("o_orderkey % 3 = 0").selectExpr("o_orderkey as job_id", "o_orderdate as mtime")
-    now = read(spark, sf, "orders").selectExpr("o_orderkey as job_id", "case when o_orderkey % 9 = 0 then o_orderdate + interval 1 day else o_orderdate end as mtime")
-    return S.stale(state, now)
-
-
 def j23(spark, sf):
     """Search hits with the names of their job and archive record."""
     hits = S.contains_all(read(spark, sf, "documents"), ["licensed"]).selectExpr("doc_id", "doc_id % 100 as s", "doc_id % 25 as n")
@@ -282,7 +271,7 @@ _MS = "lpad((({0}) % 1000)::VARCHAR, 3, '0')"
 
 QUERIES = {
     "a10_stage_profile": a10, "a11_a12_progress_eta": a11_a12, "a13_run_estimate": a13, "a14_health": a14, "a36_cache_eviction": a36, "j01_terms_left_join": j01, "j02_group_count": j02,
-    "t01_bm25_search": t01, "t02_substring_search": t02, "t03_incremental_index": t03, "j23_hit_lookup": j23, "a01_counts": a01, "a02_distinct_speakers": a02, "a16_a18_exact_duplicates": a16_a18,
+    "t02_substring_search": t02, "j23_hit_lookup": j23, "a01_counts": a01, "a02_distinct_speakers": a02, "a16_a18_exact_duplicates": a16_a18,
     "a33_next_speaker": a33, "a38_speech_budget": a38, "a39_import_report": a39, "a41_result_summary": a41, "l01_archive_order": l01, "l02_pagination": l02, "l03_longest_segments": l03, "l09_job_order": l09,
     "p09_date_range": p09, "p10_soft_delete_filter": p10, "u01_ordered_union": u01, "u02_multiset_difference": u02, "u03_jaccard": u03, "u05_upsert": u05, "u06_cascading_delete": u06,
     "u06_delete_to_null": u06_null, "u07_soft_delete": u07, "u08_seed_defaults": u08, "u09_edit_overlay": u09, "u11_partial_update": u11, "j12_edit_carry_over": j12, "j19_alias_lookup": j19,
@@ -300,11 +289,7 @@ ORACLES = {
         u AS (SELECT *, sum(CASE WHEN old THEN 0 ELSE size END) OVER (PARTITION BY cache ORDER BY n) AS used FROM o) SELECT cache, key FROM u WHERE old OR (used > 600000 AND n > 1)""",
     "j01_terms_left_join": "WITH p AS (SELECT p_partkey AS pos, p_name AS canonical, CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE p_partkey % 100 END AS source_id FROM part), r AS (SELECT p.*, row_number() OVER (PARTITION BY lower(canonical) ORDER BY pos) AS n FROM p LEFT JOIN supplier ON s_suppkey = source_id WHERE s_acctbal > 0 OR source_id IS NULL) SELECT pos, canonical, source_id FROM r WHERE n = 1",
     "j02_group_count": "SELECT n_nationkey, n_name, count(s_suppkey) AS n_entries FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY ALL",
-    "t01_bm25_search": r"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}_]+') AS w FROM documents), d AS (SELECT doc_id, len(w) AS l, len(list_filter(w, lambda x: starts_with(x, 'tion'))) AS a, len(list_filter(w, lambda x: starts_with(x, 'er'))) AS b FROM w WHERE len(w) > 0),
-        t AS (SELECT count(*) AS n, avg(l) AS m, count(*) FILTER (a > 0) AS da, count(*) FILTER (b > 0) AS db FROM d)
-        SELECT doc_id, round(greatest(ln((n - da + 0.5) / (da + 0.5)), 1e-6) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * l / m)) + greatest(ln((n - db + 0.5) / (db + 0.5)), 1e-6) * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * l / m)), 5) AS score FROM d, t WHERE a > 0 AND b > 0 ORDER BY score DESC, doc_id LIMIT 100""",
     "t02_substring_search": f"WITH {ENT} SELECT rec_id, idx FROM ent WHERE contains(lower(text), 'tion') AND contains(lower(text), 'the')",
-    "t03_incremental_index": "SELECT o_orderkey AS job_id, CASE WHEN o_orderkey % 9 = 0 THEN o_orderdate + INTERVAL 1 DAY ELSE o_orderdate END AS mtime FROM orders WHERE o_orderkey % 3 <> 0 OR o_orderkey % 9 = 0",
     "j23_hit_lookup": "SELECT doc_id, s_name, n_name FROM documents LEFT JOIN supplier ON s_suppkey = doc_id % 100 LEFT JOIN nation ON n_nationkey = doc_id % 25 WHERE contains(lower(text), 'licensed')",
     "a01_counts": "SELECT count(*) AS entries, count(*) FILTER (p_size > 25) AS enabled, count(DISTINCT p_brand) AS sources FROM part",
     "a02_distinct_speakers": f"WITH {ENT} SELECT DISTINCT speaker_id FROM ent WHERE speaker_id <> ''",

@@ -7,9 +7,10 @@ rows that it wrote. Event time is an addition: order within a key is arrival, or
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -26,11 +27,32 @@ def table_stream(table: DataFrame, path: str) -> DataFrame:
     return table.sparkSession.readStream.schema(table.schema).parquet(path)
 
 
-def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Session settings that hold within the block."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def drain(stream: DataFrame, mode: str = "append", state: dict[str, str] | None = None) -> DataFrame:
     """Everything that ``stream`` gives for the input there is, as a table in the shared folder.
 
-    In update mode a batch replaces nothing: rows carry ``batch_id``, and the last one for a key is its state.
+    In append mode with a watermark, a last batch without data closes what the watermark has passed by then. In update mode
+    a batch replaces nothing: rows carry ``batch_id``, and the last one for a key is its state. ``state`` holds settings of
+    the state store.
     """
+    spark = stream.sparkSession
+    with settings(spark, state or {}):
+        return _drained(stream, mode)
+
+
+def _drained(stream: DataFrame, mode: str) -> DataFrame:
     spark = stream.sparkSession
     out, checkpoint = new_path(spark, "stream-out"), new_path(spark, "stream-state")
     if mode == "append":
@@ -64,7 +86,11 @@ def replay(log: DataFrame, after: int, history: int = HISTORY) -> DataFrame:
 
 
 def live_sessions(events: DataFrame, gap: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
-    """Sessions of each key by event time, closed once the watermark has passed them."""
+    """Sessions of each key by event time, given out once the watermark has passed their end.
+
+    The watermark trails the latest event of earlier batches by ``late``; rows behind it are dropped, and closed sessions
+    leave the state.
+    """
     return (
         events.withWatermark("ts", late)
         .groupBy(F.session_window("ts", gap), "key")
@@ -74,7 +100,7 @@ def live_sessions(events: DataFrame, gap: str = "5 minutes", late: str = "10 min
 
 
 def live_windows(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
-    """Counts of each key in tumbling windows."""
+    """Counts of each key in tumbling windows, given out once the watermark has passed their end, as in ``live_sessions``."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", width), "key").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select("key", F.col("window.start").alias("start"), "n", "total")
 
 
