@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
 from parlance.functions.text import KNOWN_REPETITIONS, LEGIT_REPEATS, has_markers, is_hallucination, is_noise_only, noise_stem_words, noise_stems, normalize_after_markers, sparse_long, strip_markers, trim_noise_edges
-from parlance.operators.similarity import mapped
 
 
 def by_idx() -> WindowSpec:
@@ -164,7 +163,7 @@ def _first_repeat(keys: list[str], min_words: int) -> tuple[int, int] | None:
 def clean_artifacts(entries: DataFrame, drop_sparse: bool = True) -> DataFrame:
     """Entries without recogniser artefacts: made-up phrases, markers, near-empty long rows and series of bare noise."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    entries = entries.withColumn("_trimmed", mapped(trim_noise_edges, strip_markers(text)))
+    entries = entries.withColumn("_trimmed", trim_noise_edges(strip_markers(text)))
     trimmed = F.col("_trimmed") != strip_markers(text)
     clean = F.when(trimmed, normalize_after_markers(F.col("_trimmed"))).otherwise(F.col("_trimmed"))
     removed = has_markers(text) | trimmed
@@ -179,6 +178,19 @@ def clean_artifacts(entries: DataFrame, drop_sparse: bool = True) -> DataFrame:
     return rows.where("_kind = 'keep' or (_kind = 'noise' and not _gone)").drop("_kind", "_stems", "_names", "_run", "_gone", "_trimmed")
 
 
+def first_names(rows: DataFrame) -> DataFrame:
+    """group, speaker, name of ``rows(group, chunk, speaker, name)``: in order of chunks a speaker without a name takes the
+    name said for it, unless another one has it.
+
+    Only the first chunk in which a name is said for a speaker matters, so a group comes down to its distinct pairs before
+    they meet in one task. Rows without a name or a speaker say nothing.
+    """
+    said = rows.where("name is not null and speaker is not null").groupBy("group", "speaker", "name").agg(F.min("chunk").alias("chunk"))
+    pairs = said.groupBy("group").agg(F.array_sort(F.collect_list(F.struct("chunk", "speaker", "name"))).alias("x"))
+    named = F.expr("aggregate(x, slice(x, 1, 0), (s, r) -> if(exists(s, o -> o.speaker = r.speaker or o.name = r.name), s, array_append(s, r)))")
+    return pairs.select("group", F.explode(named).alias("r")).select("group", "r.speaker", "r.name")
+
+
 def filled(column: str) -> Column:
     """The last known value up to a row, else the next one."""
     ahead = by_idx().rowsBetween(0, Window.unboundedFollowing)

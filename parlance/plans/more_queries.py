@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from parlance.functions.text import levenshtein_ratio
+from parlance.functions.text import levenshtein_ratio, splice_terms
 from parlance.operators import chunking as C
 from parlance.operators import intervals as I
 from parlance.operators import sequences as S
@@ -77,10 +77,12 @@ def f20(spark, sf):
     return p.select("c_custkey", ok.alias("spelling"))
 
 
+_TERMS = {"licensed under": "LICENSED UNDER", "license": "LICENCE", "under the": "UNDER THE", "the": "THE", "of the": "OF THE"}
+
+
 def f32(spark, sf):
     """Terms replaced from a map in one pass, longest first, whatever their case."""
-    t = F.regexp_replace(F.regexp_replace("text", r"(?i)\b(licensed under)\b", "LICENSED UNDER"), r"(?i)\b(license)\b", "LICENCE")
-    return read(spark, sf, "documents").where("text is not null").select("doc_id", F.md5(t.cast("binary")).alias("spliced"))
+    return read(spark, sf, "documents").where("text is not null").select("doc_id", F.md5(splice_terms(F.col("text"), _TERMS).cast("binary")).alias("spliced"))
 
 
 def f33(spark, sf):
@@ -143,19 +145,12 @@ def c06(spark, sf):
 
 
 def x08(spark, sf):
-    """First name for each speaker over ordered chunks, every name used once."""
-    rows = read(spark, sf, "events").selectExpr("user_id % 10 as group", "event_id as chunk", "user_id as speaker", "concat('n', cast(floor(value) as int) % 12) as name")
-
-    def fold(df: pd.DataFrame) -> pd.DataFrame:
-        named: dict[int, str] = {}
-        for r in df.sort_values("chunk").itertuples():
-            if r.speaker not in named and r.name not in named.values():
-                named[r.speaker] = r.name
-        return pd.DataFrame({"group": df["group"].iloc[0], "speaker": list(named), "name": list(named.values())})
-
-    return rows.groupBy("group").applyInPandas(fold, f"group {dict(rows.dtypes)['group']}, speaker long, name string")
+    """First name for each speaker over ordered chunks, every name used once among fifty users."""
+    rows = read(spark, sf, "events").selectExpr("user_id div 50 as group", "event_id as chunk", "user_id as speaker", "concat('n', cast(floor(value) as int) % 40) as name")
+    return S.first_names(rows)
 
 
+_WHOLE = r"(?i)\b(?:" + "|".join(sorted(_TERMS, key=len, reverse=True)) + r")\b"
 OVERLAP_ADD = """WITH e AS (SELECT user_id AS key, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS place, count(*) OVER (PARTITION BY user_id) AS total FROM events),
     m AS (SELECT *, greatest(0, ceil((total - 50) / 40))::BIGINT AS most, unnest([place // 40, place // 40 - 1]) AS chunk FROM e), s AS (SELECT *, place - chunk * 40 AS pos, least(50, total - chunk * 40) AS n FROM m)
     SELECT key, place, round(sum(value * (1 + chunk % 2) * CASE WHEN chunk > 0 AND pos < 10 THEN (pos + 0.5) / 10 ELSE 1 END * CASE WHEN chunk < most AND n - pos <= 10 THEN (n - pos - 0.5) / 10 ELSE 1 END), 4) AS x
@@ -174,6 +169,8 @@ ORACLES = {
     "a25_speech_window": "WITH e AS (SELECT user_id AS rec_id, event_id AS idx, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events), l AS (SELECT *, CASE WHEN n - lag(n) OVER (PARTITION BY rec_id ORDER BY idx) <= 2 THEN 0 ELSE 1 END AS new FROM e WHERE value >= 20), r AS (SELECT *, sum(new) OVER (PARTITION BY rec_id ORDER BY idx) AS run FROM l), p AS (SELECT rec_id, arg_max(run, (value, -idx)) AS run FROM r GROUP BY 1) SELECT rec_id, min(idx) AS first_idx, max(idx) AS last_idx, count(*) AS n_loud FROM r JOIN p USING (rec_id, run) GROUP BY 1",
     "a37_recording_quality": "WITH q AS (SELECT user_id, 20 * log10(sqrt(avg(value * value)) / 500) AS l, max(value) AS p, avg(CASE WHEN value > 10 THEN 1 ELSE 0 END) AS s, count(*) AS n FROM events GROUP BY 1) SELECT user_id, round(l, 4) AS dbfs, round(p, 2) AS peak, l < -15 AS too_quiet, p >= 450 AS clipped, s < 0.8 AS sparse, n < 60 AS short FROM q",
     "f20_spelling_form": "WITH p AS (SELECT c_custkey, lower(c_name) AS w, lower(substr(c_name, 1, 12) || 'x' || substr(c_name, 14, 30)) AS f FROM customer) SELECT c_custkey, length(w) >= 6 AND levenshtein(w, f) <= 1 AND abs(length(w) - length(f)) <= greatest(2, length(w) // 5) AND 1 - levenshtein(w, f) / greatest(length(w), length(f)) >= 0.93 AS spelling FROM p",
+    "f32_term_splice": rf"""WITH p AS (SELECT doc_id, regexp_split_to_array(text, '{_WHOLE}') AS g, regexp_extract_all(text, '{_WHOLE}') AS m FROM documents WHERE text IS NOT NULL)
+        SELECT doc_id, md5(array_to_string(list_transform(range(1, len(g) + 1), lambda i: g[i] || coalesce(CASE lower(m[i]) {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in _TERMS.items())} END, '')), '')) AS spliced FROM p""",
     "f33_overlap_add": OVERLAP_ADD,
     "f34_attenuation": f"WITH {SEG}, {SPK} SELECT s.rec_id, s.idx, round((s.end_ms - s.start_ms) * CASE WHEN EXISTS (SELECT 1 FROM spk p WHERE p.rec_id = s.rec_id AND p.speaker_id = 'U3' AND s.start_ms BETWEEN p.start_ms AND p.end_ms) THEN 0.1 ELSE 1.0 END, 3)::DOUBLE AS value FROM seg s",
     "l04_top_without_overlap": f"WITH {SPK}, s AS (SELECT rec_id || '/' || speaker_id AS track, idx, start_ms, end_ms, end_ms - start_ms AS ms FROM spk), f AS (SELECT * FROM s WHERE NOT EXISTS (SELECT 1 FROM s o WHERE o.track = s.track AND least(o.end_ms, s.end_ms) > greatest(o.start_ms, s.start_ms) AND (o.ms > s.ms OR (o.ms = s.ms AND o.idx < s.idx)))) SELECT track, idx, ms FROM (SELECT *, row_number() OVER (PARTITION BY track ORDER BY ms DESC, start_ms) AS k FROM f) WHERE k <= 3",

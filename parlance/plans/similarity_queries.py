@@ -150,11 +150,9 @@ def f18(spark, sf):
 
 def f24(spark, sf):
     """Edits of one entry by start, then length, none over the one before it."""
-    e = read(spark, sf, "events").selectExpr("user_id as rec_id", "event_id", "cast(floor(value * 10) as int) as s", "cast(floor(value * 10) + event_id % 40 as int) as e")
-    grouped = e.groupBy("rec_id").agg(F.array_sort(F.collect_list(F.struct("s", (-F.col("e")).alias("m"), "event_id"))).alias("x"))
-    empty = F.struct(F.lit(-1).alias("reach"), F.lit(0).alias("n"))
-    step = lambda a, x: F.when(x["s"] >= a["reach"], F.struct((-x["m"]).alias("reach"), (a["n"] + 1).alias("n"))).otherwise(a)
-    return grouped.select("rec_id", F.aggregate("x", empty, step, lambda a: a["n"]).alias("n_kept"))
+    span = F.expr("struct(cast(floor(value * 10) as int) as start, cast(floor(value * 10) + event_id % 40 as int) as stop, cast(event_id as int) as rule)")
+    grouped = read(spark, sf, "events").groupBy(F.col("user_id").alias("rec_id")).agg(F.collect_list(span).alias("x"))
+    return grouped.select("rec_id", F.explode(E.apart(F.col("x"))).alias("s")).select("rec_id", "s.start", "s.stop")
 
 
 def f26(spark, sf):
@@ -244,6 +242,11 @@ ORACLES = {
         SELECT rec_id, k, k * 5280000 AS win_start, least(k * 5280000 + 5400000, total) AS win_end, CASE WHEN k = 0 THEN 0 ELSE k * 5280000 + 60000 END AS own_start, CASE WHEN k = last THEN total ELSE k * 5280000 + 5280000 + 60000 END AS own_end FROM k""",
     "l05_longest_clean": "SELECT user_id, arg_max(event_id, (floor(value * 100)::BIGINT, -event_id)) AS event_id, least(max(floor(value * 100)::BIGINT), 8000) AS ms FROM events GROUP BY 1",
     "a23_energy": "WITH m AS (SELECT user_id, median(value * value) AS med FROM events GROUP BY 1) SELECT user_id, round(avg(value * value), 4) AS energy, round(sqrt(avg(value * value)), 4) AS rms, round(any_value(med), 4) AS median, round(avg(CASE WHEN value * value >= 0.25 * med THEN 1 ELSE 0 END), 6) AS loud FROM events JOIN m USING (user_id) GROUP BY 1",
+    "f24_edit_overlaps": """WITH RECURSIVE e AS (SELECT user_id AS rec_id, floor(value * 10)::INT AS s, (floor(value * 10) + event_id % 40)::INT AS e, event_id FROM events),
+        o AS (SELECT *, row_number() OVER (PARTITION BY rec_id ORDER BY s, e DESC, event_id) AS k FROM e),
+        w AS (SELECT rec_id, k, s, e, true AS taken, e AS reach FROM o WHERE k = 1
+              UNION ALL SELECT o.rec_id, o.k, o.s, o.e, o.s >= w.reach, CASE WHEN o.s >= w.reach THEN o.e ELSE w.reach END FROM w JOIN o ON o.rec_id = w.rec_id AND o.k = w.k + 1)
+        SELECT rec_id, s AS start, e AS stop FROM w WHERE taken""",
     "c04_text_chunks": f"""WITH RECURSIVE {ENT}, n AS (SELECT rec_id, idx, length(coalesce(text, '')) AS n, row_number() OVER (PARTITION BY rec_id ORDER BY idx) AS k FROM ent),
         r AS (SELECT rec_id, idx, k, 0 AS chunk, n + 1 AS size FROM n WHERE k = 1 UNION ALL SELECT n.rec_id, n.idx, n.k, r.chunk + CASE WHEN r.size > 0 AND r.size + n.n > 1200 THEN 1 ELSE 0 END, CASE WHEN r.size > 0 AND r.size + n.n > 1200 THEN 0 ELSE r.size END + n.n + 1 FROM r JOIN n ON n.rec_id = r.rec_id AND n.k = r.k + 1)
         SELECT rec_id, idx, chunk FROM r""",

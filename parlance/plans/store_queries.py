@@ -75,11 +75,14 @@ def a02(spark, sf):
 
 
 def a16_a18(spark, sf):
-    """Exact duplicates by digest, with the one to keep: the most common source, then the smallest id."""
-    d = read(spark, sf, "documents").withColumn("digest", F.sha2(F.coalesce("text", F.lit("")), 256))
-    d = d.withColumn("n_source", F.count("*").over(Window.partitionBy("digest", "source")))
-    g = d.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct((-F.col("n_source")).alias("minus"), "doc_id")).alias("k"), F.array_sort(F.collect_list("doc_id")).alias("members")).where("n > 1")
-    return g.select("digest", "n", F.col("k.doc_id").alias("keep"), F.array_join("members", ",").alias("members"))
+    """Exact duplicates by digest, a row for each, with the one to keep: the most common source, then the smallest id.
+
+    Groups are counted before they meet, by digest and source, so a group of any size costs no task its rows.
+    """
+    d = read(spark, sf, "documents").select("doc_id", "source", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"))
+    by_source = d.groupBy("digest", "source").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
+    g = by_source.groupBy("digest").agg(F.sum("n").alias("n"), F.min(F.struct((-F.col("n")).alias("minus"), "first")).alias("k")).where("n > 1")
+    return d.join(g, "digest").select("doc_id", "digest", "n", F.col("k.first").alias("keep"))
 
 
 def a33(spark, sf):
@@ -218,7 +221,7 @@ def j12(spark, sf):
 def j19(spark, sf):
     """Aliases replaced word by word from a lookup table."""
     words = read(spark, sf, "documents").select("doc_id", F.explode(F.split("text", " ")).alias("word"))
-    alias = read(spark, sf, "documents").where("text is not null").select(F.explode(F.slice(F.split(F.lower("text"), " "), 1, 3)).alias("alias")).where("length(alias) >= 6").distinct()
+    alias = read(spark, sf, "benchmark").where("text is not null").select(F.explode(F.split(F.lower("text"), r"\s+")).alias("alias")).where("length(alias) >= 6").distinct()
     hit = words.join(alias, F.lower("word") == F.col("alias"), "left")
     return hit.where("alias is not null").groupBy("doc_id").agg(F.count("*").alias("n_replaced"))
 
@@ -293,7 +296,7 @@ ORACLES = {
     "j23_hit_lookup": "SELECT doc_id, s_name, n_name FROM documents LEFT JOIN supplier ON s_suppkey = doc_id % 100 LEFT JOIN nation ON n_nationkey = doc_id % 25 WHERE contains(lower(text), 'licensed')",
     "a01_counts": "SELECT count(*) AS entries, count(*) FILTER (p_size > 25) AS enabled, count(DISTINCT p_brand) AS sources FROM part",
     "a02_distinct_speakers": f"WITH {ENT} SELECT DISTINCT speaker_id FROM ent WHERE speaker_id <> ''",
-    "a16_a18_exact_duplicates": "WITH d AS (SELECT *, sha256(coalesce(text, '')) AS digest FROM documents), s AS (SELECT *, count(*) OVER (PARTITION BY digest, source) AS ns FROM d) SELECT digest, count(*) AS n, arg_min(doc_id, (-ns, doc_id)) AS keep, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS members FROM s GROUP BY digest HAVING count(*) > 1",
+    "a16_a18_exact_duplicates": "WITH d AS (SELECT *, sha256(coalesce(text, '')) AS digest FROM documents), s AS (SELECT *, count(*) OVER (PARTITION BY digest, source) AS ns, count(*) OVER (PARTITION BY digest) AS n FROM d) SELECT doc_id, digest, n, first_value(doc_id) OVER (PARTITION BY digest ORDER BY ns DESC, doc_id) AS keep FROM s WHERE n > 1",
     "a33_next_speaker": "SELECT s_nationkey AS rec_id, 'SPEAKER_' || lpad((max(s_suppkey % 17) + 1)::VARCHAR, 2, '0') AS next_id FROM supplier GROUP BY 1",
     "a38_speech_budget": f"WITH {STAGE}, u AS (SELECT *, coalesce(sum(seconds) OVER (PARTITION BY worker, stage ORDER BY job_id, pos, seconds ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM stg WHERE seconds >= 0.5) SELECT worker, stage, sum(least(seconds, 60 - used)) AS taken, count(*) AS n FROM u WHERE used < 60 GROUP BY ALL",
     "a39_import_report": "WITH n AS (SELECT p_partkey AS pos, lower(trim(CASE WHEN p_partkey % 50 = 0 THEN '' ELSE p_name END)) AS c, lower(trim(p_type)) AS v FROM part), k AS (SELECT DISTINCT lower(trim(p_name)) AS c, lower(trim(p_type)) AS v FROM part WHERE p_partkey % 10 = 0), m AS (SELECT n.*, row_number() OVER (PARTITION BY c, v ORDER BY pos) AS r, (c, v) IN (SELECT (c, v) FROM k) AS known FROM n) SELECT count(*) FILTER (c <> '' AND r = 1 AND NOT known) AS added, count(*) FILTER (NOT (c <> '' AND r = 1 AND NOT known)) AS skipped, count(*) AS total FROM m",
@@ -315,7 +318,7 @@ ORACLES = {
     "u09_edit_overlay": f"WITH {ENT}, e AS (SELECT rec_id, idx, text, CASE WHEN idx % 6 = 0 THEN 'first' END AS o FROM ent) SELECT rec_id, idx, CASE WHEN idx % 4 = 0 THEN coalesce(o, text) WHEN idx % 3 = 0 THEN 'edited ' || idx ELSE text END AS text, CASE WHEN idx % 4 = 0 THEN NULL WHEN idx % 3 = 0 THEN coalesce(o, text) ELSE o END AS original_text, CASE WHEN idx % 4 = 0 THEN false ELSE idx % 3 = 0 OR o IS NOT NULL END AS edited FROM e",
     "u11_partial_update": "SELECT p_partkey, CASE WHEN p_partkey % 6 = 0 THEN 'new' ELSE p_name END AS p_name, CASE WHEN p_partkey % 15 = 0 THEN NULL ELSE p_type END AS p_type FROM part",
     "j12_edit_carry_over": f"WITH {ENT} SELECT rec_id, idx, CASE WHEN idx % 2 = 0 THEN 'was ' || idx ELSE '' END AS carried FROM ent",
-    "j19_alias_lookup": "WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS word FROM documents), a AS (SELECT DISTINCT * FROM (SELECT unnest(string_split(lower(text), ' ')[1:3]) AS alias FROM documents) WHERE length(alias) >= 6) SELECT doc_id, count(*) AS n_replaced FROM w JOIN a ON lower(word) = alias GROUP BY 1",
+    "j19_alias_lookup": "WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS word FROM documents), a AS (SELECT DISTINCT * FROM (SELECT unnest(regexp_split_to_array(lower(text), '\\s+')) AS alias FROM benchmark) WHERE length(alias) >= 6) SELECT doc_id, count(*) AS n_replaced FROM w JOIN a ON lower(word) = alias GROUP BY 1",
     "j20_citations": f"WITH {ENT}, c AS (SELECT DISTINCT conv_id AS rec_id FROM conversations WHERE conv_id IS NOT NULL), n AS (SELECT rec_id, unnest([rec_id % 4, rec_id % 3, rec_id % 4, 99]) AS idx, unnest([0, 1, 2, 3]) AS pos FROM c), m AS (SELECT rec_id, idx, min(pos) AS pos FROM n GROUP BY ALL) SELECT m.rec_id, m.idx, m.pos, e.speaker_id FROM m JOIN ent e USING (rec_id, idx)",
     "k01_json_export": f"WITH {ENT} SELECT rec_id, count(*) AS n, round(sum(end_ms / 1000), 3) AS ends FROM ent GROUP BY 1",
     "k02_srt_export": f"WITH {ENT}, n AS (SELECT *, row_number() OVER (PARTITION BY rec_id ORDER BY idx) AS n FROM ent) SELECT rec_id, n, md5(n || chr(10) || {_CLOCK.format('start_ms')} || ',' || {_MS.format('start_ms')} || ' --> ' || {_CLOCK.format('end_ms')} || ',' || {_MS.format('end_ms')} || chr(10) || CASE WHEN speaker_id IS NULL THEN '' ELSE speaker_id || ': ' END || coalesce(text, '') || chr(10)) AS cue FROM n",

@@ -153,7 +153,7 @@ def p14(spark, sf):
 
 def a31(spark, sf):
     words = read(spark, sf, "documents").select(F.explode(T.words_of(F.lower("text"))).alias("term"))
-    return words.where(F.length("term") >= 8).groupBy("term").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "term")
+    return words.groupBy("term").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "term")
 
 
 def a32(spark, sf):
@@ -201,6 +201,6 @@ ORACLES = {
     "p08_all_terms_filter": f"WITH {ENT} SELECT rec_id, idx FROM ent WHERE contains(lower(concat_ws(chr(10), speaker_id, text)), 'th') AND contains(lower(concat_ws(chr(10), speaker_id, text)), 'er')",
     "p12_haystack_search": "SELECT p_partkey FROM part WHERE contains(lower(concat_ws(' ', p_name, p_brand, p_type)), 'brand#1')",
     "p14_human_name": "SELECT s_suppkey, CASE s_suppkey % 4 WHEN 1 THEN s_name WHEN 2 THEN s_name END AS name FROM supplier",
-    "a31_term_frequency": r"SELECT term, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '\p{L}+')) AS term FROM documents) WHERE length(term) >= 8 GROUP BY term ORDER BY n DESC, term",
+    "a31_term_frequency": r"SELECT term, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '\p{L}+')) AS term FROM documents) GROUP BY term ORDER BY n DESC, term",
     "a32_new_terms": r"WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(text, '\p{L}+')) AS term FROM documents) SELECT DISTINCT lower(term) AS folded FROM w WHERE length(term) >= 6 AND term <> lower(term) AND lower(term) NOT IN (SELECT term FROM w WHERE term = lower(term))",
 }

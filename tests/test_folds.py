@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from parlance.functions import edits
-from parlance.functions.text import trim_noise_edges
+from parlance.functions.text import splice_terms, trim_noise_edges
 from parlance.operators import graph, intervals, sequences, similarity
 from parlance.sources import exports, scans
 
@@ -91,8 +91,31 @@ def test_noise_series(spark):
     "text, expected",
     [("Text. Laughter laughter", "Text."), ("Noise. So it is", "So it is"), ("Check the signal", "Check the signal"), ("music music", "music music"), ("music noise we go", "we go"), ("", "")],
 )
-def test_noise_edges(text, expected):
-    assert trim_noise_edges(text) == expected
+def test_noise_edges(spark, text, expected):
+    rows = spark.createDataFrame([(text,)], "t string")
+    assert rows.select(trim_noise_edges(F.col("t"))).first()[0] == expected
+
+
+def test_noise_edges_of_many_texts(spark):
+    """Edges found by counting words from both ends."""
+    r = random.Random(5)
+    words = ["Music", "laughter", "noise", "and", "we", "go", "so", "Шум", "да", "signals"]
+    texts = ["".join(r.choice(words) + r.choice([" ", ". ", ", ", "… ", " - "]) for _ in range(r.randrange(7))) for _ in range(300)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i long, t string")
+    found = {x.i: x.out for x in rows.select("i", trim_noise_edges(F.col("t")).alias("out")).collect()}
+    quiet = {"music", "laughter", "noise", "and", "шум", "signals"}
+    for i, t in enumerate(texts):
+        own = list(re.finditer(r"[^\W\d_]+", t))
+        kept = [m for m in own if m[0].lower() not in quiet]
+        begin, end = 0, len(t)
+        if len(own) > 1 and kept:
+            before, behind = t[: kept[0].start()], t[kept[-1].end() :]
+            n, m = (len(re.findall(r"[^\W\d_]+", x)) for x in (before, behind))
+            if n > 1 or (n and re.search("[.!?…][^\\w]*$", before)):
+                begin = kept[0].start()
+            if m > 1 or (m and re.match("[^\\w]*[.!?…]", behind)):
+                end = kept[-1].end() + re.search(r"[^\W\d_]", behind).start()
+        assert found[i] == (t if (begin, end) == (0, len(t)) else t[begin:end].strip()), t
 
 
 def plain_edits(text):
@@ -114,6 +137,28 @@ def test_edits(spark):
     assert found[0] == "Well well, yes!! (so) 5% a — b.Да. Нет — x"  # of marks and the blank before them the first match counts
 
 
+def test_first_names_of_chunks(spark):
+    r = random.Random(4)
+    rows = [(r.randrange(3), k, r.randrange(6), f"n{r.randrange(5)}" if r.random() < 0.9 else None) for k in range(200)]
+    expected = set()
+    for g in range(3):
+        named = {}
+        for _, _, speaker, name in sorted((x for x in rows if x[0] == g), key=lambda x: x[1]):
+            if name is not None and speaker not in named and name not in named.values():
+                named[speaker] = name
+        expected |= {(g, *x) for x in named.items()}
+    df = spark.createDataFrame(rows, "group long, chunk long, speaker long, name string")
+    assert {tuple(x) for x in sequences.first_names(df).collect()} == expected
+    assert sequences.first_names(df.limit(0)).collect() == []
+
+
+def test_spliced_terms(spark):
+    out = lambda text, terms: spark.createDataFrame([(text,)], "t string").select(splice_terms(F.col("t"), terms)).first()[0]
+    terms = {"machine learning": "ML", "Machine": "engine", "c++": "C plus plus", "aib": "OIB"}
+    assert out("Machine Learning on a machine, machines and AIB (aib)", terms) == "ML on a engine, machines and OIB (OIB)"
+    assert out(None, terms) is None and out("", terms) == "" and out("abc", {}) == "abc"
+
+
 def test_words_keep_their_places():
     assert edits.sync_words(["a", "b"], ["a", "c"]) == []
     assert edits.sync_words(["Hi,", "[x]", "you"], ["hi", "you!"]) == [0, 2]
