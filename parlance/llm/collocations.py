@@ -19,6 +19,7 @@ import hashlib
 import math
 from collections import Counter
 from collections.abc import Callable, Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +34,10 @@ LONGEST = 5
 SAMPLE, SLACK = 0.1, 0.5
 #: Bits of a bit map for each phrase, and the most bits of one map (16 MB): above that, maps let more phrases pass.
 BITS_EACH, MOST_BITS = 16, 27
-#: What a task holds before it hands it over, combined: hashes of phrases, and numbers of their words (4 bytes each).
-HELD_HASHES, HELD_NUMBERS = 3_000_000, 20_000_000
+#: What a task holds before it hands it over, combined: hashes of phrases, numbers of their words (4 bytes each), and texts.
+HELD_HASHES, HELD_NUMBERS, HELD_TEXTS = 2_000_000, 5_000_000, 200_000
+#: Buckets of phrases for each shuffle partition, so that partitions come out even.
+BUCKETS_EACH = 4
 #: Totals of up to this number of languages are broadcast.
 MOST_LANGS = 10_000
 
@@ -234,9 +237,10 @@ class TextCounts:
             self.places[k - 1].append(np.stack([lang[at], *(ids[at + j] for j in range(k))]))
             self.size += len(at) * (k + 1)
 
-    def emit(self) -> Iterator[pa.RecordBatch]:
-        """lang, phrase, k, n of all phrases held, which are then forgotten."""
+    def emit(self, buckets: int) -> Iterator[pa.RecordBatch]:
+        """All that is held, which is then forgotten: a row for each bucket of phrases, with arrays of lang, phrase, k and n."""
         names, vocabulary = list(self.langs), list(self.words)
+        found = [(lang, "", 0, n) for lang, n in self.totals.items()]
         for k, parts in enumerate(self.places, 1):
             if not parts:
                 continue
@@ -247,22 +251,28 @@ class TextCounts:
                 codes = np.unique(codes * len(vocabulary) + ids, return_inverse=True)[1]
             _, first, n = np.unique(codes * len(vocabulary) + rows[-1], return_index=True, return_counts=True)
             rows = rows[:, first]
-            texts = [b" ".join([vocabulary[i] for i in own]).decode("utf-8", "replace") for own in rows[1:].T.tolist()]
-            yield self._batch([names[i] for i in rows[0].tolist()], texts, [k] * len(texts), n.tolist())
-        yield self._batch(list(self.totals), [""] * len(self.totals), [0] * len(self.totals), list(self.totals.values()))
+            texts = (b" ".join([vocabulary[i] for i in own]).decode("utf-8", "replace") for own in rows[1:].T.tolist())
+            found += zip([names[i] for i in rows[0].tolist()], texts, [k] * len(first), n.tolist())
         self.__init__(len(self.places))
-
-    @staticmethod
-    def _batch(langs: list[str], phrases: list[str], ks: list[int], ns: list[int]) -> pa.RecordBatch:
-        columns = [pa.array(langs, pa.string()), pa.array(phrases, pa.string()), pa.array(ks, pa.int8()), pa.array(ns, pa.int64())]
-        return pa.RecordBatch.from_arrays(columns, names=["lang", "phrase", "k", "n"])
+        number = np.array([crc32(phrase.encode()) % buckets for _, phrase, _, _ in found], dtype=np.int32)
+        order = np.argsort(number, kind="stable")
+        own, starts = np.unique(number[order], return_index=True)
+        offsets = pa.array([*starts.tolist(), len(found)], pa.int32())
+        columns = zip(*(found[i] for i in order.tolist())) if found else [()] * 4
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(c, kind)) for c, kind in zip(columns, (pa.string(), pa.string(), pa.int8(), pa.int64()))]
+        yield pa.RecordBatch.from_arrays([pa.array(own), *lists], names=["bucket", "lang", "phrase", "k", "n"])
 
 
 def count_texts(rows: DataFrame, proposed, frequent: BitMap, longest: int) -> DataFrame:
-    """lang, phrase, k, n of the phrases that ``frequent_or_new`` chooses, by their texts; k = 0 has the number of words."""
+    """lang, phrase, k, n of the phrases that ``frequent_or_new`` chooses, by their texts; k = 0 has the number of words.
+
+    A frequent phrase stands in nearly every task, so tasks hand over what they counted in packed rows, one for each bucket
+    of phrases; they are added up bucket by bucket in bounded memory, and the few rows that this leaves by an aggregation.
+    """
     shared = rows.sparkSession.sparkContext.broadcast(frequent)
+    partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counted(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, keys = TextCounts(longest), {}
         for batch in source:
             for raw, langs in _texts(batch):
@@ -270,11 +280,31 @@ def count_texts(rows: DataFrame, proposed, frequent: BitMap, longest: int) -> Da
                 owner, phrases = phrases_of(raw, np.array([keys[lang] for lang in langs], dtype=np.uint64), longest)
                 held.add(b"\n".join(raw), owner, langs, frequent_or_new(phrases, proposed.value, shared.value))
                 if held.size >= HELD_NUMBERS:
-                    yield from held.emit()
-        yield from held.emit()
+                    yield from held.emit(BUCKETS_EACH * partitions)
+        yield from held.emit(BUCKETS_EACH * partitions)
+
+    def added(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Counter[tuple[str, str, int]] = Counter()
 
-    counted = rows.mapInArrow(batches, "lang string, phrase string, k byte, n long")
-    return counted.groupBy("lang", "phrase", "k").agg(F.sum("n").alias("n"))
+        def emit() -> pa.RecordBatch:
+            columns = list(zip(*held)) if held else [()] * 3
+            kinds = (pa.string(), pa.string(), pa.int8())
+            arrays = [*map(pa.array, columns, kinds), pa.array(held.values(), pa.int64())]
+            held.clear()
+            return pa.RecordBatch.from_arrays(arrays, names=["lang", "phrase", "k", "n"])
+
+        for batch in source:
+            for row in range(batch.num_rows):
+                lang, phrase, k, n = (batch.column(c)[row].values.to_pylist() for c in range(1, 5))
+                for key, times in zip(zip(lang, phrase, k), n):
+                    held[key] += times
+                if len(held) >= HELD_TEXTS:
+                    yield emit()
+        yield emit()
+
+    packed = rows.mapInArrow(counted, "bucket int, lang array<string>, phrase array<string>, k array<byte>, n array<long>")
+    merged = packed.repartition(partitions, "bucket").mapInArrow(added, "lang string, phrase string, k byte, n long")
+    return merged.groupBy("lang", "phrase", "k").agg(F.sum("n").alias("n"))
 
 
 def mine(docs: DataFrame, support: int = 100, longest: int = LONGEST, share: float = SAMPLE, slack: float = SLACK, text: str = "text") -> DataFrame:
