@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from parlance.operators.scans import PART_ROWS, after, before, most_before, scanned, total
+
 #: Width of a time bin: about the longest common duration, so that an interval falls in few bins.
 BIN_MS = 600_000
 NEAREST_MS = 2000
@@ -60,20 +62,34 @@ def nearest(segments: DataFrame, speakers: DataFrame, limit_ms: int = NEAREST_MS
     return segments.join(near, ["rec_id", "idx"], "left").select(*segments.columns, F.col("near.speaker_id").alias("near_speaker"), F.col("near.gap_ms").alias("gap_ms"))
 
 
+def time_part(start: str = "start_ms") -> Column:
+    """Parts of a recording for scans: bins of time by start."""
+    return F.floor(F.col(start) / BIN_MS)
+
+
 def islands(df: DataFrame, keys: list[str], gap_ms: int = 0) -> DataFrame:
-    """Coalesced intervals of each key; touching ones (and ones up to ``gap_ms`` apart) merge."""
-    order = Window.partitionBy(*keys).orderBy("start_ms", "end_ms")
+    """Coalesced intervals of each key; touching ones (and ones up to ``gap_ms`` apart) merge.
+
+    Each bin of time coalesces its own intervals; what is left is then compared with how far earlier bins reach, so that no
+    task orders a whole recording.
+    """
+    order = Window.partitionBy(*keys, "_bin").orderBy("start_ms", "end_ms")
     reach = F.max("end_ms").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    new = F.when(reach.isNull() | (F.col("start_ms") > reach + gap_ms), 1).otherwise(0)
-    runs = df.withColumn("_new", new).withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return runs.groupBy(*keys, "_run").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms")).drop("_run")
+    new = lambda reach: F.when(reach.isNull() | (F.col("start_ms") > reach + gap_ms), 1).otherwise(0)
+    rows = df.select(*keys, "start_ms", "end_ms", time_part().alias("_bin"))
+    rows = rows.withColumn("_new", new(reach)).withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    part = rows.groupBy(*keys, "_bin", "_run").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms")).drop("_run")
+    part = scanned(part, keys, F.col("_bin"), ["start_ms"], _reach=most_before(F.col("end_ms")))
+    part = scanned(part.withColumn("_new", new(F.col("_reach"))), keys, F.col("_bin"), ["start_ms"], _run=total(F.col("_new")))
+    return part.groupBy(*keys, "_run").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms")).drop("_run")
 
 
 def adjacent(df: DataFrame, gap_ms: int = 20) -> DataFrame:
     """Runs of one speaker in (start, end, speaker) order, where each row starts at most ``gap_ms`` after what is merged so far."""
-    order = Window.partitionBy("rec_id").orderBy("start_ms", "end_ms", "speaker_id", "idx")
-    change = F.when(F.lag("speaker_id").over(order).eqNullSafe(F.col("speaker_id")), 0).otherwise(1)
-    runs = df.withColumn("_c", change).withColumn("_speaker_run", F.sum("_c").over(order))
+    order = ["start_ms", "end_ms", "speaker_id", "idx"]
+    rows = scanned(df, ["rec_id"], time_part(), order, _speaker=before(F.col("speaker_id")), _first=before(F.lit(False)))
+    change = F.when(F.col("_speaker").eqNullSafe(F.col("speaker_id")) & F.col("_first").isNotNull(), 0).otherwise(1)
+    runs = scanned(rows.withColumn("_c", change), ["rec_id"], time_part(), order, _speaker_run=total(F.col("_c")))
     return islands(runs, ["rec_id", "_speaker_run", "speaker_id"], gap_ms).drop("_speaker_run")
 
 
@@ -104,7 +120,7 @@ def atomic_simultaneous(speakers: DataFrame) -> DataFrame:
     """Slices between consecutive boundaries in which at least two speakers' merged intervals are active, with them."""
     merged = islands(speakers, ["rec_id", "speaker_id"]).where("end_ms > start_ms")
     marks = merged.select("rec_id", F.explode(F.array("start_ms", "end_ms")).alias("t")).distinct()
-    slices = marks.withColumn("end_ms", F.lead("t").over(Window.partitionBy("rec_id").orderBy("t"))).where("end_ms is not null").withColumnRenamed("t", "start_ms")
+    slices = scanned(marks, ["rec_id"], time_part("t"), ["t"], end_ms=after(F.col("t"))).where("end_ms is not null").withColumnRenamed("t", "start_ms")
     pairs = overlap_join(slices, merged.select("rec_id", "speaker_id", F.col("start_ms").alias("r_start"), F.col("end_ms").alias("r_end")), ["rec_id"])
     return pairs.groupBy("rec_id", "start_ms", "end_ms").agg(F.array_sort(F.collect_set("speaker_id")).alias("speakers")).where("size(speakers) >= 2")
 
@@ -123,15 +139,14 @@ def overlap_regions(speakers: DataFrame) -> DataFrame:
     rows = speakers.where("end_ms > start_ms")
     events = rows.select("rec_id", "speaker_id", "idx", F.explode(F.array(F.struct(F.col("start_ms").alias("t"), F.lit(1).alias("d")), F.struct(F.col("end_ms").alias("t"), F.lit(-1).alias("d")))).alias("e"))
     events = events.select("rec_id", "speaker_id", "idx", "e.t", "e.d")
-    own = Window.partitionBy("rec_id", "speaker_id").orderBy("t", "d", "idx").rowsBetween(Window.unboundedPreceding, 0)
-    events = events.withColumn("n", F.sum("d").over(own))
+    events = scanned(events, ["rec_id", "speaker_id"], time_part("t"), ["t", "d", "idx"], n=total(F.col("d")))
     step = F.when((F.col("d") == 1) & (F.col("n") == 1), 1).when((F.col("d") == -1) & (F.col("n") == 0), -1).otherwise(0)
-    order = Window.partitionBy("rec_id").orderBy("t", "d", "idx", "speaker_id")
-    events = events.withColumn("step", step).withColumn("active", F.sum("step").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    before = F.coalesce(F.lag("active").over(order), F.lit(0))
-    events = events.withColumn("opens", ((before < 2) & (F.col("active") >= 2)).cast("int")).withColumn("closes", ((before >= 2) & (F.col("active") < 2)).cast("int"))
+    order = ["t", "d", "idx", "speaker_id"]
+    events = scanned(events.withColumn("step", step), ["rec_id"], time_part("t"), order, active=total(F.col("step")))
+    earlier = F.col("active") - F.col("step")
+    events = events.withColumn("opens", ((earlier < 2) & (F.col("active") >= 2)).cast("int")).withColumn("closes", ((earlier >= 2) & (F.col("active") < 2)).cast("int"))
     edges = events.where("opens = 1 or closes = 1")
-    regions = edges.withColumn("end_ms", F.lead("t").over(order)).where("opens = 1").select("rec_id", F.col("t").alias("start_ms"), "end_ms").where("end_ms > start_ms")
+    regions = scanned(edges, ["rec_id"], time_part("t"), order, end_ms=after(F.col("t"))).where("opens = 1").select("rec_id", F.col("t").alias("start_ms"), "end_ms").where("end_ms > start_ms")
     pairs = overlap_join(regions, right_side(rows), ["rec_id"])
     return pairs.groupBy("rec_id", "start_ms", "end_ms").agg(F.array_sort(F.collect_set("speaker_id")).alias("speakers"))
 
@@ -144,9 +159,7 @@ def subtract(base: DataFrame, holes: DataFrame, keys: list[str]) -> DataFrame:
         e = e.select(*keys, "e.t", (F.col("e.d") if kind == "b" else F.lit(0)).alias("db"), (F.col("e.d") if kind == "h" else F.lit(0)).alias("dh"))
         marks = e if marks is None else marks.unionByName(e)
     marks = marks.groupBy(*keys, "t").agg(F.sum("db").alias("db"), F.sum("dh").alias("dh"))
-    order = Window.partitionBy(*keys).orderBy("t")
-    run = order.rowsBetween(Window.unboundedPreceding, 0)
-    parts = marks.select(*keys, F.col("t").alias("start_ms"), F.lead("t").over(order).alias("end_ms"), F.sum("db").over(run).alias("b"), F.sum("dh").over(run).alias("h"))
+    parts = scanned(marks, keys, time_part("t"), ["t"], end_ms=after(F.col("t")), b=total(F.col("db")), h=total(F.col("dh"))).withColumnRenamed("t", "start_ms").drop("db", "dh")
     return islands(parts.where("b > 0 and h = 0 and end_ms > start_ms").drop("b", "h"), keys)
 
 
@@ -162,11 +175,10 @@ def mute(entries: DataFrame, speaker: str, include_overlap: bool = True) -> Data
 def tracks(entries: DataFrame) -> DataFrame:
     """Per speaker, intervals of consecutive entries with that speaker; each ends where its latest entry ends."""
     each = entries.select("rec_id", "idx", "start_ms", "end_ms", F.explode(F.array_distinct(F.array_compact(F.concat(F.array("speaker_id"), F.coalesce("extra_speakers", F.array().cast("array<string>")))))).alias("speaker"))
-    number = F.row_number().over(Window.partitionBy("rec_id").orderBy("idx"))
-    place = entries.select("rec_id", "idx").withColumn("n", number)
-    each = each.join(place, ["rec_id", "idx"])
-    own = Window.partitionBy("rec_id", "speaker").orderBy("n")
-    each = each.withColumn("run", F.col("n") - F.row_number().over(own))
+    row_part = F.floor(F.col("idx") / PART_ROWS)
+    place = scanned(entries.select("rec_id", "idx"), ["rec_id"], row_part, ["idx"], n=total(F.lit(1)))
+    each = scanned(each.join(place, ["rec_id", "idx"]), ["rec_id", "speaker"], row_part, ["n"], k=total(F.lit(1)))
+    each = each.withColumn("run", F.col("n") - F.col("k")).drop("k")
     return each.groupBy("rec_id", "speaker", "run").agg(F.min_by("start_ms", "n").alias("start_ms"), F.max_by("end_ms", "n").alias("end_ms")).drop("run")
 
 
@@ -202,6 +214,6 @@ def uncovered(speakers: DataFrame) -> DataFrame:
         F.avg((duration < 1000).cast("int")).alias("short_share"),
     )
     merged = islands(speakers, ["rec_id"])
-    silence = F.col("start_ms") - F.lag("end_ms").over(Window.partitionBy("rec_id").orderBy("start_ms"))
-    cover = merged.withColumn("gap", silence).groupBy("rec_id").agg(F.sum(F.col("end_ms") - F.col("start_ms")).alias("covered_ms"), F.coalesce(F.max("gap"), F.lit(0)).alias("max_gap_ms"))
+    merged = scanned(merged, ["rec_id"], time_part(), ["start_ms"], last_ms=before(F.col("end_ms")))
+    cover = merged.withColumn("gap", F.col("start_ms") - F.col("last_ms")).groupBy("rec_id").agg(F.sum(F.col("end_ms") - F.col("start_ms")).alias("covered_ms"), F.coalesce(F.max("gap"), F.lit(0)).alias("max_gap_ms"))
     return base.join(cover, "rec_id")

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
 from parlance.functions.text import KNOWN_REPETITIONS, LEGIT_REPEATS, has_markers, is_hallucination, is_noise_only, noise_stem_words, noise_stems, normalize_after_markers, sparse_long, strip_markers, trim_noise_edges
+from parlance.operators.scans import PART_ROWS, Scan, before, last_known, next_known, scanned, total
 
 
 def by_idx() -> WindowSpec:
@@ -171,11 +172,12 @@ def clean_artifacts(entries: DataFrame, drop_sparse: bool = True) -> DataFrame:
     loose, strict = sparse_long(text, F.col("end_ms") - F.col("start_ms"))
     kind = F.when(is_hallucination(text) | (strict & F.lit(drop_sparse)), "drop").when(removed & (empty | is_noise_only(clean)), "drop").when(is_noise_only(clean), "noise").otherwise("keep")
     rows = entries.withColumns({"_kind": kind, "text": clean, "_stems": F.size(noise_stem_words(clean)), "_names": noise_stems(clean)})
-    rows = rows.withColumn("_run", run_id((F.col("_kind") != "noise") | ~F.lag("_kind").over(by_idx()).eqNullSafe(F.lit("noise"))))
+    rows = along(rows, _before=before(F.col("_kind")))
+    rows = along(rows.withColumn("_new", ((F.col("_kind") != "noise") | ~F.col("_before").eqNullSafe(F.lit("noise"))).cast("int")), _run=total(F.col("_new")))
     runs = rows.where("_kind = 'noise'").groupBy("rec_id", "_run").agg(F.count("*").alias("n"), F.sum("_stems").alias("stems"), F.flatten(F.collect_list("_names")).alias("names"))
     gone = F.when(F.col("n") == 1, F.col("stems") >= 2).otherwise(F.size("names") > F.size(F.array_distinct("names")))
     rows = rows.join(runs.select("rec_id", "_run", gone.alias("_gone")), ["rec_id", "_run"], "left")
-    return rows.where("_kind = 'keep' or (_kind = 'noise' and not _gone)").drop("_kind", "_stems", "_names", "_run", "_gone", "_trimmed")
+    return rows.where("_kind = 'keep' or (_kind = 'noise' and not _gone)").drop("_kind", "_stems", "_names", "_run", "_gone", "_trimmed", "_before", "_new")
 
 
 def first_names(rows: DataFrame) -> DataFrame:
@@ -191,24 +193,31 @@ def first_names(rows: DataFrame) -> DataFrame:
     return pairs.select("group", F.explode(named).alias("r")).select("group", "r.speaker", "r.name")
 
 
-def filled(column: str) -> Column:
-    """The last known value up to a row, else the next one."""
-    ahead = by_idx().rowsBetween(0, Window.unboundedFollowing)
-    return F.coalesce(F.last(column, ignorenulls=True).over(up_to()), F.first(column, ignorenulls=True).over(ahead))
+def along(rows: DataFrame, **scans: Scan) -> DataFrame:
+    """``rows`` with running values by idx within each recording, in parts of a bounded range of idx."""
+    return scanned(rows, ["rec_id"], F.floor(F.col("idx") / PART_ROWS), ["idx"], **scans)
+
+
+def _runs_of(rows: DataFrame, column: str, name: str) -> DataFrame:
+    """``rows`` with a number for each run of equal values, null among them, of a column."""
+    rows = along(rows, _before=before(F.struct(column)))
+    new = ~F.coalesce(F.col("_before") == F.struct(column), F.lit(False))
+    return along(rows.withColumn("_new", new.cast("int")), **{name: total(F.col("_new"))}).drop("_before", "_new")
 
 
 def speaker_runs(words: DataFrame, min_ms: int = 400) -> DataFrame:
     """Runs of words by speaker: gaps filled, runs shorter than ``min_ms`` given to the run before (else after) them."""
-    rows = words.withColumn("_s", filled("speaker_id"))
-    rows = rows.withColumn("_run", run_id(~F.coalesce(F.lag("_s").over(by_idx()).eqNullSafe(F.col("_s")) & F.lag("idx").over(by_idx()).isNotNull(), F.lit(False))))
+    rows = along(words, _up=last_known(F.col("speaker_id")), _ahead=next_known(F.col("speaker_id"))).withColumn("_s", F.coalesce("_up", "_ahead"))
+    rows = _runs_of(rows, "_s", "_run")
     runs = rows.groupBy("rec_id", "_run").agg(F.first("_s").alias("s"), F.min("idx").alias("idx"), F.max("idx").alias("last_idx"), F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.count("*").alias("n"))
     length = F.col("end_ms") - F.col("start_ms")
     real = (length >= min_ms) | ((length <= 0) & (F.col("n") >= 2))
     runs = runs.withColumn("speaker_id", F.when(real, F.col("s")))
-    none = F.max(real.cast("int")).over(Window.partitionBy("rec_id")) == 0
-    first = F.first("s", ignorenulls=True).over(by_idx().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    runs = runs.withColumn("speaker_id", F.when(none, first).otherwise(filled("speaker_id")))
-    runs = runs.withColumn("_k", run_id(~F.coalesce(F.lag("speaker_id").over(by_idx()).eqNullSafe(F.col("speaker_id")) & F.lag("idx").over(by_idx()).isNotNull(), F.lit(False))))
+    # a recording without a real run has one speaker: the first one known
+    alone = runs.groupBy("rec_id").agg(F.max(real.cast("int")).alias("_any"), F.min_by("s", F.when(F.col("s").isNotNull(), F.col("idx"))).alias("_first"))
+    runs = along(runs, _up=last_known(F.col("speaker_id")), _ahead=next_known(F.col("speaker_id"))).join(alone, "rec_id")
+    runs = runs.withColumn("speaker_id", F.when(F.col("_any") == 0, F.col("_first")).otherwise(F.coalesce("_up", "_ahead")))
+    runs = _runs_of(runs, "speaker_id", "_k")
     return runs.groupBy("rec_id", "_k").agg(F.first("speaker_id").alias("speaker_id"), F.min("idx").alias("idx"), F.max("last_idx").alias("last_idx"), F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.sum("n").alias("n_words")).drop("_k")
 
 
