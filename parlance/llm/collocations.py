@@ -33,7 +33,7 @@ LONGEST = 5
 #: Share of the documents in the sample, and of the limit at which a phrase of the sample is proposed.
 SAMPLE, SLACK = 0.1, 0.5
 #: Bits of a bit map for each phrase, and the most bits of one map (16 MB): above that, maps let more phrases pass.
-BITS_EACH, MOST_BITS = 16, 27
+BITS_EACH, MOST_BITS = 32, 27
 #: What a task holds before it hands it over, combined: hashes of phrases, numbers of their words (4 bytes each), and texts.
 HELD_HASHES, HELD_NUMBERS, HELD_TEXTS = 2_000_000, 5_000_000, 200_000
 #: Buckets of phrases for each shuffle partition, so that partitions come out even.
@@ -49,8 +49,12 @@ BREAK[list(BREAKS)] = 1
 BLANKED = bytes(c if INSIDE[c] else 0x20 for c in range(256))
 
 
+def shifts(bits: int) -> tuple[int, int, int]:
+    return 0, (64 - bits) // 2, 64 - bits
+
+
 class BitMap:
-    """Which hashes may be in a set: two bits for each."""
+    """Which hashes may be in a set: three bits for each, from its lowest, middle and highest digits."""
 
     def __init__(self, cells: np.ndarray, bits: int):
         self.cells, self.bits = cells, bits
@@ -60,7 +64,7 @@ class BitMap:
         """From the column ``gram`` of a frame of ``count`` rows; cells of 64 bits come to the driver, at most 2^(MOST_BITS - 6)."""
         bits = min(MOST_BITS, max(16, math.ceil(math.log2(max(1, count) * BITS_EACH))))
         mask = (1 << bits) - 1
-        places = F.explode(F.array(F.col("gram").bitwiseAND(mask), F.shiftrightunsigned("gram", 64 - bits)))
+        places = F.explode(F.array(*(F.shiftrightunsigned("gram", s).bitwiseAND(mask) for s in shifts(bits))))
         cells = grams.select(places.alias("place")).groupBy(F.shiftright("place", 6).alias("cell"))
         found = cells.agg(F.expr("bit_or(shiftleft(1L, cast(place & 63 as int)))").alias("value")).toPandas()
         out = np.zeros(1 << (bits - 6), dtype=np.int64)
@@ -72,7 +76,8 @@ class BitMap:
             return (self.cells[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1)
 
         mask = np.uint64((1 << self.bits) - 1)
-        return (bit(grams & mask) & bit(grams >> np.uint64(64 - self.bits))).astype(bool)
+        low, middle, high = (bit((grams >> np.uint64(s)) & mask) for s in shifts(self.bits))
+        return (low & middle & high).astype(bool)
 
 
 def lang_key(lang: str) -> int:

@@ -64,7 +64,7 @@ def test_border_failures_are_closed_in_one_more_pass(spark):
     assert marks(every, none) == marks(none, none) == [[False] * 3, [False] * 2, [False]]
     words = c.BitMap(np.zeros(1 << 10, dtype=np.uint64), 16)
     for g in grams[0][0]:
-        for place in (int(g) & 0xFFFF, int(g) >> 48):
+        for place in (int(g) & 0xFFFF, int(g) >> 24 & 0xFFFF, int(g) >> 48):
             words.cells[place >> 6] |= np.uint64(1 << (place & 63))
     assert marks(none, words)[2] == [True]  # an extension of extensions
     assert marks(words, words)[1:] == [[False] * 2, [False]]  # counted before, and not frequent
