@@ -105,12 +105,14 @@ def attributed(segments: DataFrame, speakers: DataFrame) -> DataFrame:
 
     The confidence of a segment without duration is 0, of a recording without speakers null.
     """
-    best = best_overlap(segments, speakers)
-    near = nearest(segments.select("rec_id", "idx", "start_ms", "end_ms"), speakers).select("rec_id", "idx", "near_speaker", "gap_ms")
+    times = segments.select("rec_id", "idx", "start_ms", "end_ms")
+    # one join gives what overlaps and what lies near; the most overlap comes first, then the smallest gap
+    pairs = overlap_join(times, right_side(speakers), ["rec_id"], pad_ms=NEAREST_MS)
+    order = F.struct(-F.greatest(overlap(), F.lit(0)), gap(), "r_idx")
+    best = pairs.groupBy("rec_id", "idx").agg(F.min_by("speaker_id", order).alias("speaker_id"))
     known = speakers.select("rec_id").distinct().withColumn("_known", F.lit(True))
-    covered = coverage(segments, speakers)
-    rows = best.join(near, ["rec_id", "idx"], "left").withColumn("speaker_id", F.coalesce("speaker_id", "near_speaker"))
-    rows = rows.join(covered, ["rec_id", "idx", "speaker_id"], "left").join(known, "rec_id", "left")
+    own = best.join(coverage(segments, speakers), ["rec_id", "idx", "speaker_id"], "left")
+    rows = segments.join(own, ["rec_id", "idx"], "left").join(known, "rec_id", "left")
     duration = F.col("end_ms") - F.col("start_ms")
     share = F.when(F.col("_known").isNull(), F.lit(None)).when(duration <= 0, F.lit(0.0)).otherwise(F.least(F.lit(1.0), F.coalesce("covered_ms", F.lit(0)) / duration))
     return rows.select(*segments.columns, "speaker_id", share.alias("confidence"))

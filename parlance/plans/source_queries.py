@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from parlance.plans.inputs import ENT, SPK, entries, read, speaker_segments
+from parlance.session import new_path
+from parlance.sources import headers as H
 from parlance.sources import scans as S
-from parlance.sources.exports import json_documents, vtt_cues
+from parlance.sources.exports import export, json_documents, slides_sidecar, upsert_partitions, vtt_cues
 
 
 def s04(spark, sf):
@@ -53,10 +55,85 @@ def k03(spark, sf):
     return vtt_cues(entries(spark, sf)).withColumn("cue", F.md5(F.col("cue").cast("binary")))
 
 
+def _little(value, size: int):
+    """Bytes of a number, the lowest first, as hex digits."""
+    digits = F.lpad(F.hex(value.cast("long")), 2 * size, "0")
+    return F.concat(*(F.substring(digits, 2 * k + 1, 2) for k in reversed(range(size))))
+
+
+def _recordings(spark, sf):
+    """Each user's values as a 16-bit recording; those of odd users have a comment before the data."""
+    values = F.transform(F.array_sort(F.collect_list(F.struct("event_id", "value"))), lambda x: F.floor(x["value"] * 50))
+    u = read(spark, sf, "events").groupBy("user_id").agg(values.alias("v")).withColumn("rate", 8000 * (1 + F.col("user_id") % 3))
+    text = lambda t: F.lit(t.encode().hex())
+    note = F.when(F.col("user_id") % 2 == 1, F.concat(text("LIST"), _little(F.lit(5), 4), text("abcde"), text("\0"))).otherwise("")
+    form = F.concat(text("WAVEfmt "), _little(F.lit(16), 4), _little(F.lit(1), 2), _little(F.lit(1), 2), _little(F.col("rate"), 4), _little(F.col("rate") * 2, 4), _little(F.lit(2), 2), _little(F.lit(16), 2))
+    data = F.concat(text("data"), _little(F.size("v") * 2, 4), F.array_join(F.transform("v", lambda x: _little(x, 2)), ""))
+    body = F.concat(form, note, data)
+    whole = F.unhex(F.concat(text("RIFF"), _little(F.length(body) / 2, 4), body))
+    return u.select(F.format_string("u%s.wav", "user_id").alias("path"), whole.alias("content"))
+
+
+def s02(spark, sf):
+    """Headers of recordings from their first 64 bytes."""
+    heads = _recordings(spark, sf).select("path", F.octet_length("content").cast("long").alias("length"), F.substring("content", 1, 64).alias("content"))
+    return H.content_headers(heads).select("path", "codec", "rate", "channels", "bits", F.round("seconds", 6).alias("seconds"))
+
+
+def s03(spark, sf):
+    """Samples of recordings."""
+    s = S.wav_samples(_recordings(spark, sf))
+    return s.select("path", "rate", F.size("samples").alias("n"), F.aggregate("samples", F.lit(0.0), lambda a, x: a + x.cast("double") * 32768).cast("long").alias("total"))
+
+
+def s07(spark, sf):
+    """A glossary as a file of columns with other names and another delimiter."""
+    path = new_path(spark, "glossary")
+    p = read(spark, sf, "part").selectExpr("concat(' ', p_name, ' ') as `Термин`", "p_brand as other", "case when p_partkey % 3 = 0 then null else concat(p_type, ', \"', p_brand, '\"') end as `Вариант`", "concat('c', p_size) as `Категория`")
+    p.write.csv(path, sep=";", header=True, escape='"')
+    return S.read_glossary_csv(spark, path).select("canonical", "variant", "category", "note")
+
+
+def k08(spark, sf):
+    """Documents written whole, one folder a recording, and read back."""
+    path = new_path(spark, "results")
+    export(entries(spark, sf), path, "json")
+    back = spark.read.text(path).select(F.regexp_replace("value", r'"rec_id":(\d+)', '"rec_id":"$1"').alias("value"))
+    return S.result_documents(back).groupBy("rec_id").agg(F.count("*").alias("n"), F.max("end_ms").alias("last_ms"), F.sum(F.length("text")).alias("n_chars"))
+
+
+def k09(spark, sf):
+    """Entries stored by recording; every third recording is then stored anew, and the others stay."""
+    path = new_path(spark, "stored")
+    e = entries(spark, sf).select(F.col("rec_id").alias("job_id"), "idx", F.length("text").alias("n"))
+    upsert_partitions(e, path)
+    upsert_partitions(e.where("job_id % 3 = 0 and idx % 2 = 0").withColumn("n", -F.col("n")), path)
+    return spark.read.parquet(path).select(F.col("job_id").cast("long").alias("job_id"), "idx", "n")
+
+
+def k10(spark, sf):
+    """Turns as slides, every fifth one still open, in documents beside each recording."""
+    path = new_path(spark, "slides")
+    e = entries(spark, sf).selectExpr("rec_id", "start_ms", "case when idx % 5 = 4 then null else end_ms end as end_ms", "case when idx % 2 = 0 then ' ' else concat(' ', speaker_id) end as text", "format_string('slide_%03d.png', idx) as image")
+    slides_sidecar(e, path)
+    kind = "count int, slides array<struct<index: int, start: double, end: double, text: string, image: string>>"
+    back = spark.read.text(path).select(F.col("rec_id").cast("long").alias("rec_id"), F.from_json("value", kind).alias("j"))
+    return back.select("rec_id", "j.count", F.explode("j.slides").alias("s")).select("rec_id", "count", "s.*")
+
+
 _T = "lpad((({0}) // 3600000)::VARCHAR, 2, '0') || ':' || lpad((({0}) // 60000 % 60)::VARCHAR, 2, '0') || ':' || lpad((({0}) // 1000 % 60)::VARCHAR, 2, '0') || '.' || lpad((({0}) % 1000)::VARCHAR, 3, '0')"
 _ESC = "replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
-QUERIES = {"s04_rttm_scan": s04, "s05_asr_json_scan": s05, "s06_glossary_scan": s06, "s08_result_json_scan": s08, "s09_unprocessed_files": s09, "s10_voice_library": s10, "s13_config_scan": s13, "k03_vtt_export": k03}
+QUERIES = {"s04_rttm_scan": s04, "s05_asr_json_scan": s05, "s06_glossary_scan": s06, "s08_result_json_scan": s08, "s09_unprocessed_files": s09, "s10_voice_library": s10, "s13_config_scan": s13, "k03_vtt_export": k03,
+    "s02_header_probe": s02, "s03_wav_scan": s03, "s07_glossary_csv": s07, "k08_atomic_json": k08, "k09_partition_upsert": k09, "k10_slides_sidecar": k10,
+}
 ORACLES = {
+    "s02_header_probe": "SELECT 'u' || user_id || '.wav' AS path, 'pcm' AS codec, 8000 * (1 + user_id % 3) AS rate, 1 AS channels, 16 AS bits, round(count(*) / (8000 * (1 + user_id % 3)), 6) AS seconds FROM events GROUP BY user_id",
+    "s03_wav_scan": "SELECT 'u' || user_id || '.wav' AS path, 8000 * (1 + user_id % 3) AS rate, count(*) AS n, sum(floor(value * 50))::BIGINT AS total FROM events GROUP BY user_id",
+    "s07_glossary_csv": """SELECT trim(p_name) AS canonical, CASE WHEN p_partkey % 3 <> 0 THEN p_type || ', "' || p_brand || '"' END AS variant, 'c' || p_size AS category, NULL AS note FROM part""",
+    "k08_atomic_json": f"WITH {ENT} SELECT rec_id::VARCHAR AS rec_id, count(*) AS n, max(end_ms) AS last_ms, sum(length(text)) AS n_chars FROM ent GROUP BY 1",
+    "k09_partition_upsert": f"WITH {ENT} SELECT rec_id AS job_id, idx, CASE WHEN rec_id % 3 = 0 THEN -length(text) ELSE length(text) END AS n FROM ent WHERE rec_id % 3 <> 0 OR idx % 2 = 0",
+    "k10_slides_sidecar": f"""WITH {ENT} SELECT rec_id, count(*) OVER (PARTITION BY rec_id) AS count, row_number() OVER (PARTITION BY rec_id ORDER BY start_ms, idx) AS index, start_ms / 1000 AS start,
+        CASE WHEN idx % 5 = 4 THEN NULL ELSE end_ms / 1000 END AS "end", CASE WHEN idx % 2 = 1 THEN speaker_id END AS text, 'slide_' || lpad(idx::VARCHAR, 3, '0') || '.png' AS image FROM ent""",
     "s04_rttm_scan": f"WITH {SPK} SELECT rec_id, start_ms, end_ms, CASE WHEN substr(speaker_id, 2, 1) = '0' THEN 'speaker_0' ELSE 'SPEAKER_' || lpad((substr(speaker_id, 2, 1)::INT - 1)::VARCHAR, 2, '0') END AS speaker_id FROM spk WHERE idx % 9 <> 0 AND idx % 7 <> 0 AND end_ms > start_ms",
     "s05_asr_json_scan": f"WITH {ENT}, n AS (SELECT *, row_number() OVER (PARTITION BY rec_id ORDER BY idx) - 1 AS k FROM ent) SELECT rec_id AS doc, k AS idx, start_ms, end_ms, 't' || idx AS text, round(ln((idx % 9 + 1) / 10), 6) AS avg_logprob FROM n WHERE idx % 5 <> 0",
     "s06_glossary_scan": "SELECT CASE WHEN p_partkey % 4 = 2 THEN p_name ELSE p_name || ' ' || p_partkey END AS canonical, CASE WHEN p_partkey % 4 = 2 THEN p_type END AS variant FROM part WHERE p_partkey % 4 > 1",

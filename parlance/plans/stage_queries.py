@@ -28,8 +28,19 @@ def x11(spark, sf):
     return P.refined(e, bad, lambda df: df.withColumn("text", F.reverse("text"))).withColumn("text", F.md5(F.col("text").cast("binary")))
 
 
-QUERIES = {"x01_stage_plan": x01, "x07_map_reduce_summary": x07, "x11_refined_segments": x11}
+def _letter_counts():
+    return lambda pieces: [[float(p.lower().count(c)) for c in "aeiou"] for p in pieces]
+
+
+def x06(spark, sf):
+    """A stand-in for an embedder: how often each vowel stands in a text."""
+    rows = P.embedded(entries(spark, sf).select("rec_id", "idx", "text"), _letter_counts, "text")
+    return rows.select("rec_id", "idx", F.array_join(F.transform("vector", lambda x: x.cast("int").cast("string")), " ").alias("vector"))
+
+
+QUERIES = {"x06_embedder": x06, "x01_stage_plan": x01, "x07_map_reduce_summary": x07, "x11_refined_segments": x11}
 ORACLES = {
+    "x06_embedder": f"WITH {ENT} SELECT rec_id, idx, " + " || ' ' || ".join(f"length(regexp_replace(text, '[^{c}{c.upper()}]', '', 'g'))" for c in "aeiou") + " AS vector FROM ent",
     "x07_map_reduce_summary": f"""WITH RECURSIVE {ENT}, n AS (SELECT rec_id, idx, length(text) AS n, row_number() OVER (PARTITION BY rec_id ORDER BY idx) AS k FROM ent WHERE text IS NOT NULL),
         r AS (SELECT rec_id, k, n, 0 AS chunk, n + 1 AS size FROM n WHERE k = 1 UNION ALL
               SELECT n.rec_id, n.k, n.n, r.chunk + CASE WHEN r.size > 0 AND r.size + n.n > 600 THEN 1 ELSE 0 END, CASE WHEN r.size > 0 AND r.size + n.n > 600 THEN 0 ELSE r.size END + n.n + 1 FROM r JOIN n ON n.rec_id = r.rec_id AND n.k = r.k + 1),

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parlance.functions.text import ocr_clean
 from parlance.operators import intervals, sequences
 from parlance.operators.chunking import text_chunks
 
@@ -34,6 +35,18 @@ class Chat(Protocol):
     def __call__(self, prompt: str) -> str: ...
 
 
+class Embedder(Protocol):
+    """Pieces of sound or text to vectors of one length, a batch at a time."""
+
+    def __call__(self, pieces: list) -> list[list[float]]: ...
+
+
+class TextReader(Protocol):
+    """Images to the text on them, a batch at a time."""
+
+    def __call__(self, images: list[bytes]) -> list[str]: ...
+
+
 @dataclass
 class Plan:
     """Stages by name; a stage may be replaced or left out."""
@@ -69,6 +82,38 @@ def answered(prompts: DataFrame, chat: Chat) -> DataFrame:
     return prompts.mapInPandas(run, schema)
 
 
+def embedded(rows: DataFrame, load: Callable[[], Embedder], column: str) -> DataFrame:
+    """``rows`` with a ``vector`` for each value of a column; null for null. ``load`` makes the model once in each task."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = load()
+        for batch in batches:
+            known = batch[column].notna()
+            vectors = pd.Series([None] * len(batch), index=batch.index, dtype=object)
+            if known.any():
+                vectors[known] = pd.Series(model(batch.loc[known, column].tolist()), index=batch.index[known])
+            yield batch.assign(vector=vectors)
+
+    schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes) + ", vector array<double>"
+    return rows.mapInPandas(run, schema)
+
+
+def read_texts(rows: DataFrame, load: Callable[[], TextReader], column: str) -> DataFrame:
+    """``rows`` with the ``text`` on the image of a column, cleaned line by line; null for null."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = load()
+        for batch in batches:
+            known = batch[column].notna()
+            texts = pd.Series([None] * len(batch), index=batch.index, dtype=object)
+            if known.any():
+                texts[known] = model(batch.loc[known, column].tolist())
+            yield batch.assign(text=texts)
+
+    schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes) + ", text string"
+    return rows.mapInPandas(run, schema).withColumn("text", ocr_clean(F.col("text")))
+
+
 def summarized(entries: DataFrame, chat: Chat, most: int) -> DataFrame:
     """Map chunks of a recording to partial answers and those to one; a single chunk needs no second step."""
     chunks = text_chunks(entries, most).join(entries.select("rec_id", "idx", "text"), ["rec_id", "idx"])

@@ -56,6 +56,23 @@ def json_documents(entries: DataFrame) -> DataFrame:
     return grouped.select("rec_id", F.to_json(F.struct("rec_id", "entries")).alias("document"))
 
 
+def slides_payload(slides: DataFrame) -> DataFrame:
+    """rec_id and a document of its slides: ``slides(rec_id, start_ms, end_ms, text, image)`` numbered by start, from 1.
+
+    Times are seconds; a slide without an end stays open (null), blank texts are left out, and so are fields without a value.
+    """
+    number = F.row_number().over(Window.partitionBy("rec_id").orderBy("start_ms", "image"))
+    text = F.nullif(F.trim("text"), F.lit(""))
+    slide = F.struct(number.alias("index"), (F.col("start_ms") / 1000).alias("start"), (F.col("end_ms") / 1000).alias("end"), text.alias("text"), "image")
+    rows = slides.select("rec_id", slide.alias("slide")).groupBy("rec_id").agg(F.array_sort(F.collect_list("slide")).alias("slides"))
+    return rows.select("rec_id", F.to_json(F.struct(F.size("slides").alias("count"), "slides")).alias("document"))
+
+
+def slides_sidecar(slides: DataFrame, path: str) -> None:
+    """Write the slides of each recording beside it, one folder for each, whole or not at all."""
+    slides_payload(slides).repartition("rec_id").select("rec_id", F.col("document").alias("value")).write.partitionBy("rec_id").text(path)
+
+
 #: Rows of each format: (function, column that holds the text).
 EXPORTERS: dict[str, tuple[Callable[[DataFrame], DataFrame], str]] = {
     "json": (json_documents, "document"), "srt": (srt_cues, "cue"), "vtt": (vtt_cues, "cue"), "txt": (text_lines, "line"), "md": (markdown_lines, "line"), "timeline": (timeline_lines, "line"),

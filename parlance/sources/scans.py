@@ -65,9 +65,9 @@ def read_glossary_csv(spark: SparkSession, path: str) -> DataFrame:
     header = [c.strip().strip('"').lower() for c in first.split("\n", 1)[0].split(sep)]
     names = {alias: column for column, aliases in ALIASES.items() for alias in aliases}
     if not any(h in names for h in header):
-        df = spark.read.csv(path, sep=sep, schema=", ".join(f"c{i} string" for i in range(len(header))))
+        df = spark.read.csv(path, sep=sep, escape='"', schema=", ".join(f"c{i} string" for i in range(len(header))))
         return df.select(F.trim("c0").alias("canonical"), F.lit(None).cast("string").alias("variant"))
-    df = spark.read.csv(path, sep=sep, header=True).toDF(*(names.get(h, f"other{i}") for i, h in enumerate(header)))
+    df = spark.read.csv(path, sep=sep, escape='"', header=True).toDF(*(names.get(h, f"other{i}") for i, h in enumerate(header)))
     return df.select(*(F.trim(c).alias(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in ALIASES))
 
 
