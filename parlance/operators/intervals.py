@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parlance.operators.scans import PART_ROWS, after, before, most_before, scanned, total
+from parlance.operators.scans import PART_ROWS, before, following, scanned, total
 
 #: Width of a time bin: about the longest common duration, so that an interval falls in few bins.
 BIN_MS = 600_000
@@ -67,21 +67,33 @@ def time_part(start: str = "start_ms") -> Column:
     return F.floor(F.col(start) / BIN_MS)
 
 
+def _clipped(df: DataFrame, keys: list[str], end: Column) -> DataFrame:
+    """keys, _bin, lo, hi: each interval from start_ms to ``end`` cut at the borders of bins, which belong to both sides."""
+    first = F.floor(F.col("start_ms") / BIN_MS)
+    rows = df.select(*keys, "start_ms", end.alias("_end"), F.explode(F.sequence(first, F.greatest(first, F.floor(end / BIN_MS)))).alias("_bin"))
+    low, high = F.col("_bin") * BIN_MS, (F.col("_bin") + 1) * BIN_MS
+    return rows.select(*keys, "_bin", F.greatest("start_ms", low).alias("lo"), F.least("_end", high).alias("hi"))
+
+
+def _merged(pieces: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, lo, hi of ``pieces(lo, hi)`` coalesced within each key; touching ones merge."""
+    order = Window.partitionBy(*keys).orderBy("lo", "hi")
+    reach = F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    new = F.when(reach.isNull() | (F.col("lo") > reach), 1).otherwise(0)
+    runs = pieces.withColumn("_new", new).withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return runs.groupBy(*keys, "_run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("_run")
+
+
 def islands(df: DataFrame, keys: list[str], gap_ms: int = 0) -> DataFrame:
     """Coalesced intervals of each key; touching ones (and ones up to ``gap_ms`` apart) merge.
 
-    Each bin of time coalesces its own intervals; what is left is then compared with how far earlier bins reach, so that no
-    task orders a whole recording.
+    Intervals are cut at the borders of time bins and coalesced within each bin. What touches no border is whole; what does,
+    two pieces of a bin at most, is stitched together by key. No task orders all intervals of a recording.
     """
-    order = Window.partitionBy(*keys, "_bin").orderBy("start_ms", "end_ms")
-    reach = F.max("end_ms").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    new = lambda reach: F.when(reach.isNull() | (F.col("start_ms") > reach + gap_ms), 1).otherwise(0)
-    rows = df.select(*keys, "start_ms", "end_ms", time_part().alias("_bin"))
-    rows = rows.withColumn("_new", new(reach)).withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    part = rows.groupBy(*keys, "_bin", "_run").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms")).drop("_run")
-    part = scanned(part, keys, F.col("_bin"), ["start_ms"], _reach=most_before(F.col("end_ms")))
-    part = scanned(part.withColumn("_new", new(F.col("_reach"))), keys, F.col("_bin"), ["start_ms"], _run=total(F.col("_new")))
-    return part.groupBy(*keys, "_run").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms")).drop("_run")
+    pieces = _merged(_clipped(df, keys, F.col("end_ms") + gap_ms), [*keys, "_bin"])
+    border = (F.col("lo") == F.col("_bin") * BIN_MS) | (F.col("hi") == (F.col("_bin") + 1) * BIN_MS)
+    whole = pieces.where(~border).drop("_bin").unionByName(_merged(pieces.where(border).drop("_bin"), keys))
+    return whole.select(*keys, F.col("lo").alias("start_ms"), (F.col("hi") - gap_ms).alias("end_ms"))
 
 
 def adjacent(df: DataFrame, gap_ms: int = 20) -> DataFrame:
@@ -122,7 +134,7 @@ def atomic_simultaneous(speakers: DataFrame) -> DataFrame:
     """Slices between consecutive boundaries in which at least two speakers' merged intervals are active, with them."""
     merged = islands(speakers, ["rec_id", "speaker_id"]).where("end_ms > start_ms")
     marks = merged.select("rec_id", F.explode(F.array("start_ms", "end_ms")).alias("t")).distinct()
-    slices = scanned(marks, ["rec_id"], time_part("t"), ["t"], end_ms=after(F.col("t"))).where("end_ms is not null").withColumnRenamed("t", "start_ms")
+    slices = following(marks, ["rec_id"], time_part("t"), ["t"], end_ms="t").where("end_ms is not null").withColumnRenamed("t", "start_ms")
     pairs = overlap_join(slices, merged.select("rec_id", "speaker_id", F.col("start_ms").alias("r_start"), F.col("end_ms").alias("r_end")), ["rec_id"])
     return pairs.groupBy("rec_id", "start_ms", "end_ms").agg(F.array_sort(F.collect_set("speaker_id")).alias("speakers")).where("size(speakers) >= 2")
 
@@ -139,29 +151,33 @@ def simultaneous(segments: DataFrame, speakers: DataFrame, least_ms: int = SIMUL
 def overlap_regions(speakers: DataFrame) -> DataFrame:
     """Regions with at least two distinct speakers active, by a sweep in which ends come before starts; touching splits."""
     rows = speakers.where("end_ms > start_ms")
-    events = rows.select("rec_id", "speaker_id", "idx", F.explode(F.array(F.struct(F.col("start_ms").alias("t"), F.lit(1).alias("d")), F.struct(F.col("end_ms").alias("t"), F.lit(-1).alias("d")))).alias("e"))
-    events = events.select("rec_id", "speaker_id", "idx", "e.t", "e.d")
-    events = scanned(events, ["rec_id", "speaker_id"], time_part("t"), ["t", "d", "idx"], n=total(F.col("d")))
+    # the sweep runs in each bin by itself: intervals that reach into a bin open before all that happens there
+    mark = lambda carried, t, d: F.struct(F.lit(0 if carried else 1).alias("o"), t.alias("t"), F.lit(d).alias("d"), F.floor(t / BIN_MS).alias("_bin"))
+    low, high = F.floor(F.col("start_ms") / BIN_MS) + 1, F.floor(F.col("end_ms") / BIN_MS)
+    carried = F.transform(F.filter(F.sequence(F.least(low, high), high), lambda b: b >= low), lambda b: mark(True, b * BIN_MS, 1))
+    marks = F.concat(F.array(mark(False, F.col("start_ms"), 1), mark(False, F.col("end_ms"), -1)), carried)
+    events = rows.select("rec_id", "speaker_id", "idx", F.explode(marks).alias("e")).select("rec_id", "speaker_id", "idx", "e.*")
+    own = Window.partitionBy("rec_id", "speaker_id", "_bin").orderBy("o", "t", "d", "idx").rowsBetween(Window.unboundedPreceding, 0)
+    events = events.withColumn("n", F.sum("d").over(own))
     step = F.when((F.col("d") == 1) & (F.col("n") == 1), 1).when((F.col("d") == -1) & (F.col("n") == 0), -1).otherwise(0)
-    order = ["t", "d", "idx", "speaker_id"]
-    events = scanned(events.withColumn("step", step), ["rec_id"], time_part("t"), order, active=total(F.col("step")))
+    order = Window.partitionBy("rec_id", "_bin").orderBy("o", "t", "d", "idx", "speaker_id").rowsBetween(Window.unboundedPreceding, 0)
+    events = events.withColumn("step", step).withColumn("active", F.sum("step").over(order)).where("o = 1")
     earlier = F.col("active") - F.col("step")
-    events = events.withColumn("opens", ((earlier < 2) & (F.col("active") >= 2)).cast("int")).withColumn("closes", ((earlier >= 2) & (F.col("active") < 2)).cast("int"))
-    edges = events.where("opens = 1 or closes = 1")
-    regions = scanned(edges, ["rec_id"], time_part("t"), order, end_ms=after(F.col("t"))).where("opens = 1").select("rec_id", F.col("t").alias("start_ms"), "end_ms").where("end_ms > start_ms")
+    events = events.withColumn("opens", (earlier < 2) & (F.col("active") >= 2)).withColumn("closes", (earlier >= 2) & (F.col("active") < 2))
+    edges = events.where("opens or closes")
+    regions = following(edges, ["rec_id"], F.col("_bin"), ["t", "d", "idx", "speaker_id"], end_ms="t").where("opens").select("rec_id", F.col("t").alias("start_ms"), "end_ms").where("end_ms > start_ms")
     pairs = overlap_join(regions, right_side(rows), ["rec_id"])
     return pairs.groupBy("rec_id", "start_ms", "end_ms").agg(F.array_sort(F.collect_set("speaker_id")).alias("speakers"))
 
 
 def subtract(base: DataFrame, holes: DataFrame, keys: list[str]) -> DataFrame:
     """Parts of the merged ``base`` intervals outside all ``holes``, by a sweep over both; empty parts are dropped."""
-    marks = None
-    for df, kind in ((islands(base, keys), "b"), (islands(holes, keys), "h")):
-        e = df.where("end_ms > start_ms").select(*keys, F.explode(F.array(F.struct(F.col("start_ms").alias("t"), F.lit(1).alias("d")), F.struct(F.col("end_ms").alias("t"), F.lit(-1).alias("d")))).alias("e"))
-        e = e.select(*keys, "e.t", (F.col("e.d") if kind == "b" else F.lit(0)).alias("db"), (F.col("e.d") if kind == "h" else F.lit(0)).alias("dh"))
-        marks = e if marks is None else marks.unionByName(e)
-    marks = marks.groupBy(*keys, "t").agg(F.sum("db").alias("db"), F.sum("dh").alias("dh"))
-    parts = scanned(marks, keys, time_part("t"), ["t"], end_ms=after(F.col("t")), b=total(F.col("db")), h=total(F.col("dh"))).withColumnRenamed("t", "start_ms").drop("db", "dh")
+    # a sweep within each bin; what a border cuts grows together again at the end
+    side = lambda df, b, h: _clipped(df.where("end_ms > start_ms"), keys, F.col("end_ms")).where("hi > lo").select(*keys, "_bin", F.explode(F.array(F.struct(F.col("lo").alias("t"), F.lit(b).alias("db"), F.lit(h).alias("dh")), F.struct(F.col("hi").alias("t"), F.lit(-b).alias("db"), F.lit(-h).alias("dh")))).alias("e")).select(*keys, "_bin", "e.*")
+    marks = side(base, 1, 0).unionByName(side(holes, 0, 1)).groupBy(*keys, "_bin", "t").agg(F.sum("db").alias("db"), F.sum("dh").alias("dh"))
+    order = Window.partitionBy(*keys, "_bin").orderBy("t")
+    run = order.rowsBetween(Window.unboundedPreceding, 0)
+    parts = marks.select(*keys, F.col("t").alias("start_ms"), F.lead("t").over(order).alias("end_ms"), F.sum("db").over(run).alias("b"), F.sum("dh").over(run).alias("h"))
     return islands(parts.where("b > 0 and h = 0 and end_ms > start_ms").drop("b", "h"), keys)
 
 
@@ -216,6 +232,6 @@ def uncovered(speakers: DataFrame) -> DataFrame:
         F.avg((duration < 1000).cast("int")).alias("short_share"),
     )
     merged = islands(speakers, ["rec_id"])
-    merged = scanned(merged, ["rec_id"], time_part(), ["start_ms"], last_ms=before(F.col("end_ms")))
-    cover = merged.withColumn("gap", F.col("start_ms") - F.col("last_ms")).groupBy("rec_id").agg(F.sum(F.col("end_ms") - F.col("start_ms")).alias("covered_ms"), F.coalesce(F.max("gap"), F.lit(0)).alias("max_gap_ms"))
+    merged = following(merged, ["rec_id"], time_part(), ["start_ms"], next_ms="start_ms")
+    cover = merged.withColumn("gap", F.col("next_ms") - F.col("end_ms")).groupBy("rec_id").agg(F.sum(F.col("end_ms") - F.col("start_ms")).alias("covered_ms"), F.coalesce(F.max("gap"), F.lit(0)).alias("max_gap_ms"))
     return base.join(cover, "rec_id")

@@ -59,7 +59,7 @@ def scanned(df: DataFrame, keys: list[str], part: Column, order: list[str], **sc
     """``df`` with a column for each of ``scans`` along ``order`` within ``keys``.
 
     ``part`` is a number that never falls along the order. The order must tell rows apart as far as the values depend on it;
-    keys may be null. Rows are shuffled once, by key and part.
+    keys may be null. Rows are shuffled once, by key and part; they are read twice, so long chains begin from written tables.
     """
     rows = df.withColumns({"_key": F.struct(*keys), "_part": part})
     own = Window.partitionBy("_key", "_part").orderBy(*order)
@@ -86,3 +86,39 @@ def scanned(df: DataFrame, keys: list[str], part: Column, order: list[str], **sc
     carries = rows.groupBy("_key", "_part").agg(*sums).select("_key", "_part", *(c.alias(n) for n, c in carried.items()))
     rows = rows.withColumns(local).join(carries, ["_key", "_part"])
     return rows.withColumns(joined).select(*df.columns, *scans)
+
+
+def following(df: DataFrame, keys: list[str], part: Column, order: list[str], **columns: str) -> DataFrame:
+    """``df`` with new columns: what ``columns`` name holds in the next row along ``order`` within ``keys``; null at the last.
+
+    As in ``scanned``, but only the first and last row of each part meet by key, and no row is joined.
+    """
+    values = F.struct(*(F.col(c).alias(name) for name, c in columns.items()))
+    own = Window.partitionBy(*keys, "_part").orderBy(*order)
+    rows = df.withColumn("_part", part).withColumns({"_next": F.lead(values).over(own), "_first": F.row_number().over(own) == 1})
+    edges = rows.where(F.col("_next").isNull() | F.col("_first")).withColumn("_after", F.lead(values).over(Window.partitionBy(*keys).orderBy(*order)))
+    last = edges.where("_next is null").withColumn("_next", F.col("_after")).drop("_after")
+    both = rows.where("_next is not null").unionByName(last)
+    return both.select(*df.columns, *(F.col("_next")[name].alias(name) for name in columns))
+
+
+def pieces_of_runs(df: DataFrame, keys: list[str], part: Column, order: str, value: Column, **sums: Column) -> tuple[DataFrame, DataFrame]:
+    """Rows with _part and _local, and the pieces of runs of equal ``value`` (null among them): keys, _part, _local, _head, _value
+    and the aggregates ``sums``.
+
+    A piece is a run within a part. _head is the _part and _local of the first piece of its run: pieces with one head are one
+    run. Only the first and the last piece of each part are compared by key.
+    """
+    own = Window.partitionBy(*keys, "_part").orderBy(order)
+    same = F.coalesce(F.lag(F.struct(value.alias("v"))).over(own) == F.struct(value.alias("v")), F.lit(False))
+    rows = df.withColumn("_part", part).withColumn("_new", (~same).cast("int"))
+    rows = rows.withColumn("_local", F.sum("_new").over(own.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+    pieces = rows.groupBy(*keys, "_part", "_local").agg(F.min(order).alias("_at"), F.first(F.struct(value.alias("v"))).alias("_value"), *(c.alias(n) for n, c in sums.items()))
+    pieces = pieces.withColumn("_last", F.max("_local").over(Window.partitionBy(*keys, "_part")))
+    head = F.struct("_part", "_local")
+    inside = pieces.where("_local > 1 and _local < _last").withColumn("_head", head)
+    along = Window.partitionBy(*keys).orderBy("_at")
+    joins = (F.col("_local") == 1) & F.coalesce(F.lag("_value").over(along) == F.col("_value"), F.lit(False))
+    edges = pieces.where("_local = 1 or _local = _last").withColumn("_opens", ~joins)
+    edges = edges.withColumn("_head", F.last(F.when(F.col("_opens"), head), ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, 0))).drop("_opens")
+    return rows, inside.unionByName(edges).drop("_at", "_last")

@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
 from parlance.functions.text import KNOWN_REPETITIONS, LEGIT_REPEATS, has_markers, is_hallucination, is_noise_only, noise_stem_words, noise_stems, normalize_after_markers, sparse_long, strip_markers, trim_noise_edges
-from parlance.operators.scans import PART_ROWS, Scan, before, last_known, next_known, scanned, total
+from parlance.operators.scans import PART_ROWS, Scan, last_known, next_known, pieces_of_runs, scanned
+from parlance.session import materialize
 
 
 def by_idx() -> WindowSpec:
@@ -172,12 +173,15 @@ def clean_artifacts(entries: DataFrame, drop_sparse: bool = True) -> DataFrame:
     loose, strict = sparse_long(text, F.col("end_ms") - F.col("start_ms"))
     kind = F.when(is_hallucination(text) | (strict & F.lit(drop_sparse)), "drop").when(removed & (empty | is_noise_only(clean)), "drop").when(is_noise_only(clean), "noise").otherwise("keep")
     rows = entries.withColumns({"_kind": kind, "text": clean, "_stems": F.size(noise_stem_words(clean)), "_names": noise_stems(clean)})
-    rows = along(rows, _before=before(F.col("_kind")))
-    rows = along(rows.withColumn("_new", ((F.col("_kind") != "noise") | ~F.col("_before").eqNullSafe(F.lit("noise"))).cast("int")), _run=total(F.col("_new")))
-    runs = rows.where("_kind = 'noise'").groupBy("rec_id", "_run").agg(F.count("*").alias("n"), F.sum("_stems").alias("stems"), F.flatten(F.collect_list("_names")).alias("names"))
+    noise = F.col("_kind") == "noise"
+    sums = {"n": F.count("*"), "stems": F.sum("_stems"), "names": F.flatten(F.collect_list("_names"))}
+    rows, pieces = pieces_of_runs(rows, ["rec_id"], F.floor(F.col("idx") / PART_ROWS), "idx", noise, **sums)
+    pieces = pieces.where("_value.v")
+    runs = pieces.groupBy("rec_id", "_head").agg(F.sum("n").alias("n"), F.sum("stems").alias("stems"), F.flatten(F.collect_list("names")).alias("names"))
     gone = F.when(F.col("n") == 1, F.col("stems") >= 2).otherwise(F.size("names") > F.size(F.array_distinct("names")))
-    rows = rows.join(runs.select("rec_id", "_run", gone.alias("_gone")), ["rec_id", "_run"], "left")
-    return rows.where("_kind = 'keep' or (_kind = 'noise' and not _gone)").drop("_kind", "_stems", "_names", "_run", "_gone", "_trimmed", "_before", "_new")
+    runs = pieces.select("rec_id", "_part", "_local", "_head").join(runs.select("rec_id", "_head", gone.alias("_gone")), ["rec_id", "_head"]).drop("_head")
+    rows = rows.join(runs, ["rec_id", "_part", "_local"], "left")
+    return rows.where("_kind = 'keep' or (_kind = 'noise' and not _gone)").drop("_kind", "_stems", "_names", "_part", "_local", "_gone", "_trimmed")
 
 
 def first_names(rows: DataFrame) -> DataFrame:
@@ -198,27 +202,26 @@ def along(rows: DataFrame, **scans: Scan) -> DataFrame:
     return scanned(rows, ["rec_id"], F.floor(F.col("idx") / PART_ROWS), ["idx"], **scans)
 
 
-def _runs_of(rows: DataFrame, column: str, name: str) -> DataFrame:
-    """``rows`` with a number for each run of equal values, null among them, of a column."""
-    rows = along(rows, _before=before(F.struct(column)))
-    new = ~F.coalesce(F.col("_before") == F.struct(column), F.lit(False))
-    return along(rows.withColumn("_new", new.cast("int")), **{name: total(F.col("_new"))}).drop("_before", "_new")
-
-
 def speaker_runs(words: DataFrame, min_ms: int = 400) -> DataFrame:
     """Runs of words by speaker: gaps filled, runs shorter than ``min_ms`` given to the run before (else after) them."""
     rows = along(words, _up=last_known(F.col("speaker_id")), _ahead=next_known(F.col("speaker_id"))).withColumn("_s", F.coalesce("_up", "_ahead"))
-    rows = _runs_of(rows, "_s", "_run")
-    runs = rows.groupBy("rec_id", "_run").agg(F.first("_s").alias("s"), F.min("idx").alias("idx"), F.max("idx").alias("last_idx"), F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.count("*").alias("n"))
+    sums = {"idx": F.min("idx"), "last_idx": F.max("idx"), "start_ms": F.min("start_ms"), "end_ms": F.max("end_ms"), "n": F.count("*")}
+    merged = {"idx": F.min("idx"), "last_idx": F.max("last_idx"), "start_ms": F.min("start_ms"), "end_ms": F.max("end_ms"), "n": F.sum("n")}
+
+    def runs_of(rows: DataFrame, value: str, sums: dict[str, Column]) -> DataFrame:
+        _, pieces = pieces_of_runs(rows, ["rec_id"], F.floor(F.col("idx") / PART_ROWS), "idx", F.col(value), **sums)
+        return pieces.groupBy("rec_id", "_head").agg(F.first("_value.v").alias("s"), *(c.alias(n) for n, c in merged.items())).drop("_head")
+
+    runs = runs_of(rows, "_s", sums)
     length = F.col("end_ms") - F.col("start_ms")
     real = (length >= min_ms) | ((length <= 0) & (F.col("n") >= 2))
-    runs = runs.withColumn("speaker_id", F.when(real, F.col("s")))
+    runs = materialize(runs.withColumn("speaker_id", F.when(real, F.col("s"))), "runs")
     # a recording without a real run has one speaker: the first one known
     alone = runs.groupBy("rec_id").agg(F.max(real.cast("int")).alias("_any"), F.min_by("s", F.when(F.col("s").isNotNull(), F.col("idx"))).alias("_first"))
     runs = along(runs, _up=last_known(F.col("speaker_id")), _ahead=next_known(F.col("speaker_id"))).join(alone, "rec_id")
     runs = runs.withColumn("speaker_id", F.when(F.col("_any") == 0, F.col("_first")).otherwise(F.coalesce("_up", "_ahead")))
-    runs = _runs_of(runs, "speaker_id", "_k")
-    return runs.groupBy("rec_id", "_k").agg(F.first("speaker_id").alias("speaker_id"), F.min("idx").alias("idx"), F.max("last_idx").alias("last_idx"), F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.sum("n").alias("n_words")).drop("_k")
+    runs = runs_of(runs, "speaker_id", merged)
+    return runs.select("rec_id", F.col("s").alias("speaker_id"), "idx", "last_idx", "start_ms", "end_ms", F.col("n").alias("n_words"))
 
 
 def split_at(entries: DataFrame, at: Column) -> DataFrame:

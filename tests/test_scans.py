@@ -1,7 +1,6 @@
 """Running values in two levels against plain windows, and intervals that reach over many bins."""
 
 import random
-import re
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -48,10 +47,56 @@ def test_islands_over_bins(spark):
         assert sorted((r.start_ms, r.end_ms) for r in I.islands(df, ["rec_id"], gap).collect()) == merged(rows, gap)
 
 
-def test_no_window_orders_a_whole_recording(spark):
-    df = spark.createDataFrame([("r", 1, 0, 5, "A", "t", False)], "rec_id string, idx long, start_ms long, end_ms long, speaker_id string, text string, overlap boolean")
-    for out in (I.islands(df, ["rec_id"]), I.overlap_regions(df), I.atomic_simultaneous(df), I.subtract(df, df, ["rec_id"]), I.adjacent(df)):
-        plan = out._jdf.queryExecution().optimizedPlan().toString()
-        windows = re.findall(r"windowspecdefinition\((.*?) (?:ASC|DESC)", plan)
-        # within a bin of a recording, or from bin to bin over one row for each
-        assert windows and all("_bin" in w or "_part" in w for w in windows), windows
+def test_following_and_runs_over_parts(spark):
+    draw = random.Random(6)
+    rows = [(draw.choice(["a", "b", None]), t, draw.choice([None, 1, 1, 1, 2])) for t in draw.sample(range(900), 300)]
+    df = spark.createDataFrame(rows, "k string, t long, v long")
+    w = Window.partitionBy("k").orderBy("t")
+    expected = sorted(map(tuple, df.withColumn("n", F.lead("v").over(w)).withColumn("m", F.lead("t").over(w)).collect()), key=repr)
+    runs = []
+    for k in ("a", "b", None):
+        own, last = sorted((t, v) for key, t, v in rows if key == k), ()
+        for t, v in own:
+            if last != (v,):
+                runs.append([k, v, t, 0])
+            runs[-1][3], last = runs[-1][3] + 1, (v,)
+    for width in (1, 9, 50, 5000):
+        part = F.floor(F.col("t") / width)
+        assert sorted(map(tuple, S.following(df, ["k"], part, ["t"], n="v", m="t").collect()), key=repr) == expected
+        _, pieces = S.pieces_of_runs(df, ["k"], part, "t", F.col("v"), n=F.count("*"), at=F.min("t"))
+        found = pieces.groupBy("k", "_head").agg(F.first("_value.v").alias("v"), F.min("at").alias("at"), F.sum("n").alias("n")).drop("_head")
+        assert sorted(map(list, found.collect()), key=repr) == sorted(runs, key=repr), width
+
+
+def sweep(rows):
+    """Regions with two speakers or more, where touching splits."""
+    marks = sorted([(s, 1, i, who) for i, who, s, e in rows] + [(e, -1, i, who) for i, who, s, e in rows])
+    active, out, since = {}, [], None
+    for t, d, _, who in marks:
+        before = sum(n > 0 for n in active.values())
+        active[who] = active.get(who, 0) + d
+        now = sum(n > 0 for n in active.values())
+        if before < 2 <= now:
+            since = t
+        elif now < 2 <= before and t > since:
+            out.append((since, t))
+    return sorted(out)
+
+
+def test_sweeps_over_bins(spark):
+    draw = random.Random(2)
+    step = I.BIN_MS // 4  # so that many ends lie on borders
+    for n in (6, 40):
+        rows = [(i, draw.choice("ABC"), s := draw.randrange(0, 60) * step, s + draw.choice([1, 1, 2, 5, 30]) * step) for i in range(n)]
+        rows = [(i, who, s, e) for i, who, s, e in rows]
+        df = spark.createDataFrame([("r", *x) for x in rows], "rec_id string, idx long, speaker_id string, start_ms long, end_ms long")
+        assert sorted((r.start_ms, r.end_ms) for r in I.overlap_regions(df).collect()) == sweep(rows)
+        holes = df.where("speaker_id = 'B'")
+        base = [x for x in rows if x[1] == "A"]
+        cover = {t for _, _, s, e in base for t in range(s, e, step)} - {t for _, who, s, e in rows if who == "B" for t in range(s, e, step)}
+        found = I.subtract(df.where("speaker_id = 'A'"), holes, ["rec_id"]).collect()
+        assert sorted((r.start_ms, r.end_ms) for r in found) == merged([(t, t + step) for t in cover], 0)
+        slices = {(r.start_ms, r.end_ms, *r.speakers) for r in I.atomic_simultaneous(df).collect()}
+        own = {who: merged([x[2:] for x in rows if x[1] == who], 0) for who in "ABC"}
+        ends = sorted({t for spans in own.values() for x in spans for t in x})
+        assert slices == {(a, b, *who) for a, b in zip(ends, ends[1:]) if len(who := [k for k in "ABC" if any(s <= a and b <= e for s, e in own[k])]) > 1}
