@@ -1,8 +1,8 @@
 """Merkle fixity audit of archive replicas.
 
 A replica is a table of records with file number, offset and bytes. Records are hashed once; hashes of the records of one
-ordered offset range make a leaf, sixteen neighbouring nodes make a node above. Files start at multiples of a power of
-sixteen of ranges, so their trees are branches of one tree. Two replicas are compared from the root: below nodes that
+ordered offset range make a leaf, sixteen neighbouring nodes make a node above. A node is a pair of file and range; from a
+level on the numbers of files shrink too, so the trees of all files are branches of one tree. Two replicas are compared from the root: below nodes that
 agree nothing is looked at, below nodes that differ the children are, down to ranges, and there to records.
 """
 
@@ -15,16 +15,16 @@ from parlance.session import materialize
 
 RANGE_BYTES = 1 << 16
 FANOUT_BITS = 4
-#: A file has at most 2 ** 20 ranges of 64 KiB.
-FILE_BITS = 20
+#: Levels on which ranges of one file alone meet: up to 2 ** 20 ranges of 64 KiB come to one node of their file.
+FILE_LEVELS = 5
 RECORDS_PER_FILE = 1000
 
 
 def warc_records(pages: DataFrame) -> DataFrame:
     """page_id, file, offset, length and bytes of a WARC response record for each page.
 
-    Records lie in files of up to ``RECORDS_PER_FILE`` consecutive page ids, by id and then by their bytes, so rows that
-    repeat an id follow each other. A null id counts as -1; null url and html are empty. An empty table gives no records.
+    Records lie in files of up to ``RECORDS_PER_FILE`` consecutive page ids, which may be any numbers of 64 bits, by id and
+    then by the digest of their bytes, so rows that repeat an id follow each other. A null id counts as -1; null url and html are empty. An empty table gives no records.
     Records without an id are dealt by a hash of their bytes over files below zero, about ``RECORDS_PER_FILE`` in each.
     """
     body = F.coalesce(F.col("html"), F.lit(""))
@@ -39,7 +39,7 @@ def warc_records(pages: DataFrame) -> DataFrame:
     )
     rows = pages.select(F.coalesce(F.col("page_id").cast("long"), F.lit(-1)).alias("page_id"), F.col("page_id").isNull().alias("unnamed"), F.concat(head, body, F.lit("\r\n\r\n")).cast("binary").alias("bytes"))
     files = pages.where("page_id is null").count() // RECORDS_PER_FILE + 1
-    dealt = F.when(F.col("unnamed"), -1 - F.pmod(F.xxhash64("bytes"), F.lit(files))).otherwise(F.floor(F.col("page_id") / RECORDS_PER_FILE))
+    dealt = F.when(F.col("unnamed"), -1 - F.pmod(F.xxhash64("bytes"), F.lit(files))).otherwise(F.expr(f"page_id div {RECORDS_PER_FILE} - if(page_id % {RECORDS_PER_FILE} < 0, 1, 0)"))
     return rows.withColumns({"file": dealt.cast("long"), "length": F.octet_length("bytes").cast("long")}).drop("unnamed")
 
 
@@ -54,44 +54,55 @@ def hashed(records: DataFrame) -> DataFrame:
     return records.withColumn("sha256", F.sha2("bytes", 256)).drop("bytes")
 
 
-def _range() -> Column:
-    first = F.col("file") * (1 << FILE_BITS)
-    return (first + F.floor(F.col("offset") / RANGE_BYTES)).cast("long")
+NODE = ["node_file", "node_range"]
 
 
-def tree(records: DataFrame) -> list[DataFrame]:
-    """Levels of (node, hash) over ``records(file, offset, length, sha256)``, from ranges to the root.
+def _leaf() -> dict[str, Column]:
+    """The node of a record's offset range."""
+    return {"node_file": F.col("file"), "node_range": F.expr(f"offset div {RANGE_BYTES}")}
 
-    Shifts are unsigned, so that ranges of files below zero come to the same root as all others.
-    """
+
+def _above(level: int) -> dict[str, Column]:
+    """The node over a node of ``level``. Shifts of files are unsigned: files below zero come to the same root as all others."""
+    file = F.shiftrightunsigned("node_file", FANOUT_BITS) if level >= FILE_LEVELS else F.col("node_file")
+    return {"node_file": file, "node_range": F.shiftright("node_range", FANOUT_BITS)}
+
+
+def tree(records: DataFrame) -> list[DataFrame]:
+    """Levels of (node_file, node_range, hash) over ``records(file, offset, length, sha256)``, from ranges to the root."""
     entry = F.struct("offset", "length", "sha256")
-    leaf = records.groupBy(_range().alias("node")).agg(F.array_sort(F.collect_list(entry)).alias("entries"))
+    leaf = records.withColumns(_leaf()).groupBy(*NODE).agg(F.array_sort(F.collect_list(entry)).alias("entries"))
     text = F.array_join(F.transform("entries", lambda e: F.concat_ws(":", e["offset"], e["length"], e["sha256"])), ",")
-    levels = [materialize(leaf.select("node", F.sha2(text, 256).alias("hash")), "tree")]
-    while levels[-1].select("node").limit(2).count() > 1:
-        parent = F.shiftrightunsigned("node", FANOUT_BITS)
-        above = levels[-1].groupBy(parent.alias("above")).agg(F.array_sort(F.collect_list(F.struct("node", "hash"))).alias("entries"))
-        text = F.array_join(F.transform("entries", lambda e: F.concat_ws(":", e["node"], e["hash"])), ",")
-        levels.append(materialize(above.select(F.col("above").alias("node"), F.sha2(text, 256).alias("hash")), "tree"))
+    levels = [materialize(leaf.select(*NODE, F.sha2(text, 256).alias("hash")), "tree")]
+    while levels[-1].limit(2).count() > 1:
+        own = levels[-1].withColumn("entry", F.struct(*NODE, "hash")).withColumns(_above(len(levels) - 1))
+        above = own.groupBy(*NODE).agg(F.array_sort(F.collect_list("entry")).alias("entries"))
+        text = F.array_join(F.transform("entries", lambda e: F.concat_ws(":", e["node_file"], e["node_range"], e["hash"])), ",")
+        levels.append(materialize(above.select(*NODE, F.sha2(text, 256).alias("hash")), "tree"))
     return levels
 
 
 def differing_ranges(a: list[DataFrame], b: list[DataFrame]) -> DataFrame:
-    """Ranges (node) whose hashes differ or that one replica lacks, found from the roots down."""
+    """Ranges (node_file, node_range) whose hashes differ or that one replica lacks, found from the roots down."""
     height = max(len(a), len(b))
 
     def level(t: list[DataFrame], k: int) -> DataFrame:
         if k < len(t):
             return t[k]
-        return t[-1].withColumn("node", F.shiftrightunsigned("node", FANOUT_BITS * (k - len(t) + 1)))
+        top = t[-1]
+        for low in range(len(t) - 1, k):
+            top = top.withColumns(_above(low))
+        return top
 
     differ = None
     for k in reversed(range(height)):
         left, right = level(a, k), level(b, k)
         if differ is not None:
-            left, right = (x.withColumn("above", F.shiftrightunsigned("node", FANOUT_BITS)).join(differ.select(F.col("node").alias("above")), "above", "left_semi").drop("above") for x in (left, right))
-        both = left.withColumnRenamed("hash", "ha").join(right.withColumnRenamed("hash", "hb"), "node", "full")
-        differ = materialize(both.where(~F.col("ha").eqNullSafe(F.col("hb"))).select("node"), "differ")
+            above = differ.withColumnsRenamed({"node_file": "f", "node_range": "r"})
+            up = _above(k)
+            left, right = (x.withColumns({"f": up["node_file"], "r": up["node_range"]}).join(above, ["f", "r"], "left_semi").drop("f", "r") for x in (left, right))
+        both = left.withColumnRenamed("hash", "ha").join(right.withColumnRenamed("hash", "hb"), NODE, "full")
+        differ = materialize(both.where(~F.col("ha").eqNullSafe(F.col("hb"))).select(*NODE), "differ")
     return differ
 
 
@@ -106,10 +117,10 @@ def audit(a: DataFrame, b: DataFrame) -> DataFrame:
         suspects_a, suspects_b, sound = a, b, a.limit(0)
     else:
         ranges = differing_ranges(tree(a), tree(b))
-        a = a.withColumn("node", _range())
-        suspects_a = a.join(ranges, "node", "left_semi")
-        suspects_b = b.withColumn("node", _range()).join(ranges, "node", "left_semi")
-        sound = a.join(ranges, "node", "left_anti")
+        a = a.withColumns(_leaf())
+        suspects_a = a.join(ranges, NODE, "left_semi")
+        suspects_b = b.withColumns(_leaf()).join(ranges, NODE, "left_semi")
+        sound = a.join(ranges, NODE, "left_anti")
     pair = suspects_a.select("page_id", "file", "offset", "length", "sha256").join(
         suspects_b.select("file", "offset", F.col("page_id").alias("page_b"), F.col("length").alias("length_b"), F.col("sha256").alias("sha_b")), ["file", "offset"], "full"
     )

@@ -50,10 +50,11 @@ class ByteTokens:
         self.encoder = tiktoken.Encoding(
             path, pat_str=PRE_TOKENS, mergeable_ranks=ranks, special_tokens={t["content"]: t["id"] for t in spec["added_tokens"]}
         )
-        self.path, self.library, self.blanks = path, None, re.compile(r"\s{%d}" % LONG_BLANKS)
+        self.path, self.library, self.blanks = path, None, re.compile(r"\s+")
 
     def encode(self, text: str) -> bytes:
-        if len(text) >= LONG_BLANKS and self.blanks.search(text):
+        # each run of blanks is met once, so this takes time in proportion to the text
+        if len(text) >= LONG_BLANKS and any(m.end() - m.start() >= LONG_BLANKS for m in self.blanks.finditer(text)):
             self.library = self.library or Tokenizer.from_file(self.path)
             return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
         return self.encoder.encode_to_numpy(text, allowed_special="all").astype("<u4", copy=False).tobytes()
