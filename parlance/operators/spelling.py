@@ -9,6 +9,7 @@ from parlance.functions.text import match_case
 from parlance.operators.phrases import MOST_BROADCAST, corrected_texts, words_with_gaps
 from parlance.operators.seams import likeness
 from parlance.operators.similarity import near_words
+from parlance.session import materialize
 
 #: Letters that a word and its form share at the beginning: the most looked for first, and the least.
 LONGEST_PREFIX, SHORTEST_PREFIX = 8, 4
@@ -37,7 +38,7 @@ def known_forms(
     # the most letters shared, then fewer: a form that is out of one list may be in no shorter one
     most = F.least(F.lit(LONGEST_PREFIX), F.length("word") - 1, F.length("term"))
     shared = F.filter(F.sequence(F.lit(SHORTEST_PREFIX), F.greatest(most, F.lit(SHORTEST_PREFIX))), lambda p: (p <= most) & (F.substring("word", F.lit(1), p) == F.substring("term", F.lit(1), p)))
-    near = near.select("word", "term", F.explode(shared).alias("prefix"))
+    near = materialize(near.select("word", "term", F.explode(shared).alias("prefix")), "near")
     lists = forms.select("term", F.explode(F.sequence(F.lit(SHORTEST_PREFIX), F.least(F.lit(LONGEST_PREFIX), F.length("term")))).alias("prefix"))
     lists = lists.withColumn("begin", F.substring("term", F.lit(1), F.col("prefix")))
     long = lists.groupBy("begin").agg(F.count("*").alias("n")).where(F.col("n") > most_candidates).select("begin")
@@ -53,7 +54,7 @@ def known_forms(
 def spelled_texts(texts: DataFrame, forms: DataFrame) -> DataFrame:
     """id, text and n_edits of ``texts(id, text)`` with the words of ``forms(word, form)`` replaced in the case that they have."""
     words = words_with_gaps(texts).select("id", F.posexplode("words").alias("start", "own")).withColumn("word", F.lower("own"))
-    forms = forms.select("word", "form")
+    forms = materialize(forms.select("word", "form"), "forms")
     found = words.join(F.broadcast(forms) if forms.count() <= MOST_BROADCAST else forms, "word")
     replacement = match_case(F.col("own"), F.col("form"))
     edits = found.select("id", "start", F.lit(1).alias("length"), replacement.alias("replacement"), (replacement != F.col("own")).alias("changed"))
