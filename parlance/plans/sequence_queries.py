@@ -69,7 +69,7 @@ def w08(spark, sf):
     step = F.greatest(F.lit(1), F.floor((F.col("end_ms") - F.col("start_ms")) / 8))
     pieces = seg.select(F.concat_ws("/", "rec_id", "idx").alias("part_id"), "rec_id", "start_ms", step.alias("step"), F.explode(F.sequence(F.lit(0), F.lit(7))).alias("k"))
     pieces = pieces.select("part_id", "rec_id", F.col("k").cast("long").alias("idx"), (F.col("start_ms") + F.col("k") * F.col("step")).alias("start_ms"), (F.col("start_ms") + (F.col("k") + 1) * F.col("step")).alias("end_ms"))
-    pairs = I.overlap_join(pieces, I.right_side(spk), ["rec_id"])
+    pairs = I.overlap_join(pieces, I.right_side(spk), ["rec_id"]).where(I.overlap() > 0)
     best = pairs.groupBy("part_id", "idx").agg(F.max_by("speaker_id", F.struct(I.overlap(), -F.col("r_idx"))).alias("speaker_id"))
     labelled = pieces.join(best, ["part_id", "idx"], "left").drop("rec_id").withColumnRenamed("part_id", "rec_id")
     return S.speaker_runs(labelled).withColumnRenamed("rec_id", "part_id")
