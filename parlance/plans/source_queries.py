@@ -56,19 +56,19 @@ def k03(spark, sf):
 
 
 def _little(value, size: int):
-    """Bytes of a number, the lowest first, as hex digits."""
-    digits = F.lpad(F.hex(value.cast("long")), 2 * size, "0")
+    """Bytes of a number, the lowest first, as hex digits; negative ones as their two's complement."""
+    digits = F.substring(F.lpad(F.hex(value.cast("long")), 16, "0"), 17 - 2 * size, 2 * size)
     return F.concat(*(F.substring(digits, 2 * k + 1, 2) for k in reversed(range(size))))
 
 
-def _recordings(spark, sf):
-    """Each user's values as a 16-bit recording; those of odd users have a comment before the data."""
+def _recordings(spark, sf, size=2):
+    """Each user's values as a recording of ``size`` bytes a sample; those of odd users have a comment before the data."""
     values = F.transform(F.array_sort(F.collect_list(F.struct("event_id", "value"))), lambda x: F.floor(x["value"] * 50))
     u = read(spark, sf, "events").groupBy("user_id").agg(values.alias("v")).withColumn("rate", 8000 * (1 + F.col("user_id") % 3))
     text = lambda t: F.lit(t.encode().hex())
     note = F.when(F.col("user_id") % 2 == 1, F.concat(text("LIST"), _little(F.lit(5), 4), text("abcde"), text("\0"))).otherwise("")
-    form = F.concat(text("WAVEfmt "), _little(F.lit(16), 4), _little(F.lit(1), 2), _little(F.lit(1), 2), _little(F.col("rate"), 4), _little(F.col("rate") * 2, 4), _little(F.lit(2), 2), _little(F.lit(16), 2))
-    data = F.concat(text("data"), _little(F.size("v") * 2, 4), F.array_join(F.transform("v", lambda x: _little(x, 2)), ""))
+    form = F.concat(text("WAVEfmt "), _little(F.lit(16), 4), _little(F.lit(1), 2), _little(F.lit(1), 2), _little(F.col("rate"), 4), _little(F.col("rate") * size, 4), _little(F.lit(size), 2), _little(F.lit(8 * size), 2))
+    data = F.concat(text("data"), _little(F.size("v") * size, 4), F.array_join(F.transform("v", lambda x: _little(x, size)), ""))
     body = F.concat(form, note, data)
     whole = F.unhex(F.concat(text("RIFF"), _little(F.length(body) / 2, 4), body))
     return u.select(F.format_string("u%s.wav", "user_id").alias("path"), whole.alias("content"))
@@ -81,9 +81,9 @@ def s02(spark, sf):
 
 
 def s03(spark, sf):
-    """Samples of recordings."""
-    s = S.wav_samples(_recordings(spark, sf))
-    return s.select("path", "rate", F.size("samples").alias("n"), F.aggregate("samples", F.lit(0.0), lambda a, x: a + x.cast("double") * 32768).cast("long").alias("total"))
+    """Samples of recordings, 32 bits each: values of 656 and more do not fit in 16."""
+    s = S.wav_samples(_recordings(spark, sf, 4))
+    return s.select("path", "rate", F.size("samples").alias("n"), F.aggregate("samples", F.lit(0.0), lambda a, x: a + x * 2**31).cast("long").alias("total"))
 
 
 def s07(spark, sf):

@@ -100,18 +100,19 @@ def listing(spark: SparkSession, path: str) -> DataFrame:
 
 
 def wav_samples(files: DataFrame, rate: int | None = None) -> DataFrame:
-    """path, rate, samples (float in [-1, 1), mono) of 16-bit PCM files (path, content)."""
+    """path, rate, samples (in [-1, 1), mono) of 16-bit or 32-bit PCM files (path, content)."""
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 with wave.open(io.BytesIO(content)) as f:
-                    if f.getsampwidth() != 2 or (rate and f.getframerate() != rate):
-                        raise ValueError(f"{path}: not 16-bit PCM at the expected rate")
-                    x = np.frombuffer(f.readframes(f.getnframes()), dtype="<i2").reshape(-1, f.getnchannels()).mean(axis=1) / 32768
-                    yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([f.getframerate()], pa.int32()), pa.array([x.astype(np.float32).tolist()], pa.list_(pa.float32()))], names=["path", "rate", "samples"])
+                    size = f.getsampwidth()
+                    if size not in (2, 4) or (rate and f.getframerate() != rate):
+                        raise ValueError(f"{path}: not 16-bit or 32-bit PCM at the expected rate")
+                    x = np.frombuffer(f.readframes(f.getnframes()), dtype=f"<i{size}").reshape(-1, f.getnchannels()).mean(axis=1) / 2 ** (8 * size - 1)
+                    yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([f.getframerate()], pa.int32()), pa.array([x.tolist()], pa.list_(pa.float64()))], names=["path", "rate", "samples"])
 
-    return files.select("path", "content").mapInArrow(decode, "path string, rate int, samples array<float>")
+    return files.select("path", "content").mapInArrow(decode, "path string, rate int, samples array<double>")
 
 
 def config_lines(lines: DataFrame) -> DataFrame:
