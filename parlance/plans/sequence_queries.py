@@ -81,7 +81,7 @@ def w09(spark, sf):
 
 
 def w10(spark, sf):
-    f = read(spark, sf, "events").selectExpr("date_format(cast(ts as timestamp), 'yyyy-MM-dd') as rec_id", "unix_micros(cast(ts as timestamp)) div 1000 as ts_ms", "event_type = 'signup' as scene_cut", "array(cast(user_id % 4 as double) / 100, floor(value / 200) / 20) as features")
+    f = read(spark, sf, "events").selectExpr("date_format(cast(ts as timestamp), 'yyyy-MM-dd') as rec_id", "event_id as idx", "unix_micros(cast(ts as timestamp)) div 1000 as ts_ms", "event_type = 'signup' as scene_cut", "array(cast(user_id % 4 as double) / 100, floor(value / 200) / 20) as features")
     return S.stable_runs(f).withColumn("features", F.array_join(F.transform("features", lambda x: F.format_number(x, 2)), "|"))
 
 
