@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parlance.functions.text import match_case
@@ -15,13 +18,40 @@ from parlance.session import materialize
 LONGEST_PREFIX, SHORTEST_PREFIX = 8, 4
 
 
+def common_letters(left: str, right: str) -> int:
+    """The most letters that two words have in common in the same order."""
+    row = [0] * (len(right) + 1)
+    for a in left:
+        before = 0
+        for j, b in enumerate(right, 1):
+            before, row[j] = row[j], before + 1 if a == b else max(row[j], row[j - 1])
+    return row[-1]
+
+
+def alike(left: str, right: str) -> Column:
+    """Twice the letters that two columns of words have in common in the same order, over all letters of both."""
+
+    @F.pandas_udf("double")
+    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([2 * common_letters(x, y) / (len(x) + len(y)) for x, y in zip(a, b)], dtype=float)
+
+    return ratio(left, right)
+
+
 def known_forms(
-    words: DataFrame, dictionary: DataFrame, least_length: int = 6, most_edits: int = 1, least_ratio: float = 0.93, most_candidates: int = 8000, foreign: str = "[A-Za-z]"
+    words: DataFrame,
+    dictionary: DataFrame,
+    least_length: int = 6,
+    most_edits: int = 1,
+    least_ratio: float = 0.93,
+    most_candidates: int = 8000,
+    foreign: str = "[A-Za-z]",
+    measure: Callable[[str, str], Column] = likeness,
 ) -> DataFrame:
     """word, form, prefix (shared letters that decided), ratio: the known form that each unknown word most likely is.
 
     A form of ``dictionary(form)`` may stand for a word of ``words(word)`` if both have ``least_length`` letters, are within
-    ``most_edits`` and alike by ``least_ratio``. Forms that share the first eight letters with the word come first, then
+    ``most_edits`` and alike by ``least_ratio``, as ``measure`` says: by matching blocks, or by letters in common. Forms that share the first eight letters with the word come first, then
     those that share seven, down to four (never the whole word); at the first number of letters that has any, the most alike
     form counts, of equals the first. Of the forms with one beginning only the first ``most_candidates`` take part.
     Known words, and words or forms with ``foreign`` letters, are left alone. All is in lower case.
@@ -45,7 +75,7 @@ def known_forms(
     number = F.row_number().over(Window.partitionBy("begin").orderBy("term"))
     beyond = lists.join(long, "begin", "left_semi").withColumn("_n", number).where(F.col("_n") > most_candidates).select("term", "prefix")
     near = near.join(beyond, ["term", "prefix"], "left_anti")
-    ratios = near.select("word", "term").distinct().withColumn("ratio", likeness("word", "term")).where(F.col("ratio") >= least_ratio)
+    ratios = near.select("word", "term").distinct().withColumn("ratio", measure("word", "term")).where(F.col("ratio") >= least_ratio)
     near = near.join(ratios, ["word", "term"])
     best = F.min_by(F.struct(F.col("term").alias("form"), "prefix", "ratio"), F.struct((-F.col("prefix")).alias("minus"), (-F.col("ratio")).alias("unlike"), "term"))
     return near.groupBy("word").agg(best.alias("b")).select("word", "b.*")
