@@ -16,6 +16,9 @@ TOKENS = "tk AS (SELECT conv_id * 10 + turn AS rec_id, i AS idx, CASE WHEN i % 3
 PROGRESS = "pg AS (SELECT user_id AS job_id, epoch_us(ts) // 1000 AS ts_ms, event_id AS seq, CASE WHEN event_type = 'error' THEN 'done' ELSE event_type END AS stage, value < 5 AS cached FROM events)"
 
 
+PIECE_BIN_MS = 120_000
+
+
 def words(spark, sf):
     return speaker_segments(spark, sf).selectExpr("rec_id", "idx", "case when idx % 7 = 0 then null else speaker_id end as speaker_id", "start_ms", "case when idx % 5 = 1 then start_ms + 100 else end_ms end as end_ms")
 
@@ -69,8 +72,10 @@ def w08(spark, sf):
     step = F.greatest(F.lit(1), F.floor((F.col("end_ms") - F.col("start_ms")) / 8))
     pieces = seg.select(F.concat_ws("/", "rec_id", "idx").alias("part_id"), "rec_id", "start_ms", step.alias("step"), F.explode(F.sequence(F.lit(0), F.lit(7))).alias("k"))
     pieces = pieces.select("part_id", "rec_id", F.col("k").cast("long").alias("idx"), (F.col("start_ms") + F.col("k") * F.col("step")).alias("start_ms"), (F.col("start_ms") + (F.col("k") + 1) * F.col("step")).alias("end_ms"))
-    pairs = I.overlap_join(pieces, I.right_side(spk), ["rec_id"]).where(I.overlap() > 0)
-    best = pairs.groupBy("part_id", "idx").agg(F.max_by("speaker_id", F.struct(I.overlap(), -F.col("r_idx"))).alias("speaker_id"))
+    right = I.right_side(spk)
+    # pieces are short: in narrow bins they meet fewer speakers
+    pairs = I.overlap_join(pieces, right, ["rec_id"], bin_ms=PIECE_BIN_MS).where(I.overlap() > 0)
+    best = I.closest(pairs, right, ["part_id", "idx"], I.overlap()).drop("closeness")
     labelled = pieces.join(best, ["part_id", "idx"], "left").drop("rec_id").withColumnRenamed("part_id", "rec_id")
     return S.speaker_runs(labelled).withColumnRenamed("rec_id", "part_id")
 
