@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from parlance.operators import chunking as C
 from parlance.operators import seams as S
 from parlance.plans.inputs import read
+from parlance.session import materialize
 
 STEP_MS, CHUNK_MS = 28_000, 30_000
 
@@ -47,7 +48,7 @@ def w14(spark, sf):
 
 def j13(spark, sf):
     """Pieces of three words that neighbouring chunks both heard, once."""
-    segments = heard_segments(heard_words(spark, sf), "n div 3").drop("words")
+    segments = materialize(heard_segments(heard_words(spark, sf), "n div 3").drop("words"), "segments")  # read more than once
     chunks = segments.select("rec_id", "chunk").distinct().withColumn("middle_ms", F.col("chunk") * STEP_MS + CHUNK_MS // 2)
     return S.without_chunk_duplicates(segments, chunks).select("rec_id", "chunk", "idx", "start_ms", "end_ms", "text")
 

@@ -156,3 +156,23 @@ def test_queries_cut_something(spark):
     assert 0 < before - after < before / 2
     pieces = Q.heard_segments(Q.heard_words(spark, DATA), "n div 3").count()
     assert Q.j13(spark, DATA).count() < pieces
+
+
+def test_segments_meet_in_bins_as_wide_as_they_last(spark, monkeypatch):
+    widths, plain = [], S.I.overlap_join
+
+    def join(left, right, keys, bin_ms=S.I.BIN_MS, **more):
+        widths.append(bin_ms)
+        return plain(left, right, keys, bin_ms, **more)
+
+    monkeypatch.setattr(S.I, "overlap_join", join)
+    rows = [("r", i % 2, i, 300 * i, 300 * i + 900, f"word{i // 2} said") for i in range(400)]
+    rows += [("r", 5, 400, 0, 90_000, "all of this"), ("r", 6, 401, 3_000, 80_000, "this, all of this"), ("r", 7, 402, 100, 100, "all of this"), ("s", 5, 403, 0, 90_000, "all of this")]
+    segments = spark.createDataFrame(rows, "rec_id string, chunk long, idx long, start_ms long, end_ms long, text string")
+    pairs = {(r.idx, r.r_idx) for r in S.duplicate_pairs(segments).collect()}
+    key = lambda r: (r[1], r[3], r[4], r[5].lower().replace(",", ""), r[2])
+    expected = {(a[2], b[2]) for a in rows for b in rows if a[0] == b[0] and a[2] != b[2] and duplicates(key(a), key(b))}
+    assert pairs == expected and {(400, 401), (0, 1)} <= pairs
+    # one bin of ten minutes would hold all
+    assert widths and max(widths) <= 2 * sum(r[4] - r[3] for r in rows) / len(rows)
+    assert S.duplicate_pairs(segments.limit(0)).collect() == []
