@@ -8,7 +8,7 @@ from parlance.plans.inputs import ENT, SPK, entries, read, speaker_segments
 from parlance.session import new_path
 from parlance.sources import headers as H
 from parlance.sources import scans as S
-from parlance.sources.exports import export, json_documents, slides_sidecar, upsert_partitions, vtt_cues
+from parlance.sources.exports import export, json_documents, read_by_recording, slides_sidecar, upsert_partitions, vtt_cues
 
 
 def s04(spark, sf):
@@ -98,7 +98,7 @@ def k08(spark, sf):
     """Documents written whole, one folder a recording, and read back."""
     path = new_path(spark, "results")
     export(entries(spark, sf), path, "json")
-    back = spark.read.text(path).select(F.regexp_replace("value", r'"rec_id":(\d+)', '"rec_id":"$1"').alias("value"))
+    back = read_by_recording(spark, path).select(F.regexp_replace("value", r'"rec_id":(\d+)', '"rec_id":"$1"').alias("value"))
     return S.result_documents(back).groupBy("rec_id").agg(F.count("*").alias("n"), F.max("end_ms").alias("last_ms"), F.sum(F.length("text")).alias("n_chars"))
 
 
@@ -117,7 +117,7 @@ def k10(spark, sf):
     e = entries(spark, sf).selectExpr("rec_id", "start_ms", "case when idx % 5 = 4 then null else end_ms end as end_ms", "case when idx % 2 = 0 then ' ' else concat(' ', speaker_id) end as text", "format_string('slide_%03d.png', idx) as image")
     slides_sidecar(e, path)
     kind = "count int, slides array<struct<index: int, start: double, end: double, text: string, image: string>>"
-    back = spark.read.text(path).select(F.col("rec_id").cast("long").alias("rec_id"), F.from_json("value", kind).alias("j"))
+    back = read_by_recording(spark, path).select(F.col("rec_id").cast("long").alias("rec_id"), F.from_json("value", kind).alias("j"))
     return back.select("rec_id", "j.count", F.explode("j.slides").alias("s")).select("rec_id", "count", "s.*")
 
 

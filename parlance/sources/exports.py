@@ -4,11 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parlance.functions.text import clock, escape_markup, hms, timeline_clock
 from parlance.operators.intervals import tracks
+from parlance.session import materialize
+
+
+#: Recordings that a task writes: each has a folder, which costs more than its rows.
+TASK_FOLDERS = 50
+#: Tasks that list such folders; by default Spark starts one for each folder, up to 10,000.
+LISTING_TASKS = 100
 
 
 def _label() -> Column:
@@ -68,9 +75,27 @@ def slides_payload(slides: DataFrame) -> DataFrame:
     return rows.select("rec_id", F.to_json(F.struct(F.size("slides").alias("count"), "slides")).alias("document"))
 
 
+def _by_recording(rows: DataFrame) -> DataFrame:
+    """Rows of a recording in one task, and few recordings in each; the number is given, or small tasks would be put together."""
+    n = rows.select("rec_id").distinct().count()
+    return rows.repartition(max(1, -(-n // TASK_FOLDERS)), "rec_id")
+
+
 def slides_sidecar(slides: DataFrame, path: str) -> None:
     """Write the slides of each recording beside it, one folder for each, whole or not at all."""
-    slides_payload(slides).repartition("rec_id").select("rec_id", F.col("document").alias("value")).write.partitionBy("rec_id").text(path)
+    payload = materialize(slides_payload(slides), "payload")
+    _by_recording(payload).select("rec_id", F.col("document").alias("value")).write.partitionBy("rec_id").text(path)
+
+
+def read_by_recording(spark: SparkSession, path: str) -> DataFrame:
+    """value and rec_id of the lines of all recordings, as ``export`` and ``slides_sidecar`` write them."""
+    name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(int(before), LISTING_TASKS)))
+    try:  # folders are listed when the table is made
+        return spark.read.text(path)
+    finally:
+        spark.conf.set(name, before)
 
 
 #: Rows of each format: (function, column that holds the text).
@@ -83,7 +108,7 @@ def export(entries: DataFrame, path: str, fmt: str) -> None:
     """Write one folder for each recording, in order; Spark's commit protocol makes it whole or absent."""
     rows, column = EXPORTERS[fmt][0](entries), EXPORTERS[fmt][1]
     order = [c for c in ("rec_id", "n", "idx", "speaker") if c in rows.columns]
-    rows.repartition("rec_id").sortWithinPartitions(*order).select("rec_id", F.col(column).alias("value")).write.partitionBy("rec_id").text(path)
+    _by_recording(rows).sortWithinPartitions(*order).select("rec_id", F.col(column).alias("value")).write.partitionBy("rec_id").text(path)
 
 
 def upsert_partitions(rows: DataFrame, path: str, key: str = "job_id") -> None:

@@ -259,3 +259,15 @@ def test_stages_can_be_replaced(spark):
     assert plan.run(seg).first().speaker_id == "A"
     assert plan.using(merge=lambda df: df.selectExpr("*", "'Z' as speaker_id", "false as overlap")).run(seg).first().speaker_id == "Z"
     assert stages.engine(3) == "single" and stages.engine(None) == "windowed"
+
+
+def test_folders_of_recordings_are_dealt_over_tasks(spark, tmp_path):
+    path = str(tmp_path / "slides")
+    rows = [(i, 100 * k, None, f"t{k}", f"{k}.png") for i in range(400) for k in range(2)]
+    exports.slides_sidecar(spark.createDataFrame(rows, "rec_id long, start_ms long, end_ms long, text string, image string"), path)
+    files = list((tmp_path / "slides").glob("rec_id=*/part-*"))
+    assert len(files) == 400 and len({f.name.split("-")[1] for f in files}) >= 4
+    before = spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism")
+    back = exports.read_by_recording(spark, path)
+    assert {(r.rec_id, r.value.count('"image"')) for r in back.collect()} == {(i, 2) for i in range(400)}
+    assert spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism") == before
