@@ -7,8 +7,9 @@ greater l), and its candidates must share correspondingly more of it before thei
 
 Documents with one set of shingles are one class, and only classes are joined. First every prefix shingle's list of
 classes is compared with its most typical member, the hub, and linked classes are joined into components. Then only lists
-that still hold several components matter, and there only classes in different components. A short list gives its pairs.
-A long one would give the square of its length, so its members must share more than that one shingle: each is written as
+that still hold several components matter, and there only classes in different components. A short list gives its pairs,
+and lists of one hub count as one where that has fewer (``_fewest_pairs``), since near copies of a long text meet in hundreds
+of them. A long one would give the square of its length, so its members must share more than that one shingle: each is written as
 its difference from the hub, in which all that the group has in common is gone, and the differences are joined by
 prefixes of their own, as long as the number of shingles allows that two members must share there to link (``_step``).
 Both steps lose nothing: every link between different components is found.
@@ -270,6 +271,23 @@ def _mixed(lists: DataFrame, key: list[str]) -> DataFrame:
     return _once(_signed_lists(lists, key, F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi"), key)
 
 
+def _fewest_pairs(lists: DataFrame) -> DataFrame:
+    """The ``lists(kind, hub, token, id)``; those of a kind and hub are one list if that has fewer pairs than all of them.
+
+    Whoever shares a list shares that one too, so no pair is lost. Two near copies of a long text share hundreds of lists, a
+    few words longer or shorter each, and most of these have one hub.
+    """
+    group = ["kind", "hub"]
+    pairs = F.expr("count(*) * (count(*) - 1)")
+    apart = lists.groupBy(*group, "token").agg(pairs.alias("pairs")).groupBy(*group).agg(F.sum("pairs").alias("apart"))
+    members = lists.select(*group, "id").distinct()
+    fewer = members.groupBy(*group).agg(pairs.alias("pairs")).join(apart, group).where("pairs < apart").select(group)
+    fewer = materialize(fewer, "grouped")
+    fewer = _small(fewer, fewer.count())
+    one = members.join(fewer, group, "left_semi").select(*group, F.lit(0).cast("long").alias("token"), "id")
+    return lists.join(fewer, group, "left_anti").select(*group, "token", "id").union(one)
+
+
 def _joined(docs: DataFrame, n: int, percent: int, text: str) -> tuple[DataFrame, DataFrame]:
     """Summaries of the documents, and k1, k2, n_shingles, class_id, component of every class."""
     counts = docs.sparkSession.sparkContext.broadcast(bucket_counts(docs, n, text))
@@ -303,13 +321,13 @@ def _joined(docs: DataFrame, n: int, percent: int, text: str) -> tuple[DataFrame
 
     about = materialize(about.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id")), "about")
     lists = materialize(lists.select("token", "id").join(about.select("id", "component", "typical"), "id"), "labelled")
-    held = materialize(lists.join(_mixed(lists, ["token"]), "token"), "mixed")
+    held = materialize(lists.join(_mixed(lists, ["token"]), "token").join(hubs.select("token", "hub"), "token"), "mixed")
     # a hub with which few of its list link tells little of the others
-    central = hubs.select("token", "hub").join(about.select(F.col("id").alias("hub"), F.col("component").alias("own")), "hub")
-    central = held.where(F.col("length") > SHORT_LIST).join(central, "token").groupBy("token", "hub").agg(F.avg((F.col("component") == F.col("own")).cast("int")).alias("share"))
-    central = materialize(central.where(F.col("share") >= CENTRAL).select("token", "hub"), "central")
-    short = [held.join(central, "token", "left_anti").select(F.col("token").alias("hub"), "token", "id")]
-    long = held.join(central, "token")
+    leading = about.select(F.col("id").alias("hub"), F.col("component").alias("own"))
+    central = held.where(F.col("length") > SHORT_LIST).join(leading, "hub").groupBy("token").agg(F.avg((F.col("component") == F.col("own")).cast("int")).alias("share"))
+    central = materialize(central.where(F.col("share") >= CENTRAL).select("token"), "central")
+    short = [held.join(central, "token", "left_anti").select("hub", "token", "id")]
+    long = held.join(central, "token", "left_semi")
     for step in range(STEPS):
         if not long.take(1):
             break
@@ -323,14 +341,17 @@ def _joined(docs: DataFrame, n: int, percent: int, text: str) -> tuple[DataFrame
         next_hubs = long.groupBy("hub", "token").agg((-F.max(F.struct("typical", (-F.col("id")).alias("id")))["id"]).alias("next"))
         long = materialize(long.join(next_hubs, ["hub", "token"]).select(F.col("next").alias("hub"), F.xxhash64("hub", "token").alias("token"), "id", "component", "typical"), "members")
 
+    key = ["kind", "hub", "token"]
+    short = materialize(reduce(DataFrame.union, (x.select(F.lit(k).alias("kind"), "hub", "token", "id") for k, x in enumerate(short))), "short")
+    short = materialize(_fewest_pairs(short), "paired")
     carried = ["id", "n_shingles", "component", "size", *maps]
     about = about.withColumn("size", F.size("prefix"))
-    a, b = (reduce(DataFrame.union, short).join(about.select(carried), "id").select("hub", "token", *(F.col(c).alias(f"{c}_{x}") for c in carried)) for x in "ab")
+    a, b = (short.join(about.select(carried), "id").select(*key, *(F.col(c).alias(f"{c}_{x}") for c in carried)) for x in "ab")
     near = (F.col("id_a") < F.col("id_b")) & (F.col("component_a") != F.col("component_b")) & _near_size("n_shingles_a", "n_shingles_b", percent)
     # every bit in which the maps differ is a shingle that only one prefix has
     differ = sum((F.bit_count(F.col(f"{m}_a").bitwiseXOR(F.col(f"{m}_b"))) for m in maps), F.lit(0))
     could = F.floor((F.col("size_a") + F.col("size_b") - differ) / 2) >= _needed(percent) - F.greatest(F.col("n_shingles_a") - F.col("size_a"), F.col("n_shingles_b") - F.col("size_b"))
-    pairs = a.join(b, ["hub", "token"]).where(near & could).select("id_a", "id_b").distinct()
+    pairs = a.join(b, key).where(near & could).select("id_a", "id_b").distinct()
     sides = [about.select(*(F.col(c).alias(f"{c}_{x}") for c in ("id", "n_shingles", "prefix"))) for x in "ab"]
     pairs = pairs.join(sides[0], "id_a").join(sides[1], "id_b").where(_enough(percent)).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
     tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))

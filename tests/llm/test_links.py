@@ -63,3 +63,28 @@ def test_links_of_none_and_of_repeats(spark):
     assert [tuple(x) for x in jaccard.jaccard_links(docs, 2, 50).collect()] == [(5, 8, 2, 4)]
     found = sorted((x.doc_id or 0, x.n_links) for x in jaccard.jaccard_counts(docs, 2, 50).collect())
     assert found == [(0, 0), (5, 2), (5, 2), (7, 0), (8, 2)]
+
+
+def test_lists_of_one_hub_give_their_pairs_once(spark, monkeypatch):
+    """Copies of a long text that do not link meet in many lists; what these lose by being one is no pair."""
+    r = random.Random(3)
+    words = [f"w{k}" for k in range(400)]
+    base, texts = [r.choice(words) for _ in range(400)], [*ODD]
+    for _ in range(16):
+        own = list(base)
+        for k in r.sample(range(400), 10):
+            own[k] = f"x{r.randrange(10**6)}"
+        texts.append(" ".join(own))
+    texts += [texts[-1] + " end", texts[-2] + " end"]
+    kept, write = {}, jaccard.materialize
+    monkeypatch.setattr(jaccard, "materialize", lambda df, name: kept.setdefault(name, write(df, name)) if name in ("short", "paired") else write(df, name))
+    found = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard.jaccard_components(docs_of(spark, texts)).collect()}
+    assert found == brute_components(list(enumerate(texts)), 5, 80)
+    pairs = {}
+    for name, table in kept.items():
+        lists = defaultdict(list)
+        for x in table.collect():
+            lists[x.kind, x.hub, x.token].append(x.id)
+        pairs[name] = [(a, b) for ids in lists.values() for a in ids for b in ids if a < b]
+    assert set(pairs["short"]) <= set(pairs["paired"])
+    assert len(pairs["short"]) > 2 * len(pairs["paired"]) > 0
