@@ -44,7 +44,7 @@ def known_forms(
     least_length: int = 6,
     most_edits: int = 1,
     least_ratio: float = 0.93,
-    most_candidates: int = 8000,
+    most_candidates: int | None = None,
     foreign: str = "[A-Za-z]",
     measure: Callable[[str, str], Column] = likeness,
 ) -> DataFrame:
@@ -53,11 +53,11 @@ def known_forms(
     A form of ``dictionary(form)`` may stand for a word of ``words(word)`` if both have ``least_length`` letters, are within
     ``most_edits`` and alike by ``least_ratio``, as ``measure`` says: by matching blocks, or by letters in common. Forms that share the first eight letters with the word come first, then
     those that share seven, down to four (never the whole word); at the first number of letters that has any, the most alike
-    form counts, of equals the first. Of the forms with one beginning only the first ``most_candidates`` take part.
+    form counts, of equals the first. All forms take part; with ``most_candidates`` only the first so many with one beginning.
     Known words, and words or forms with ``foreign`` letters, are left alone. All is in lower case.
 
     Pairs come from deletions, not from lists of all forms with a beginning, so a frequent beginning costs no more than a
-    rare one; only beginnings with more than ``most_candidates`` forms are numbered.
+    rare one, and no bound is needed.
     """
     proper = lambda c: (F.length(c) >= least_length) & ~F.col(c).rlike(foreign)
     known = dictionary.select(F.lower("form").alias("term")).distinct()
@@ -69,12 +69,13 @@ def known_forms(
     most = F.least(F.lit(LONGEST_PREFIX), F.length("word") - 1, F.length("term"))
     shared = F.filter(F.sequence(F.lit(SHORTEST_PREFIX), F.greatest(most, F.lit(SHORTEST_PREFIX))), lambda p: (p <= most) & (F.substring("word", F.lit(1), p) == F.substring("term", F.lit(1), p)))
     near = materialize(near.select("word", "term", F.explode(shared).alias("prefix")), "near")
-    lists = forms.select("term", F.explode(F.sequence(F.lit(SHORTEST_PREFIX), F.least(F.lit(LONGEST_PREFIX), F.length("term")))).alias("prefix"))
-    lists = lists.withColumn("begin", F.substring("term", F.lit(1), F.col("prefix")))
-    long = lists.groupBy("begin").agg(F.count("*").alias("n")).where(F.col("n") > most_candidates).select("begin")
-    number = F.row_number().over(Window.partitionBy("begin").orderBy("term"))
-    beyond = lists.join(long, "begin", "left_semi").withColumn("_n", number).where(F.col("_n") > most_candidates).select("term", "prefix")
-    near = near.join(beyond, ["term", "prefix"], "left_anti")
+    if most_candidates is not None:
+        lists = forms.select("term", F.explode(F.sequence(F.lit(SHORTEST_PREFIX), F.least(F.lit(LONGEST_PREFIX), F.length("term")))).alias("prefix"))
+        lists = lists.withColumn("begin", F.substring("term", F.lit(1), F.col("prefix")))
+        long = lists.groupBy("begin").agg(F.count("*").alias("n")).where(F.col("n") > most_candidates).select("begin")
+        number = F.row_number().over(Window.partitionBy("begin").orderBy("term"))
+        beyond = lists.join(long, "begin", "left_semi").withColumn("_n", number).where(F.col("_n") > most_candidates).select("term", "prefix")
+        near = near.join(beyond, ["term", "prefix"], "left_anti")
     ratios = near.select("word", "term").distinct().withColumn("ratio", measure("word", "term")).where(F.col("ratio") >= least_ratio)
     near = near.join(ratios, ["word", "term"])
     best = F.min_by(F.struct(F.col("term").alias("form"), "prefix", "ratio"), F.struct((-F.col("prefix")).alias("minus"), (-F.col("ratio")).alias("unlike"), "term"))

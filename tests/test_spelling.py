@@ -57,3 +57,19 @@ def test_texts_keep_case_and_foreign_words_stay(spark):
     out = {r.id: (r.text, r.n_edits) for r in S.spelled_texts(t, forms).collect()}
     assert out == {0: ("Безопасность и БЕЗОПАСНОСТЬ, информационная login безопасностьx", 2), 1: (None, 0), 2: ("", 0)}
     assert forms_of(spark, [], dictionary).collect() == [] == forms_of(spark, words, []).collect()
+
+
+def test_a_crowded_beginning_hides_no_form(spark):
+    dictionary = [f"prefixab{a}{b}{c}{d}" for a in "abcdefghij" for b in "abcdefghij" for c in "abcdefghij" for d in "abcdefghi"]
+    found = forms_of(spark, ["prefixabjjjiz"], [*dictionary, "prefixabjjji"], least_ratio=0.9, foreign="[0-9]").collect()
+    assert [(r.word, r.form, r.prefix) for r in found] == [("prefixabjjjiz", "prefixabjjji", 8)]
+
+
+def test_f21_query_has_no_bound(spark, tmp_path):
+    from parlance.plans import phrase_queries as Q
+
+    names = [f"prefixab{a}{b}{c}cdef" for a in "abcd" for b in "abcd" for c in "abcd"] + ["prefixabzzzcdef"]
+    rows = [(i, " ".join(names), "en") for i in range(3)] + [(3, "prefixabzzzcdeg", "en")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = [(r.word, r.form) for r in Q.f21(spark, str(tmp_path)).collect()]
+    assert found == [("prefixabzzzcdeg", "prefixabzzzcdef")]
