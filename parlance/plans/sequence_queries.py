@@ -68,16 +68,10 @@ def w06_w07(spark, sf):
 
 def w08(spark, sf):
     """Segments split into parts of one speaker each, from words that the speakers' join has labelled."""
-    seg, spk = segments(spark, sf), speaker_segments(spark, sf)
-    step = F.greatest(F.lit(1), F.floor((F.col("end_ms") - F.col("start_ms")) / 8))
-    pieces = seg.select(F.concat_ws("/", "rec_id", "idx").alias("part_id"), "rec_id", "start_ms", step.alias("step"), F.explode(F.sequence(F.lit(0), F.lit(7))).alias("k"))
-    pieces = pieces.select("part_id", "rec_id", F.col("k").cast("long").alias("idx"), (F.col("start_ms") + F.col("k") * F.col("step")).alias("start_ms"), (F.col("start_ms") + (F.col("k") + 1) * F.col("step")).alias("end_ms"))
-    right = I.right_side(spk)
-    # pieces are short: in narrow bins they meet fewer speakers
-    pairs = I.overlap_join(pieces, right, ["rec_id"], bin_ms=PIECE_BIN_MS).where(I.overlap() > 0)
-    best = I.closest(pairs, right, ["part_id", "idx"], I.overlap()).drop("closeness")
-    labelled = pieces.join(best, ["part_id", "idx"], "left").drop("rec_id").withColumnRenamed("part_id", "rec_id")
-    return S.speaker_runs(labelled).withColumnRenamed("rec_id", "part_id")
+    # parts are short: in narrow bins they meet fewer speakers
+    labelled = I.labelled_parts(segments(spark, sf), speaker_segments(spark, sf), 8, PIECE_BIN_MS)
+    runs = S.speaker_runs(labelled, keys=["rec_id", "seg"], short=True)
+    return runs.select(F.concat_ws("/", "rec_id", "seg").alias("part_id"), *(c for c in runs.columns if c not in ("rec_id", "seg")))
 
 
 def w09(spark, sf):
